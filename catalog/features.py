@@ -53,10 +53,27 @@ def trailing_means_frames(spark, sf_dir):
     return means.select("symbol", "week_end", *sums)
 
 
-@query(_means_sql(_GAPPY, "weekly", _SHORT, 13))
+def _values_in_frame(n):
+    """SQL: how many closes the frame before a week holds."""
+    return f'count("close") OVER (PARTITION BY symbol ORDER BY week_end ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)'
+
+
+@query(
+    f"""{_GAPPY} SELECT symbol, week_end, {", ".join(
+        f"round(({S.mean('close', n)}) * {_values_in_frame(n)}, 4) AS sum_{k}" for k, n in _SHORT.items())} FROM weekly"""
+)
 def trailing_means_gappy(spark, sf_dir):
     """Weeks without a close stay in, so the minimum number of values matters."""
-    return _means(B.gappy_weekly(spark, sf_dir), _SHORT, 13)
+    frames = {k: T.symbol_window().rowsBetween(-n, -1) for k, n in _SHORT.items()}
+    means = B.gappy_weekly(spark, sf_dir).select(
+        "symbol",
+        "week_end",
+        *T.moving_averages(_SHORT),
+        *[F.count("close").over(frame).alias(f"n_{k}") for k, frame in frames.items()],
+    )
+    return means.select(
+        "symbol", "week_end", *[F.round(F.col(f"ma_{k}") * F.col(f"n_{k}"), 4).alias(f"sum_{k}") for k in _SHORT]
+    )
 
 
 @query(f"{_WEEKS} SELECT symbol, week_end, {S.POSITION} AS bars_before, {S.AGE} AS age FROM weeks")
