@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,35 +48,35 @@ def utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
 
 
-def day_number(date: Column) -> Column:
-    """Days since 0001-01-01: a non-negative integer of at most 7 digits."""
-    return F.datediff(date, F.lit("0001-01-01").cast("date"))
-
-
-def packed_order(*parts: tuple[Column, int]) -> Column:
-    """One decimal that sorts like the tuple of non-negative integers ``parts``.
+def packed_order(*parts: tuple[str, int]) -> Column:
+    """One decimal that sorts like the tuple of ``parts``.
 
-    Each part is ``(column, digits)``; all digits together must fit 38. Spark
-    keeps a decimal in a fixed-width aggregation buffer, so ``max_by`` over it
-    stays a hash aggregate, while a struct key forces a sort of every row. A
-    value outside its digits fails the job instead of sorting wrongly.
+    Each part is ``(SQL of a non-negative integer, digits)``; see ``DAY_NUMBER``
+    for dates. All digits together must fit 38. Spark keeps a decimal in a
+    fixed-width aggregation buffer, so ``max_by`` over it stays a hash
+    aggregate, while a struct key makes it sort every row. A value outside its
+    digits fails the job instead of sorting wrongly.
     """
-    total = sum(digits for _, digits in parts)
-    if total > 38:
+    if sum(digits for _, digits in parts) > 38:
         raise ValueError("a packed order key holds at most 38 digits")
-
-    def checked(part: Column, digits: int) -> Column:
-        limit = F.lit(10**digits) if digits <= 18 else None
-        ok = part >= 0 if limit is None else (part >= 0) & (part < limit)
-        return F.when(ok | part.isNull(), part.cast(f"decimal({digits},0)")).otherwise(
-            F.raise_error(F.lit(f"order key part outside {digits} digits")).cast(f"decimal({digits},0)")
+    words: list[tuple[str, int]] = []  # neighbouring parts that fit one long
+    for part, digits in parts:
+        checked = (
+            f"CASE WHEN {part} BETWEEN 0 AND {10**digits - 1} OR {part} IS NULL THEN CAST({part} AS BIGINT) "
+            f"ELSE CAST(raise_error('order key part outside {digits} digits') AS BIGINT) END"
         )
-
-    used = 0
-    shifted = []
-    for part, digits in reversed(parts):
-        unit = F.lit(str(10**used)).cast(f"decimal({used + 1},0)")
-        shifted.append((checked(part, digits) * unit).cast("decimal(38,0)") if used else
-                       checked(part, digits).cast("decimal(38,0)"))
-        used += digits
-    return reduce(lambda a, b: (a + b).cast("decimal(38,0)"), shifted)
+        if words and words[-1][1] + digits <= 18:
+            text, held = words.pop()
+            words.append((f"({text}) * {10**digits}L + ({checked})", held + digits))
+        else:
+            words.append((checked, digits))
+    terms, below = [], 0
+    for text, digits in reversed(words):
+        number = f"CAST({text} AS DECIMAL({digits}, 0))"
+        terms.append(f"{number} * CAST('1{'0' * below}' AS DECIMAL({below + 1}, 0))" if below else number)
+        below += digits
+    return F.expr(f"CAST({' + '.join(terms)} AS DECIMAL(38, 0))")
+
+
+# Days since 0001-01-01: a non-negative integer of at most 7 digits.
+DAY_NUMBER = "datediff({date}, DATE'0001-01-01')"

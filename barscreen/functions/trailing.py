@@ -10,65 +10,57 @@ strict comparison with the mean would be decided by rounding.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import MIN_PERIOD_FRACTION
 
-EXACT = "decimal(38,20)"
-# Below this size the sum of 10,000 values still fits the 18 integer digits.
-EXACT_LIMIT = 1e14
-
-
-def symbol_window() -> WindowSpec:
-    """One symbol's weeks, oldest first. Every window of a screen uses it."""
-    return Window.partitionBy("symbol").orderBy("week_end")
-
+# One symbol's weeks, oldest first. Every window of a screen uses this.
+SYMBOL_WEEKS = "PARTITION BY symbol ORDER BY week_end"
 
-def exact(c: Column) -> Column:
-    return F.when(F.abs(c) < EXACT_LIMIT, c.cast(EXACT)).when(
-        c.isNotNull(),
-        F.raise_error(F.concat(F.lit("value too large for exact sums, use method='frames': "), c.cast("string"))).cast(
-            EXACT
-        ),
-    )
+EXACT = "DECIMAL(38, 20)"
+# Below this size the sum of 10,000 values still fits the 18 integer digits.
+EXACT_LIMIT = "1e14D"
 
 
 def trailing_mean(
-    c: Column | str,
+    c: str,
     n: int,
     min_frac: float = MIN_PERIOD_FRACTION,
     *,
     method: str = "prefix",
-    window: WindowSpec | None = None,
+    window: str = SYMBOL_WEEKS,
 ) -> Column:
     """Mean of the ``n`` rows before this one; null below ``int(n * min_frac)`` values.
 
-    ``method='frames'`` sums each frame afresh and takes doubles of any size.
+    ``c`` is the SQL of a number. ``method='frames'`` sums each frame afresh
+    and takes doubles of any size; ``'prefix'`` fails above 1e14.
     """
     if n <= 0:
         return F.lit(None).cast("double")
-    c = F.col(c) if isinstance(c, str) else c
-    w = window if window is not None else symbol_window()
     needed = max(int(n * min_frac), 1)
     if method == "frames":
-        frame = w.rowsBetween(-n, -1)
-        low, high = F.min(c).over(frame), F.max(c).over(frame)
-        mean = F.when(low == high, high).otherwise(F.avg(c).over(frame))
-        return F.when(F.count(c).over(frame) >= needed, mean)
+        over = f"OVER ({window} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        low, high = f"min({c}) {over}", f"max({c}) {over}"
+        mean = f"CASE WHEN {low} = {high} THEN {high} ELSE avg({c}) {over} END"
+        return F.expr(f"CASE WHEN count({c}) {over} >= {needed} THEN {mean} END")
     if method != "prefix":
         raise ValueError(f"unknown method {method!r}")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    outside = w.rowsBetween(Window.unboundedPreceding, -n - 1)
-    count = F.count(c).over(before) - F.count(c).over(outside)
-    total = F.sum(exact(c)).over(before) - F.coalesce(F.sum(exact(c)).over(outside), F.lit(0).cast(EXACT))
-    return F.when(count >= needed, (total / count).cast("double"))
+    exact = (
+        f"CASE WHEN abs({c}) < {EXACT_LIMIT} THEN CAST({c} AS {EXACT}) WHEN {c} IS NOT NULL THEN "
+        f"CAST(raise_error('value too large for exact sums, use frames: ' || {c}) AS {EXACT}) END"
+    )
+    before = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    outside = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND {n + 1} PRECEDING)"
+    count = f"(count({c}) {before} - count({c}) {outside})"
+    total = f"(sum({exact}) {before} - coalesce(sum({exact}) {outside}, 0))"
+    return F.expr(f"CASE WHEN {count} >= {needed} THEN CAST({total} / {count} AS DOUBLE) END")
 
 
-def preceding_mean(c: Column | str, n: int, **options) -> Column:
+def preceding_mean(c: str, n: int, **options) -> Column:
     """Plain mean of the ``n`` rows before this one; null unless there are ``n``."""
-    window = options.get("window") or symbol_window()
-    before = F.count(F.lit(1)).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    window = options.get("window", SYMBOL_WEEKS)
+    before = F.expr(f"count(1) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     return F.when(before >= n, trailing_mean(c, n, 0.0, **options))
 
 
@@ -82,16 +74,15 @@ def moving_averages(periods: dict[str, int], c: str = "close", prefix: str = "ma
     return [trailing_mean(c, n, **options).alias(f"{prefix}{name}") for name, n in periods.items()]
 
 
-def bar_position(window: WindowSpec | None = None) -> Column:
+def bar_position(window: str = SYMBOL_WEEKS) -> Column:
     """Number of weeks before this one."""
-    return F.row_number().over(window or symbol_window()) - 1
+    return F.expr(f"row_number() OVER ({window}) - 1")
 
 
-def bar_age(window: WindowSpec | None = None) -> Column:
+def bar_age(window: str = SYMBOL_WEEKS) -> Column:
     """1 for the newest week of a symbol, 2 for the week before, and so on."""
-    w = window or symbol_window()
-    weeks = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return weeks.cast("int") - F.row_number().over(w) + 1
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return F.expr(f"CAST(count(1) OVER ({window} {whole}) AS INT) - row_number() OVER ({window}) + 1")
 
 
 def volume_ratio(volume: Column | str = "volume", average: Column | str = "avg_volume") -> Column:

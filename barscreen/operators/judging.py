@@ -18,14 +18,25 @@ def finished_weeks(weekly: DataFrame, as_of) -> DataFrame:
     return weeks if as_of is None else complete_weeks(weeks, as_of)
 
 
-def judged_weeks(weeks: DataFrame, columns: list[Column], lookback: int) -> DataFrame:
-    """The newest ``lookback`` weeks of each symbol with their windowed ``columns``.
+def placed_weeks(weeks: DataFrame) -> DataFrame:
+    """Weeks with their ``age`` and the number of weeks before them.
 
-    All windows share one partitioning and one order, hence one shuffle by
-    symbol and one sort. A symbol has one row a week, so no group is large.
+    Selecting windowed columns on top of this shuffles by symbol once, and
+    before the columns' decimal inputs exist, which would double its volume.
+    A symbol has one row a week, so no group is large.
     """
     places = [bar_age().alias("age"), bar_position().alias("bars_before")]
-    return weeks.select("symbol", "week_end", "close", "volume", *places, *columns).filter(F.col("age") <= lookback)
+    return weeks.select("symbol", "week_end", "close", "volume", *places)
+
+
+def judged_weeks(weeks: DataFrame, columns: list[Column], lookback: int, longest: int) -> DataFrame:
+    """The newest ``lookback`` weeks of each symbol with their windowed ``columns``.
+
+    No column looks back further than ``longest`` weeks, so older weeks are
+    dropped between placing and windowing.
+    """
+    within_reach = placed_weeks(weeks).filter(F.col("age") <= lookback + max(longest, 0) + 1)
+    return within_reach.select("*", *columns).filter(F.col("age") <= lookback)
 
 
 def screen_columns(config: ScreenConfig) -> list[Column]:
@@ -36,9 +47,15 @@ def screen_columns(config: ScreenConfig) -> list[Column]:
     ]
 
 
+def longest_frame(config: ScreenConfig) -> int:
+    return max(config.avg_volume_weeks, config.price_avg_weeks, *config.ma_periods.values())
+
+
 def judged(weekly: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) -> DataFrame:
     """Judged weeks with ratio, moving-average states and one flag per condition."""
-    features = judged_weeks(finished_weeks(weekly, as_of), screen_columns(config), dialect.lookback(config))
+    features = judged_weeks(
+        finished_weeks(weekly, as_of), screen_columns(config), dialect.lookback(config), longest_frame(config)
+    )
     states = {name: P.ma_state(n, f"ma_{name}") for name, n in config.ma_periods.items()}
     return features.select(
         "*",

@@ -26,7 +26,7 @@ def sort_results(df: DataFrame, column: str, ascending: bool = True, symbol: str
 def _slim_columns() -> list[Column]:
     return [
         F.col("symbol").alias("ticker"),
-        F.date_format("week_end", "yyyy-MM-dd").alias("date"),
+        F.col("week_end").cast("string").alias("date"),
         F.col("close").alias("close_price"),
         F.col("market_cap"),
         F.col("avg_volume"),

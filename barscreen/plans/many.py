@@ -42,7 +42,10 @@ def screen_many(
         F.array(*[trailing_mean("close", n) for n in averages]).alias("close_means"),
     ]
     weeks = judging.judged_weeks(
-        judging.finished_weeks(weekly, as_of), columns, max(rules.lookback(c) for _, c in named)
+        judging.finished_weeks(weekly, as_of),
+        columns,
+        max(rules.lookback(c) for _, c in named),
+        max(judging.longest_frame(c) for _, c in named),
     ).filter(judging.recent_enough(rules, as_of))
     weeks = attach_info(weeks, info, "inner" if rules.info_required else "left")
     screens = F.array(*[_as_struct(i, c, rules, volumes, recents, averages) for i, c in named])
@@ -55,7 +58,7 @@ def screen_many(
     return picked.select(
         "config_id",
         F.col("symbol").alias("ticker"),
-        F.date_format("week_end", "yyyy-MM-dd").alias("date"),
+        F.col("week_end").cast("string").alias("date"),
         F.col("close").alias("close_price"),
         "market_cap",
         average.alias("avg_volume"),
@@ -64,7 +67,6 @@ def screen_many(
 
 
 def _as_struct(config_id: str, c: ScreenConfig, rules: Dialect, volumes, recents, averages) -> Column:
-    period = F.struct
     return F.struct(
         F.lit(config_id).alias("config_id"),
         F.lit(float(c.min_market_cap)).alias("min_cap"),
@@ -78,7 +80,7 @@ def _as_struct(config_id: str, c: ScreenConfig, rules: Dialect, volumes, recents
         F.lit(c.ma_intermediate).alias("intermediate"),
         F.array(
             *[
-                period(F.lit(n).alias("weeks"), F.lit(averages.index(n)).alias("at"))
+                F.struct(F.lit(n).alias("weeks"), F.lit(averages.index(n)).alias("at"))
                 for n in c.ma_periods.values()
             ]
         ).alias("periods"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barscreen import ScreenConfig, bars_from_table, info_from_table, weekly_bars
-from barscreen.functions.cleaning import day_number, packed_order
+from barscreen.functions.cleaning import DAY_NUMBER, packed_order
 
 AS_OF = "2001-11-04"
 
@@ -58,10 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _trade_order() -> Column:
     """Date, order, line and part of a shipment; digits for 100,000 times the unit scale."""
     return packed_order(
-        (day_number(F.to_date("l_shipdate")), 7),
-        (F.col("l_orderkey"), 15),
-        (F.col("l_linenumber"), 2),
-        (F.col("l_partkey"), 14),
+        (DAY_NUMBER.format(date="l_shipdate"), 7), ("l_orderkey", 15), ("l_linenumber", 2), ("l_partkey", 14)
     )
 
 
@@ -115,7 +112,7 @@ def customer_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts="o_orderdate",
         close="o_totalprice",
         volume=F.lit(1.0),
-        tiebreak=packed_order((day_number(F.to_date("o_orderdate")), 7), (F.col("o_orderkey"), 18)),
+        tiebreak=packed_order((DAY_NUMBER.format(date="o_orderdate"), 7), ("o_orderkey", 18)),
     )
 
 

@@ -64,12 +64,14 @@ def _values_in_frame(n):
 )
 def trailing_means_gappy(spark, sf_dir):
     """Weeks without a close stay in, so the minimum number of values matters."""
-    frames = {k: T.symbol_window().rowsBetween(-n, -1) for k, n in _SHORT.items()}
+    def values(n):
+        return F.expr(f"count(close) OVER ({T.SYMBOL_WEEKS} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)")
+
     means = B.gappy_weekly(spark, sf_dir).select(
         "symbol",
         "week_end",
         *T.moving_averages(_SHORT),
-        *[F.count("close").over(frame).alias(f"n_{k}") for k, frame in frames.items()],
+        *[values(n).alias(f"n_{k}") for k, n in _SHORT.items()],
     )
     return means.select(
         "symbol", "week_end", *[F.round(F.col(f"ma_{k}") * F.col(f"n_{k}"), 4).alias(f"sum_{k}") for k in _SHORT]

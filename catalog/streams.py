@@ -32,11 +32,13 @@ def _trades(stream, symbol, ts, price, volume, order):
     )
 
 
+def _event_order():
+    micros = "date_diff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
+    return packed_order((micros, 18), ("event_id", 18))
+
+
 def _event_trades(stream):
-    micros = F.expr("date_diff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    return _trades(
-        stream, "user_id", "ts", "value", F.lit(1.0), packed_order((micros, 18), (F.col("event_id"), 18))
-    )
+    return _trades(stream, "user_id", "ts", "value", F.lit(1.0), _event_order())
 
 
 def _closed(table: str, ts: str) -> str:
@@ -59,7 +61,6 @@ def stream_weekly(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     """Daily bars delivered twice and taken once."""
     path = scratch_path(spark, "stream_dedupe")
-    micros = F.expr("date_diff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     daily = bs.daily_bars(
         bs.bars_from_table(
             B.table(spark, sf_dir, "events"),
@@ -67,7 +68,7 @@ def stream_dedupe(spark, sf_dir):
             "ts",
             "value",
             F.lit(1.0),
-            tiebreak=packed_order((micros, 18), (F.col("event_id"), 18)),
+            tiebreak=_event_order(),
         )
     ).select("symbol", "session_date", "close", "volume")
     for _ in range(2):
