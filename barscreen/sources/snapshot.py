@@ -47,7 +47,7 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
     if layout == "jsonl":
         raw = spark.read.schema(RECORD_SCHEMA).json(f"{path}/stocks", mode="PERMISSIVE")
         named = F.coalesce("symbol", F.regexp_extract("_corrupt_record", r'"symbol"\s*:\s*"([^"]+)"', 1))
-        errors = raw.filter(F.col("_corrupt_record").isNotNull()).select(
+        errors = _damaged(raw, "info").select(
             named.alias("symbol"), F.concat(F.lit("unreadable record: "), "_corrupt_record").alias("message")
         )
         stocks = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
@@ -55,7 +55,7 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
         return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors)
     if layout == "bundle":
         raw = spark.read.schema(BUNDLE_SCHEMA + ", _corrupt_record string").json(path, multiLine=True)
-        errors = raw.filter(F.col("_corrupt_record").isNotNull()).select(
+        errors = _damaged(raw, "stocks").select(
             F.lit(None).cast("string").alias("symbol"),
             F.when(F.col("stocks").isNull(), F.lit("unreadable document"))
             .otherwise(F.lit("partly unreadable document"))
@@ -72,6 +72,13 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def _damaged(raw: DataFrame, field: str) -> DataFrame:
+    """Records that did not parse. Spark refuses to read their text without any
+    other field, even for a count, hence the test on ``field`` that all pass."""
+    held = F.when(F.col(field).isNull(), 0).otherwise(F.cardinality(field))
+    return raw.filter(F.col("_corrupt_record").isNotNull() & (held >= 0))
+
+
 def _bars(stocks: DataFrame, exchange_tz: str) -> DataFrame:
     """Unfold histories. Fields are found by name, once per symbol."""
     places = [F.array_position("history.columns", f).alias(f"at_{f}") for f in K.HISTORY_FIELDS]
