@@ -53,6 +53,17 @@ def daily_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "session_date").agg(*ohlcv(bar_order(bars)))
 
 
+def save_weekly(weekly: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Keep weekly bars as a table bucketed by symbol and sorted by week.
+
+    Screens over it need neither the weekly aggregate nor a shuffle of its rows.
+    """
+    writer = weekly.repartition(buckets, "symbol").write.bucketBy(buckets, "symbol").sortBy("symbol", "week_end")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def usable(close: str = "close", volume: str = "volume") -> Column:
     return F.col(close).isNotNull() & (F.col(volume) > 0)
 

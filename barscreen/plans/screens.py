@@ -31,12 +31,28 @@ def screen_matches(
         config.validate()
     if symbols is not None:
         weekly = weekly.join(symbols.select("symbol"), "symbol", "left_semi")
+    weekly = _eligible(weekly, info, config, rules)
     matches = judging.matching_weeks(weekly, config, rules, as_of)
     if rules.looks_back and not all_weeks:
         matches = judging.newest_match(matches)
     return _within_cap(matches, info, config, rules, symbols)
 
 
+def _eligible(weekly: DataFrame, info: DataFrame, config: ScreenConfig, rules: Dialect) -> DataFrame:
+    """Leave out symbols whose cap rules them out, before any window sees them.
+
+    These joins sit right on the weekly aggregate, on its key. Spark moves them
+    below it, to the bars, if the list of symbols is small enough to broadcast;
+    if not, they share the shuffle by symbol that the windows need anyway.
+    """
+    inside = market_cap_between(config.min_market_cap, config.max_market_cap)
+    if rules.info_required or config.min_market_cap > 0:
+        return weekly.join(info.filter(inside).select("symbol"), "symbol", "left_semi")
+    if config.max_market_cap > 0:
+        return weekly.join(info.filter(~inside).select("symbol"), "symbol", "left_anti")
+    return weekly
+
+
 def _within_cap(
     matches: DataFrame, info: DataFrame, config: ScreenConfig, rules: Dialect, symbols: DataFrame | None
 ) -> DataFrame:
@@ -81,9 +97,6 @@ def screen_bars(
     symbols: DataFrame | None = None,
 ) -> DataFrame:
     """Screen straight from bars. ``live`` reads only the years it needs."""
-    rules = dialect_of(dialect)
-    if rules.max_age_days is not None:
+    if dialect_of(dialect).max_age_days is not None:
         bars = screen_history(bars, config, as_of)
-    if symbols is not None:
-        bars = bars.join(symbols.select("symbol"), "symbol", "left_semi")
-    return screen(weekly_bars(bars), info, config, dialect, as_of, symbols if rules.keeps_repeats else None)
+    return screen(weekly_bars(bars), info, config, dialect, as_of, symbols)

@@ -1,10 +1,12 @@
 """Result records, their display, and reasons for skipped symbols."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import barscreen as bs
 from barscreen.functions import formatting as fmt
 from barscreen.functions import predicates as P
+from barscreen.session import scratch_path
 
 from . import bindings as B
 from . import sqltext as S
@@ -46,16 +48,12 @@ def _numbered(ordered):
     has to be shared. Matches go to a table first: rows must not move between
     the two passes.
     """
-    import barscreen.session as session
-
     spark = ordered.sparkSession
-    path = session.scratch_path(spark, "ordered")
+    path = scratch_path(spark, "ordered")
     placed = ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
     placed.write.parquet(path)
     rows = spark.read.parquet(path)
     first = F.shiftleft(F.col("part").cast("long"), 33)
-    from pyspark.sql import Window
-
     counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(
         F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

@@ -17,7 +17,7 @@ RULES = {
 
 def to_weeks(days: pd.DataFrame) -> list[tuple]:
     weeks = {}
-    for row in days.sort_values("session_date").itertuples():
+    for row in days.sort_values("session_date", kind="stable").itertuples():
         label = row.session_date + pd.Timedelta(days=(-row.session_date.weekday()) % 7)
         closes, volumes = weeks.setdefault(label, ([], []))
         if not math.isnan(row.close):

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import barscreen as bs
+from barscreen.session import scratch_path
 from catalog import REGISTRY
 from catalog import bindings as B
 
@@ -43,6 +44,27 @@ def test_screen_plan(spark):
     assert "38,20" not in below
 
 
+def test_bucketed_weeks_are_screened_where_they_lie(spark):
+    weekly, info = B.supplier_weekly(spark, SMALL), B.supplier_info(spark, SMALL)
+    want = bs.screen(weekly, info, B.CAPPED, "lookback", B.AS_OF).collect()
+    spark.sql("DROP TABLE IF EXISTS weekly_bucketed")
+    bs.save_weekly(weekly, "weekly_bucketed", 8, scratch_path(spark, "weekly"))
+    stored = spark.table("weekly_bucketed")
+    text = plan(bs.screen_matches(stored, info, B.SHORT, "lookback", B.AS_OF))
+    assert len(exchanges(text)) == 1  # only the info moves
+    assert bs.screen(stored, info, B.CAPPED, "lookback", B.AS_OF).collect() == want
+    spark.sql("DROP TABLE weekly_bucketed")
+
+
+def test_cap_rules_symbols_out_before_the_weekly_aggregate(spark):
+    """With a list small enough to broadcast, bars of other symbols go no further than the scan."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    weekly, info = B.supplier_weekly(spark, SMALL), B.supplier_info(spark, SMALL)
+    for cfg, kind in ((B.CAPPED, "LeftSemi"), (B.NEWEST, "LeftAnti")):
+        text = plan(bs.screen_matches(weekly, info, cfg, "lookback", B.AS_OF))
+        assert text.index(kind) > text.rindex("HashAggregate(keys=[symbol")
+
+
 def test_live_reads_only_its_years(spark):
     bars, info = B.supplier_bars(spark, SMALL), B.supplier_info(spark, SMALL)
     text = plan(bs.screen_bars(bars, info, B.NEWEST, "live", B.AS_OF))

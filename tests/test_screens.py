@@ -5,8 +5,7 @@ import pandas as pd
 import pytest
 
 import barscreen as bs
-import pandas_screen
-from conftest import BAR_SCHEMA
+from tests import pandas_screen
 
 CFG = bs.ScreenConfig(
     volume_multiplier=1.1, price_avg_weeks=2, ma_short=5, ma_intermediate=8, ma_medium=13, ma_long=26,

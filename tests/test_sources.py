@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import barscreen as bs
 from barscreen.session import scratch_path
-from conftest import BAR_SCHEMA
+from tests.conftest import BAR_SCHEMA
 
 
 def symbols(df):
