@@ -56,11 +56,10 @@ def judged(weekly: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) ->
     features = judged_weeks(
         finished_weeks(weekly, as_of), screen_columns(config), dialect.lookback(config), longest_frame(config)
     )
-    states = {name: P.ma_state(n, f"ma_{name}") for name, n in config.ma_periods.items()}
-    return features.select(
+    states = {f"state_{name}": P.ma_state(n, f"ma_{name}") for name, n in config.ma_periods.items()}
+    return features.select("*", *[state.alias(name) for name, state in states.items()]).select(
         "*",
         volume_ratio().alias("volume_ratio"),
-        *[state.alias(f"state_{name}") for name, state in states.items()],
         recent_enough(dialect, as_of).alias("is_recent"),
         P.old_enough(
             config.ma_short,
@@ -71,7 +70,7 @@ def judged(weekly: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) ->
         ).alias("is_old_enough"),
         P.volume_spike(config.volume_multiplier).alias("is_spike"),
         P.price_above_recent(config.price_avg_weeks, dialect.zero_window_passes).alias("is_rising"),
-        P.all_ma_hold(list(states.values())).alias("is_above_averages"),
+        P.all_ma_hold(list(states)).alias("is_above_averages"),
     )
 
 

@@ -95,6 +95,7 @@ def history_range(bars: DataFrame, as_of, years: float, rule: str = "days", incl
     """Bars of the last ``years`` before ``as_of``: a date range that reaches the scan.
 
     ``rule='days'`` counts years of 365.25 days, ``'calendar'`` goes back by date.
+    Bars stored by ``bar_year`` are read from the folders of those years only.
     """
     end = _date(as_of)
     if rule == "days":
@@ -103,6 +104,8 @@ def history_range(bars: DataFrame, as_of, years: float, rule: str = "days", incl
         start = F.add_months(end, -int(round(12 * years)))
     else:
         raise ValueError(f"unknown rule {rule!r}")
+    if "bar_year" in bars.columns:
+        bars = bars.filter(F.col("bar_year").between(F.year(start), F.year(end)))
     day = F.col("session_date")
     return bars.filter((day >= start) & ((day <= end) if include_end else (day < end)))
 

@@ -28,7 +28,10 @@ SYMBOLS_PER_DOCUMENT = 500
 
 @dataclass(frozen=True)
 class Snapshot:
-    """``bars`` and ``info`` per symbol, one-row ``metadata``, unreadable records in ``errors``."""
+    """``bars`` and ``info`` per symbol, one-row ``metadata``, unreadable records in ``errors``.
+
+    Bars of the parquet layout keep ``bar_year``, the column they are stored by.
+    """
 
     bars: DataFrame
     info: DataFrame
@@ -39,7 +42,7 @@ class Snapshot:
 def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchange_tz: str = "UTC") -> Snapshot:
     if layout == "parquet":
         return Snapshot(
-            spark.read.parquet(f"{path}/bars").drop("bar_year"),
+            spark.read.parquet(f"{path}/bars"),
             spark.read.parquet(f"{path}/info"),
             spark.read.schema(METADATA_SCHEMA + ", stock_count long").json(f"{path}/metadata"),
             spark.createDataFrame([], "symbol string, message string"),

@@ -140,7 +140,7 @@ FROM daily LEFT JOIN info USING (symbol)"""
 
 
 def _with_info(snapshot):
-    return snapshot.bars.join(snapshot.info, "symbol", "left")
+    return snapshot.bars.drop("bar_year").join(snapshot.info, "symbol", "left")
 
 
 @query(_SNAPSHOT)
@@ -148,6 +148,16 @@ def snapshot_parquet(spark, sf_dir):
     return _with_info(_saved(spark, sf_dir, "parquet"))
 
 
+@query(
+    f"""{S.with_(S.SUPPLIER_BARS, S.DAILY)} SELECT symbol, session_date, "close", volume FROM daily
+    WHERE session_date >= DATE '1998-11-04' AND session_date < DATE '{B.AS_OF}'"""
+)
+def snapshot_recent_years(spark, sf_dir):
+    """Bars of the last three years, read from the folders of those years."""
+    bars = bs.history_range(_saved(spark, sf_dir, "parquet").bars, B.AS_OF, 3, "calendar")
+    return bars.select("symbol", "session_date", "close", "volume")
+
+
 @query(_SNAPSHOT)
 def snapshot_jsonl(spark, sf_dir):
     return _with_info(_saved(spark, sf_dir, "jsonl"))

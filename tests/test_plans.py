@@ -72,6 +72,12 @@ def test_live_reads_only_its_years(spark):
     assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipdate" in pushed
 
 
+def test_stored_bars_are_pruned_by_year(spark):
+    text = plan(REGISTRY["snapshot_recent_years"][0](spark, SMALL))
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", text).group(1)
+    assert "bar_year" in filters and "1998" in filters and "2001" in filters
+
+
 def test_many_screens_share_one_pass(spark):
     weekly, info = B.supplier_weekly(spark, SMALL), B.supplier_info(spark, SMALL)
     configs = {str(m): bs.ScreenConfig(volume_multiplier=m) for m in (1.0, 1.5, 2.0)}
