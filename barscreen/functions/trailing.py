@@ -79,10 +79,13 @@ def bar_position(window: str = SYMBOL_WEEKS) -> Column:
     return F.expr(f"row_number() OVER ({window}) - 1")
 
 
-def bar_age(window: str = SYMBOL_WEEKS) -> Column:
-    """1 for the newest week of a symbol, 2 for the week before, and so on."""
+def bar_age(window: str = SYMBOL_WEEKS, counted: str = "1") -> Column:
+    """1 for the newest week of a symbol, 2 for the week before, and so on.
+
+    ``counted`` is the SQL of what is null for rows that do not count as weeks.
+    """
     whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    return F.expr(f"CAST(count(1) OVER ({window} {whole}) AS INT) - row_number() OVER ({window}) + 1")
+    return F.expr(f"CAST(count({counted}) OVER ({window} {whole}) AS INT) - row_number() OVER ({window}) + 1")
 
 
 def volume_ratio(volume: Column | str = "volume", average: Column | str = "avg_volume") -> Column:

@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from ..config import ScreenConfig
 from ..functions import predicates as P
-from ..functions.trailing import bar_age, bar_position, preceding_mean, trailing_mean, volume_ratio
+from ..functions.trailing import (
+    SYMBOL_WEEKS,
+    bar_age,
+    bar_position,
+    moving_averages,
+    preceding_mean,
+    trailing_mean,
+    volume_ratio,
+)
 from ..plans.dialects import Dialect
-from .weekly import complete_weeks, usable_weeks
+from .weekly import complete_weeks, usable, usable_weeks
 
 
 def finished_weeks(weekly: DataFrame, as_of) -> DataFrame:
@@ -18,15 +26,17 @@ def finished_weeks(weekly: DataFrame, as_of) -> DataFrame:
     return weeks if as_of is None else complete_weeks(weeks, as_of)
 
 
-def placed_weeks(weeks: DataFrame) -> DataFrame:
+def placed_weeks(
+    weeks: DataFrame, window: str = SYMBOL_WEEKS, counted: str = "1", flags: tuple[str, ...] = ()
+) -> DataFrame:
     """Weeks with their ``age`` and the number of weeks before them.
 
     Selecting windowed columns on top of this shuffles by symbol once, and
     before the columns' decimal inputs exist, which would double its volume.
     A symbol has one row a week, so no group is large.
     """
-    places = [bar_age().alias("age"), bar_position().alias("bars_before")]
-    return weeks.select("symbol", "week_end", "close", "volume", *places)
+    places = [bar_age(window, counted).alias("age"), bar_position(window).alias("bars_before")]
+    return weeks.select("symbol", "week_end", "close", "volume", *flags, *places)
 
 
 def judged_weeks(weeks: DataFrame, columns: list[Column], lookback: int, longest: int) -> DataFrame:
@@ -35,15 +45,19 @@ def judged_weeks(weeks: DataFrame, columns: list[Column], lookback: int, longest
     No column looks back further than ``longest`` weeks, so older weeks are
     dropped between placing and windowing.
     """
-    within_reach = placed_weeks(weeks).filter(F.col("age") <= lookback + max(longest, 0) + 1)
+    return windowed_weeks(placed_weeks(weeks), columns, lookback, longest)
+
+
+def windowed_weeks(placed: DataFrame, columns: list[Column], lookback: int, longest: int) -> DataFrame:
+    within_reach = placed.filter(F.col("age") <= lookback + max(longest, 0) + 1)
     return within_reach.select("*", *columns).filter(F.col("age") <= lookback)
 
 
-def screen_columns(config: ScreenConfig) -> list[Column]:
+def screen_columns(config: ScreenConfig, window: str = SYMBOL_WEEKS) -> list[Column]:
     return [
-        trailing_mean("volume", config.avg_volume_weeks).alias("avg_volume"),
-        preceding_mean("close", config.price_avg_weeks).alias("recent_mean"),
-        *[trailing_mean("close", n).alias(f"ma_{name}") for name, n in config.ma_periods.items()],
+        trailing_mean("volume", config.avg_volume_weeks, window=window).alias("avg_volume"),
+        preceding_mean("close", config.price_avg_weeks, window=window).alias("recent_mean"),
+        *moving_averages(config.ma_periods, window=window),
     ]
 
 
@@ -56,6 +70,29 @@ def judged(weekly: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) ->
     features = judged_weeks(
         finished_weeks(weekly, as_of), screen_columns(config), dialect.lookback(config), longest_frame(config)
     )
+    return with_conditions(features, config, dialect, as_of)
+
+
+# Finished weeks come first, oldest to newest, so frames before one hold such weeks only.
+FINISHED_FIRST = "PARTITION BY symbol ORDER BY finished DESC, week_end"
+
+
+def judged_and_rejected(weekly: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) -> DataFrame:
+    """The rows of ``judged`` and, with ages below 1, all weeks that do not count.
+
+    ``finished`` tells them apart; ``usable`` holds for weeks that are merely not over.
+    Both kinds come from one pass over the weekly table.
+    """
+    over = F.lit(True) if as_of is None else F.col("week_end") <= F.lit(str(as_of)).cast("date")
+    flagged = weekly.select("symbol", "week_end", "close", "volume", F.coalesce(usable(), F.lit(False)).alias("usable"))
+    flagged = flagged.withColumn("finished", F.col("usable") & over)
+    placed = placed_weeks(flagged, FINISHED_FIRST, "CASE WHEN finished THEN 1 END", ("usable", "finished"))
+    columns = screen_columns(config, FINISHED_FIRST)
+    features = windowed_weeks(placed, columns, dialect.lookback(config), longest_frame(config))
+    return with_conditions(features, config, dialect, as_of)
+
+
+def with_conditions(features: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) -> DataFrame:
     states = {f"state_{name}": P.ma_state(n, f"ma_{name}") for name, n in config.ma_periods.items()}
     return features.select("*", *[state.alias(name) for name, state in states.items()]).select(
         "*",

@@ -9,7 +9,6 @@ from ..config import ScreenConfig
 from ..functions.formatting import fixed
 from ..functions.predicates import market_cap_between
 from ..operators import judging
-from ..operators.weekly import usable
 from .dialects import Dialect, dialect_of
 
 MATCHED = "matched"
@@ -32,27 +31,27 @@ def explain_screen(
     rules = dialect_of(dialect)
     if rules.validates:
         config.validate()
-    over = F.lit(True) if as_of is None else F.col("week_end") <= F.lit(str(as_of)).cast("date")
-    weeks = weekly.groupBy("symbol").agg(
-        F.count_if(usable()).alias("n_usable"), F.count_if(usable() & over).alias("n_finished")
-    )
-    newest = F.col("age") == 1
-    week = judging.judged(weekly, config, rules, as_of)
-    judged = week.groupBy("symbol").agg(
-        F.max(F.when(newest, F.col("bars_before"))).alias("bars_before"),
-        F.max(F.when(newest, F.col("week_end"))).alias("last_week"),
-        F.max(F.when(newest, F.col("is_recent"))).alias("is_recent"),
-        F.count(F.lit(1)).alias("n_judged"),
-        F.count_if("is_spike").alias("n_spikes"),
-        F.count_if("is_rising").alias("n_rising"),
-        F.count_if("is_above_averages").alias("n_above"),
-        F.coalesce(F.bool_or(judging.all_conditions()), F.lit(False)).alias("is_match"),
-    )
-    universe = (weekly if symbols is None else symbols).select("symbol").distinct()
-    known = info.select("symbol", "market_cap", F.lit(True).alias("has_info"))
+    newest, counts = F.col("age") == 1, F.col("finished")
     facts = (
-        universe.join(weeks, "symbol", "left").join(judged, "symbol", "left").join(known, "symbol", "left")
+        judging.judged_and_rejected(weekly, config, rules, as_of)
+        .groupBy("symbol")
+        .agg(
+            F.bool_or("usable").alias("any_usable"),
+            F.bool_or(counts).alias("any_finished"),
+            F.max(F.when(newest, F.col("bars_before"))).alias("bars_before"),
+            F.max(F.when(newest, F.col("week_end"))).alias("last_week"),
+            F.max(F.when(newest, F.col("is_recent"))).alias("is_recent"),
+            F.count_if(counts).alias("n_judged"),
+            F.count_if(counts & F.col("is_spike")).alias("n_spikes"),
+            F.count_if(counts & F.col("is_rising")).alias("n_rising"),
+            F.count_if(counts & F.col("is_above_averages")).alias("n_above"),
+            F.coalesce(F.bool_or(counts & judging.all_conditions()), F.lit(False)).alias("is_match"),
+        )
     )
+    if symbols is not None:
+        facts = symbols.select("symbol").distinct().join(facts, "symbol", "left")
+    known = info.select("symbol", "market_cap", F.lit(True).alias("has_info"))
+    facts = facts.join(known, "symbol", "left")
     if errors is not None:
         messages = errors.groupBy("symbol").agg(F.min("message").alias("message"))
         facts = facts.join(messages, "symbol", "left")
@@ -83,7 +82,7 @@ def _steps(config: ScreenConfig, rules: Dialect) -> list[tuple[str, Column, Colu
     ]
     if not rules.cap_first:
         cap_steps = [(name, match & condition, text) for name, condition, text in cap_steps]
-    history = ("missing_history", F.col("n_usable").isNull(), nothing)
+    history = ("missing_history", F.col("any_usable").isNull(), nothing)
     steps = [("error", F.col("message").isNotNull(), F.col("message"))]
     if rules.info_required:
         steps.append(("missing_info", F.col("has_info").isNull(), nothing))
@@ -91,8 +90,8 @@ def _steps(config: ScreenConfig, rules: Dialect) -> list[tuple[str, Column, Colu
     if rules.info_required:
         steps += cap_steps
     steps += [
-        ("no_valid_weeks", F.col("n_usable") == 0, nothing),
-        ("no_finished_weeks", F.col("n_finished") == 0, nothing),
+        ("no_valid_weeks", ~F.col("any_usable"), nothing),
+        ("no_finished_weeks", ~F.col("any_finished"), nothing),
         ("no_recent_data", ~F.col("is_recent"), F.col("last_week").cast("string")),
         ("too_young_short", before < config.ma_short + rules.extra_weeks, F.lit(f"{config.ma_short} weeks")),
     ]

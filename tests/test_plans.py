@@ -72,6 +72,14 @@ def test_live_reads_only_its_years(spark):
     assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipdate" in pushed
 
 
+@pytest.mark.parametrize("dialect", ["live", "snapshot", "lookback"])
+def test_reasons_take_one_pass(spark, dialect):
+    weekly, info = B.supplier_weekly(spark, SMALL), B.supplier_info(spark, SMALL)
+    text = plan(bs.explain_screen(weekly, info, B.SHORT, dialect, B.AS_OF))
+    assert text.count("lineitem.parquet") == 1
+    assert len(exchanges(text)) == 3
+
+
 def test_stored_bars_are_pruned_by_year(spark):
     text = plan(REGISTRY["snapshot_recent_years"][0](spark, SMALL))
     filters = re.search(r"PartitionFilters: \[([^\]]*)\]", text).group(1)
