@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .quality_rules import quality_rules, trusted_ids
+from .simhash import simhash_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +24,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, trusted_ids(table(spark, sf_dir, "labels"))).drop("text")
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

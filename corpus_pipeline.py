@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barscreen.llm.common import stored, table
 from barscreen.llm.quality_rules import quality_rules, trusted_ids
+from barscreen.llm.simhash import survivors
+
+
+def whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator needs, and whole rows in one more: no column can clash with the operator's."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("whole_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    names = docs.columns
-    labels = table(spark, sf_dir, "labels")
-    return quality_rules(docs, trusted_ids(labels)).where("kept").select(*names)
+    judged = quality_rules(whole(docs, "doc_id", "text"), trusted_ids(table(spark, sf_dir, "labels")))
+    return judged.where("kept").select("whole_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return survivors(whole(docs, "doc_id", "text")).select("whole_row.*")
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies)]
 ORACLE_SQL = None
 
 
