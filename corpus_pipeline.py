@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barscreen.llm.common import stored, table
+from barscreen.llm.mixing import mix_sources
+from barscreen.llm.packing import pack_documents, vocabulary
 from barscreen.llm.quality_rules import quality_rules, trusted_ids
 from barscreen.llm.simhash import survivors
 
@@ -26,7 +28,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return survivors(whole(docs, "doc_id", "text")).select("whole_row.*")
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, whole ones only."""
+    mixed = mix_sources(whole(docs, "doc_id", "text", "source"), whole=True)
+    repeated = mixed.where("copies > 0").select("whole_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("whole_row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in sequences."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 
