@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_sources
 from .packing import pack_documents, vocabulary
+from .pii import KINDS, find_personal_data
 from .quality_rules import quality_rules, trusted_ids
 from .simhash import simhash_classes
 
@@ -28,6 +29,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, trusted_ids(table(spark, sf_dir, "labels"))).drop("text")
 
 
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    numbers = [number(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *numbers, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barscreen.llm.common import stored, table
 from barscreen.llm.mixing import mix_sources
 from barscreen.llm.packing import pack_documents, vocabulary
+from barscreen.llm.pii import find_personal_data
 from barscreen.llm.quality_rules import quality_rules, trusted_ids
 from barscreen.llm.simhash import survivors
 
@@ -28,6 +29,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return survivors(whole(docs, "doc_id", "text")).select("whole_row.*")
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars counts the new text."""
+    names = docs.columns
+    found = find_personal_data(whole(docs, "text"))
+    changed = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted"), F.lit(0)).cast("long")}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("whole_row")[c].alias(c) for c in names])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole ones only."""
     mixed = mix_sources(whole(docs, "doc_id", "text", "source"), whole=True)
@@ -40,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary())
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_copies), ("PII", personal_data), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 
