@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations
 from .common import table
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .packing import pack_documents, vocabulary
 from .pii import KINDS, find_personal_data
@@ -39,6 +40,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
