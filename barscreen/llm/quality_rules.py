@@ -1,6 +1,6 @@
 """Quality rules: countable rules, then a hashed n-gram log-likelihood ratio of trusted texts against the corpus.
 
-Two multinomials over ``buckets`` hash buckets of word 1- and 2-grams are counted: one over the whole corpus,
+Two multinomials over ``buckets`` hash buckets of word 1- and 2-grams, case kept, are counted: one over the whole corpus,
 one over trusted texts. The weight of a bucket is the logarithm of the ratio of its two probabilities, both
 smoothed by ``pseudo`` counts spread as the corpus spreads them, so that a bucket too rare to judge weighs
 nothing. A text scores the mean weight of its n-grams; texts below ``threshold`` are rejected.
@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, let, without, words
+from .common import WHITE, let, without, words
 
 SYMBOLS = "#*$%&|<>"
+#: A power of two.
 BUCKETS = 1 << 16
 PSEUDO = 5.0
 THRESHOLD = -0.1
@@ -39,15 +40,19 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
 
 
-def gram_buckets(text: Column, buckets: int) -> Column:
-    """Bucket of each 1-gram and 2-gram of the lower-cased words, an array of integers."""
-    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def grams(once: Column) -> Column:
-        pairs = F.transform(once, lambda h, i: F.when(i > 0, bucket(F.xxhash64(F.get(once, i - 1), h))))
-        return F.concat(F.transform(once, bucket), F.slice(pairs, 2, F.greatest(F.size(once) - 1, F.lit(0))))
 
-    return let(F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)), grams)
+def gram_hashes(once: Column) -> Column:
+    """Hashes of the 1-grams and 2-grams, from those of the words."""
+    pairs = F.greatest(F.size(once) - 1, F.lit(0))
+    return F.concat(once, F.zip_with(F.slice(once, 1, pairs), F.slice(once, 2, pairs), lambda a, b: F.xxhash64(a, b)))
+
+
+def bucket_of(gram: Column, buckets: int) -> Column:
+    """The high bits of a hash."""
+    return F.shiftrightunsigned(gram, 65 - buckets.bit_length()).cast("int")
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
@@ -58,20 +63,22 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     """
     mark = F.broadcast(trusted.select(F.col("doc_id").alias("trusted_id")).distinct())
     marked = docs.select("doc_id", "text").join(mark, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(gram_buckets(F.col("text"), buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    expected = F.col("n") * F.coalesce(F.col("all_t") / F.col("all_n"), F.lit(0.0))
-    weight = F.log((F.col("t") + F.lit(pseudo)) / (expected + F.lit(pseudo)))
-    spark = docs.sparkSession
-    both = counts.select("b", "n", "t", totals.select("n").scalar().alias("all_n"), totals.select("t").scalar().alias("all_t"))
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(both.select("b", weight.alias("w")), "b", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("w", F.lit(0.0)).alias("w"))))
-    return every.agg(F.transform(pairs, lambda p: p["w"]).alias("weights"))
+    hashes = let(word_hashes(words(F.col("text"))), gram_hashes)
+    grams = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(hashes).alias("h"))
+    counts = grams.groupBy(bucket_of(F.col("h"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    row = F.struct("b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
+    one = every.agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
+    share = F.coalesce(F.when(F.col("all_t") > 0, F.col("all_t") / F.col("all_n")), F.lit(0.0))
+
+    def weight(x: Column) -> Column:
+        return F.when(F.col("share") > 0, F.log((x["t"] + F.lit(pseudo)) / (x["n"] * F.col("share") + F.lit(pseudo)))).otherwise(0.0)
 
+    return one.withColumn("share", share).select(F.transform("rows", weight).alias("weights"))
 
-def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
-    """How many words stand in windows of ``window`` words that occur twice or more in the text.
+
+def repeated_words(once: Column, window: int = WINDOW) -> Column:
+    """How many words stand in windows of ``window`` words that occur twice or more in the text, from the words' hashes.
 
     Windows are compared by 64-bit hashes. Only a text with a repeated window is looked at closely.
     """
@@ -94,8 +101,7 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(let(let(placed, repeated), covered))
 
-    found = let(let(F.transform(tokens, lambda w: F.xxhash64(w)), windows), counted)
-    return F.when(F.size(tokens) <= window, zero).otherwise(found)
+    return F.when(F.size(once) <= window, zero).otherwise(let(let(once, windows), counted))
 
 
 def quality_rules(
@@ -110,25 +116,24 @@ def quality_rules(
     weights = bucket_weights(docs, trusted, buckets, pseudo)
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    w, line, model = (without(docs, x) for x in ("word_list", "line_list", "model"))
+    h, line, model = (without(docs, x) for x in ("word_hashes", "line_list", "model"))
     kept_columns = [c for c in docs.columns if c.lower() not in own]
     out = docs.select(*kept_columns).withColumns({
-        w: words(F.col("text")),
+        h: word_hashes(words(F.col("text"))),
         line: F.filter(F.split(text, "\n"), lambda x: F.translate(x, WHITE + " ", "") != ""),
         model: weights.scalar(),
     })
-    score = F.aggregate(
-        gram_buckets(F.col("text"), buckets), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda a, b: F.struct((a["s"] + F.get(F.col(model), b)).alias("s"), (a["n"] + 1).alias("n")),
-        lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0),
-    )
+    def mean_weight(grams: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(F.col(model), bucket_of(g, buckets)))
+        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+
     out = out.withColumns({
-        "n_words": F.size(w).cast("long"),
+        "n_words": F.size(h).cast("long"),
         "word_chars": F.length(F.translate(text, WHITE + " ", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("long"),
-        "n_repeat_words": repeated_words(F.col(w)),
-        "llr": score,
+        "n_repeat_words": repeated_words(F.col(h)),
+        "llr": let(gram_hashes(F.col(h)), mean_weight),
     })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
