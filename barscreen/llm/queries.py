@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_conversations
 from .classifier import learn, score_quality
 from .common import table
+from .htmltext import extract_main_text
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .packing import pack_documents, vocabulary
@@ -26,6 +27,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
