@@ -44,10 +44,11 @@ BOILER_NAMES = frozenset(
     "subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended pagination pager "
     "copyright legal disclaimer form search skip tags toc".split()
 )
-CONTENT_NAMES = frozenset("article articlebody post postbody entry story content main maincontent body text".split())
+CONTENT_NAMES = frozenset("article articlebody post postbody entry story content main maincontent".split())
 OPENED_ALONE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.S)
+# Comments, tags (a tag with an odd quote ends at the next bracket), other markup, text.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)>|</?[A-Za-z][^<>]*+>|<[!?/][^>]*+>?|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z:_-]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -80,7 +81,10 @@ def _marks(tag: str, attributes: str, marks: int) -> int:
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
                 names = {x.lower() for x in NAME.findall(value)}
-                if names & BOILER_NAMES:
+                boiler = names & BOILER_NAMES
+                if boiler == {"header"} and names & CONTENT_NAMES:
+                    marks |= CONTENT | HEADER  # the head of an article, with its title
+                elif boiler:
                     marks |= BOILER
                 elif names & CONTENT_NAMES:
                     marks |= CONTENT
@@ -98,7 +102,8 @@ def _marks(tag: str, attributes: str, marks: int) -> int:
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page, in order; scripts, styles and other raw elements have none."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, marks, number of the element
+    # tag, marks, number of the nearest element that holds blocks, tag of the nearest that isn't inline
+    stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]
     opened: Counter = Counter()
     block: Block | None = None
     serial = at = 0
@@ -108,7 +113,7 @@ def blocks_of(html: str) -> list[Block]:
         """End the innermost of ``tags`` that stands above every element of ``bounds``."""
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
-                for t, _, _ in stack[k:]:
+                for t, *_ in stack[k:]:
                     opened[t] -= 1
                 del stack[k:]
                 return
@@ -126,9 +131,8 @@ def blocks_of(html: str) -> list[Block]:
             if block is None:
                 if piece.isspace():
                     continue
-                tag, marks, _ = stack[-1]
-                holder = next((x for x in reversed(stack) if x[0] not in INLINE and x[0] != "p"), stack[0])
-                block = Block(marks & ~LINK, holder[2], next((x[0] for x in reversed(stack) if x[0] not in INLINE), ""))
+                _, marks, container, kind = stack[-1]
+                block = Block(marks & ~LINK, container, kind)
                 out.append(block)
             block.parts.append(piece)
             if stack[-1][1] & LINK:
@@ -158,7 +162,9 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID:
             continue
         serial += 1
-        stack.append((tag, _marks(tag, m[3], stack[-1][1]), serial))
+        _, marks, container, kind = stack[-1]
+        inline = tag in INLINE
+        stack.append((tag, _marks(tag, m[3], marks), container if inline or tag == "p" else serial, kind if inline else tag))
         opened[tag] += 1
     return out
 
