@@ -12,6 +12,7 @@ from .classifier import learn, score_quality
 from .common import table
 from .htmltext import extract_main_text
 from .licenses import scan_licenses
+from .media import align_recordings
 from .mixing import mix_sources
 from .packing import pack_documents, vocabulary
 from .pii import KINDS, find_personal_data
@@ -95,6 +96,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recordings, a word a frame; those whose id 50 divides are looked up among all."""
+    return align_recordings(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0)
+
+
 @query
 def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
