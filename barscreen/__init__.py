@@ -25,6 +25,7 @@ from .functions.trailing import (
     bar_position,
     moving_averages,
     preceding_mean,
+    scaled,
     trailing_mean,
     volume_ratio,
 )

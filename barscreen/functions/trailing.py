@@ -1,16 +1,17 @@
 """Means over the rows before the current one.
 
-A frame of ``n`` rows that slides one row at a time is re-summed by Spark for
-every row, which costs rows x n. The default here subtracts two running sums
-instead, so its cost does not depend on ``n``. Running sums are kept in
-``decimal(38,20)``: sums of doubles would lose precision by the subtraction,
-and a series of equal prices must have exactly that price as its mean, or the
-strict comparison with the mean would be decided by rounding.
+A frame of ``n`` rows that slides one row at a time is re-summed by Spark for every row, which costs rows x n. That is
+``method='frames'``, which needs nothing else. ``method='prefix'`` subtracts two running sums, so its cost doesn't depend
+on ``n``; the screens use it. Running sums of doubles would lose precision by the subtraction, and a series of equal
+prices must have exactly that price as its mean, or rounding would decide the strict comparison with the mean. So
+``scaled`` gives each value its decimal digits, shifted by a power of ten that brings its symbol's values to 1 at most;
+these ``decimal(38,32)`` are summed, and means are shifted back. Values of any size are taken. Beside a symbol's largest
+value, others keep all their digits down to 1e-15 of it, and lose the last of them below that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MIN_PERIOD_FRACTION
@@ -18,9 +19,32 @@ from ..constants import MIN_PERIOD_FRACTION
 # One symbol's weeks, oldest first. Every window of a screen uses this.
 SYMBOL_WEEKS = "PARTITION BY symbol ORDER BY week_end"
 
-EXACT = "DECIMAL(38, 20)"
-# Below this size the sum of 10,000 values still fits the 18 integer digits.
-EXACT_LIMIT = "1e14D"
+# Shifted values are 1 at most: six integer digits serve a million weeks of a symbol.
+EXACT = "DECIMAL(38, 32)"
+
+
+def scaled(weeks: DataFrame, columns: tuple[str, ...] = ("close", "volume"), window: str = SYMBOL_WEEKS) -> DataFrame:
+    """``weeks`` with ``<column>_power``, a symbol's power of ten, and ``<column>_exact``, its shifted values.
+
+    The power is a window of the same order as the means', so it neither shuffles nor sorts anew.
+    """
+    whole = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    finite = "CASE WHEN abs({c}) < double('infinity') THEN abs({c}) END"
+    powers = {
+        f"{c}_power": F.expr(f"CAST(coalesce(ceil(log10(nullif(max({finite.format(c=c)}) {whole}, 0D))), 0) AS INT)") for c in columns
+    }
+    return weeks.withColumns(powers).withColumns({f"{c}_exact": F.expr(_shifted(c)) for c in columns})
+
+
+def _shifted(c: str) -> str:
+    """SQL: the digits of a number by its shortest text, which names it uniquely, with another exponent."""
+    text = f"CAST(CAST({c} AS DOUBLE) AS STRING)"
+    exponent = f"CASE WHEN instr({text}, 'E') > 0 THEN CAST(substring_index({text}, 'E', -1) AS INT) ELSE 0 END"
+    return f"try_cast(concat(substring_index({text}, 'E', 1), 'E', {exponent} - {c}_power) AS {EXACT})"
+
+
+def without_scales(weeks: DataFrame, columns: tuple[str, ...] = ("close", "volume")) -> DataFrame:
+    return weeks.drop(*[f"{c}{end}" for c in columns for end in ("_power", "_exact")])
 
 
 def trailing_mean(
@@ -28,13 +52,12 @@ def trailing_mean(
     n: int,
     min_frac: float = MIN_PERIOD_FRACTION,
     *,
-    method: str = "prefix",
+    method: str = "frames",
     window: str = SYMBOL_WEEKS,
 ) -> Column:
     """Mean of the ``n`` rows before this one; null below ``int(n * min_frac)`` values.
 
-    ``c`` is the SQL of a number. ``method='frames'`` sums each frame afresh
-    and takes doubles of any size; ``'prefix'`` fails above 1e14.
+    ``c`` is a column. ``method='frames'`` sums each frame afresh; ``'prefix'`` needs the columns of ``scaled``.
     """
     if n <= 0:
         return F.lit(None).cast("double")
@@ -46,15 +69,19 @@ def trailing_mean(
         return F.expr(f"CASE WHEN count({c}) {over} >= {needed} THEN {mean} END")
     if method != "prefix":
         raise ValueError(f"unknown method {method!r}")
-    exact = (
-        f"CASE WHEN abs({c}) < {EXACT_LIMIT} THEN CAST({c} AS {EXACT}) WHEN {c} IS NOT NULL THEN "
-        f"CAST(raise_error('value too large for exact sums, use frames: ' || {c}) AS {EXACT}) END"
-    )
     before = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     outside = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND {n + 1} PRECEDING)"
     count = f"(count({c}) {before} - count({c}) {outside})"
-    total = f"(sum({exact}) {before} - coalesce(sum({exact}) {outside}, 0))"
-    return F.expr(f"CASE WHEN {count} >= {needed} THEN CAST({total} / {count} AS DOUBLE) END")
+    total = f"(sum({c}_exact) {before} - coalesce(sum({c}_exact) {outside}, 0))"
+    # an infinite value can't be summed exactly; a frame that holds one has an infinite mean
+    endless = f"CASE WHEN abs({c}) = double('infinity') THEN 1 ELSE 0 END"
+    infinite = f"(sum({endless}) {before} - coalesce(sum({endless}) {outside}, 0)) > 0"
+    mean = f"CASE WHEN {infinite} THEN double('infinity') ELSE {_unshifted(c, total, count)} END"
+    return F.expr(f"CASE WHEN {count} >= {needed} THEN {mean} END")
+
+
+def _unshifted(c: str, total: str, count: str) -> str:
+    return f"CAST(concat(CAST({total} / {count} AS STRING), 'E', {c}_power) AS DOUBLE)"
 
 
 def preceding_mean(c: str, n: int, **options) -> Column:

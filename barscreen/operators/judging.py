@@ -13,8 +13,10 @@ from ..functions.trailing import (
     bar_position,
     moving_averages,
     preceding_mean,
+    scaled,
     trailing_mean,
     volume_ratio,
+    without_scales,
 )
 from ..plans.dialects import Dialect
 from .weekly import complete_weeks, usable, usable_weeks
@@ -48,16 +50,18 @@ def judged_weeks(weeks: DataFrame, columns: list[Column], lookback: int, longest
     return windowed_weeks(placed_weeks(weeks), columns, lookback, longest)
 
 
-def windowed_weeks(placed: DataFrame, columns: list[Column], lookback: int, longest: int) -> DataFrame:
-    within_reach = placed.filter(F.col("age") <= lookback + max(longest, 0) + 1)
-    return within_reach.select("*", *columns).filter(F.col("age") <= lookback)
+def windowed_weeks(
+    placed: DataFrame, columns: list[Column], lookback: int, longest: int, window: str = SYMBOL_WEEKS
+) -> DataFrame:
+    within_reach = scaled(placed.filter(F.col("age") <= lookback + max(longest, 0) + 1), window=window)
+    return without_scales(within_reach.select("*", *columns).filter(F.col("age") <= lookback))
 
 
 def screen_columns(config: ScreenConfig, window: str = SYMBOL_WEEKS) -> list[Column]:
     return [
-        trailing_mean("volume", config.avg_volume_weeks, window=window).alias("avg_volume"),
-        preceding_mean("close", config.price_avg_weeks, window=window).alias("recent_mean"),
-        *moving_averages(config.ma_periods, window=window),
+        trailing_mean("volume", config.avg_volume_weeks, window=window, method="prefix").alias("avg_volume"),
+        preceding_mean("close", config.price_avg_weeks, window=window, method="prefix").alias("recent_mean"),
+        *moving_averages(config.ma_periods, window=window, method="prefix"),
     ]
 
 
@@ -88,7 +92,7 @@ def judged_and_rejected(weekly: DataFrame, config: ScreenConfig, dialect: Dialec
     flagged = flagged.withColumn("finished", F.col("usable") & over)
     placed = placed_weeks(flagged, FINISHED_FIRST, "CASE WHEN finished THEN 1 END", ("usable", "finished"))
     columns = screen_columns(config, FINISHED_FIRST)
-    features = windowed_weeks(placed, columns, dialect.lookback(config), longest_frame(config))
+    features = windowed_weeks(placed, columns, dialect.lookback(config), longest_frame(config), FINISHED_FIRST)
     return with_conditions(features, config, dialect, as_of)
 
 

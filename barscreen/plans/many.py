@@ -37,9 +37,9 @@ def screen_many(
     recents = sorted({c.price_avg_weeks for _, c in named})
     averages = sorted({n for _, c in named for n in c.ma_periods.values()})
     columns = [
-        F.array(*[trailing_mean("volume", n) for n in volumes]).alias("volume_means"),
-        F.array(*[preceding_mean("close", n) for n in recents]).alias("recent_means"),
-        F.array(*[trailing_mean("close", n) for n in averages]).alias("close_means"),
+        F.array(*[trailing_mean("volume", n, method="prefix") for n in volumes]).alias("volume_means"),
+        F.array(*[preceding_mean("close", n, method="prefix") for n in recents]).alias("recent_means"),
+        F.array(*[trailing_mean("close", n, method="prefix") for n in averages]).alias("close_means"),
     ]
     weeks = judging.judged_weeks(
         judging.finished_weeks(weekly, as_of),

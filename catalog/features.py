@@ -18,7 +18,11 @@ _GAPPY = S.with_(S.GAPPY_BARS, S.WEEKLY)
 
 
 def _usable(spark, sf_dir):
-    return bs.usable_weeks(B.supplier_weekly(spark, sf_dir))
+    """Usable weeks, with the scales that exact running sums need."""
+    return bs.scaled(bs.usable_weeks(B.supplier_weekly(spark, sf_dir)))
+
+
+_PREFIX = {"method": "prefix"}
 
 
 def _means_sql(source: str, table: str, periods: dict, volume_weeks: int) -> str:
@@ -37,7 +41,35 @@ def _means(weekly, periods, volume_weeks, **options):
 
 @query(_means_sql(_WEEKS, "weeks", _PERIODS, 52))
 def trailing_means(spark, sf_dir):
-    return _means(_usable(spark, sf_dir), _PERIODS, 52)
+    return _means(_usable(spark, sf_dir), _PERIODS, 52, **_PREFIX)
+
+
+def _resized_sql(price: str, volume: str) -> str:
+    """Means, by doubles, of prices and volumes times constants; as sums of cents and units, which leave nothing to round."""
+    sums = {"avg_volume": ("volume", volume, 52), **{f"ma_{k}": ('"close"', price, n) for k, n in _PERIODS.items()}}
+    cells = ", ".join(f"round({S.double_mean(f'{c} * {x}', n)} / {x} * least({n}, {S.POSITION}), 2) AS {name}" for name, (c, x, n) in sums.items())
+    return f"{_WEEKS} SELECT symbol, week_end, {cells} FROM weeks"
+
+
+def _resized(spark, sf_dir, price, volume):
+    weeks = bs.usable_weeks(B.supplier_weekly(spark, sf_dir)).withColumns(
+        {"close": F.col("close") * F.lit(price), "volume": F.col("volume") * F.lit(volume)}
+    )
+    averages = [T.avg_volume(52, **_PREFIX).alias("avg_volume"), *T.moving_averages(_PERIODS, **_PREFIX)]
+    means = bs.scaled(weeks).select("symbol", "week_end", T.bar_position().alias("b"), *averages)
+    sizes = {"avg_volume": (volume, 52), **{f"ma_{k}": (price, n) for k, n in _PERIODS.items()}}
+    sums = [F.round(F.col(c) / F.lit(x) * F.least(F.lit(n), "b"), 2).alias(c) for c, (x, n) in sizes.items()]
+    return means.select("symbol", "week_end", *sums)
+
+
+@query(_resized_sql("1e-10", "1e0"))
+def trailing_means_tiny(spark, sf_dir):
+    return _resized(spark, sf_dir, 1e-10, 1.0)
+
+
+@query(_resized_sql("1e0", "1e12"))
+def trailing_means_huge(spark, sf_dir):
+    return _resized(spark, sf_dir, 1.0, 1e12)
 
 
 @query(
@@ -67,10 +99,10 @@ def trailing_means_gappy(spark, sf_dir):
     def values(n):
         return F.expr(f"count(close) OVER ({T.SYMBOL_WEEKS} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)")
 
-    means = B.gappy_weekly(spark, sf_dir).select(
+    means = bs.scaled(B.gappy_weekly(spark, sf_dir)).select(
         "symbol",
         "week_end",
-        *T.moving_averages(_SHORT),
+        *T.moving_averages(_SHORT, **_PREFIX),
         *[values(n).alias(f"n_{k}") for k, n in _SHORT.items()],
     )
     return means.select(
@@ -89,7 +121,7 @@ def bar_position(spark, sf_dir):
 def volume_ratio(spark, sf_dir):
     return (
         _usable(spark, sf_dir)
-        .select("symbol", "week_end", "volume", T.avg_volume(52).alias("avg_volume"))
+        .select("symbol", "week_end", "volume", T.avg_volume(52, **_PREFIX).alias("avg_volume"))
         .select("symbol", "week_end", F.round(T.volume_ratio(), 6).alias("volume_ratio"))
     )
 
@@ -97,7 +129,7 @@ def volume_ratio(spark, sf_dir):
 @query(f"{_WEEKS} SELECT symbol, week_end, round({S.mean('close', 4, 1.0)}, 6) AS recent_mean FROM weeks")
 def preceding_mean(spark, sf_dir):
     return _usable(spark, sf_dir).select(
-        "symbol", "week_end", F.round(T.preceding_mean("close", 4), 6).alias("recent_mean")
+        "symbol", "week_end", F.round(T.preceding_mean("close", 4, **_PREFIX), 6).alias("recent_mean")
     )
 
 
@@ -111,9 +143,9 @@ def _features(spark, sf_dir):
         "close",
         "volume",
         T.bar_position().alias("bars_before"),
-        T.avg_volume(B.SHORT.avg_volume_weeks).alias("avg_volume"),
-        T.preceding_mean("close", B.SHORT.price_avg_weeks).alias("recent_mean"),
-        *T.moving_averages(_SHORT),
+        T.avg_volume(B.SHORT.avg_volume_weeks, **_PREFIX).alias("avg_volume"),
+        T.preceding_mean("close", B.SHORT.price_avg_weeks, **_PREFIX).alias("recent_mean"),
+        *T.moving_averages(_SHORT, **_PREFIX),
     )
 
 
@@ -134,7 +166,7 @@ def price_momentum(spark, sf_dir):
         f"{S.state(k, n)} AS state_{k}" for k, n in _PERIODS.items())} FROM features"""
 )
 def ma_states(spark, sf_dir):
-    return _usable(spark, sf_dir).select("symbol", "week_end", *P.ma_states(_PERIODS))
+    return _usable(spark, sf_dir).select("symbol", "week_end", *P.ma_states(_PERIODS, **_PREFIX))
 
 
 @query(f"{_FEATURES} SELECT symbol, week_end FROM features WHERE {S.above(B.SHORT)}")

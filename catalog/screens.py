@@ -46,6 +46,22 @@ def screen_snapshot(spark, sf_dir):
     return rounded(bs.screen(weekly, info, B.NEWEST, "snapshot", B.AS_OF))
 
 
+_FLAT = (1e-10, 1.0, 1e15)
+
+
+@query(
+    f"""{S.with_(S.SUPPLIER_BARS, S.WEEKLY)} SELECT CAST(NULL AS VARCHAR) AS ticker, CAST(NULL AS VARCHAR) AS date,
+    CAST(NULL AS DOUBLE) AS close_price, CAST(NULL AS DOUBLE) AS market_cap, CAST(NULL AS DOUBLE) AS avg_volume,
+    CAST(NULL AS DOUBLE) AS volume_ratio FROM weekly WHERE week_end IS NULL"""
+)
+def screen_lookback_flat(spark, sf_dir):
+    """A price that never moves, tiny, plain or huge, never rises above its mean: no week matches."""
+    key = F.pmod(F.xxhash64("symbol"), F.lit(len(_FLAT))).cast("int")
+    price = F.get(F.array(*[F.lit(x) for x in _FLAT]), key) * (1 + F.pmod(F.xxhash64("symbol", F.lit(1)), F.lit(1000)) / 7)
+    weekly = B.supplier_weekly(spark, sf_dir).withColumn("close", price)
+    return rounded(bs.screen(weekly, B.supplier_info(spark, sf_dir), replace(B.SHORT, volume_multiplier=0.01), "lookback", B.AS_OF))
+
+
 _YEARS = bs.required_years(B.NEWEST)
 _LIVE_BARS = S.SUPPLIER_BARS.replace(
     "FROM lineitem",

@@ -85,6 +85,12 @@ def mean(column: str, n: int, fraction: float = 0.8) -> str:
     return f'CASE WHEN count("{column}") {frame} >= {needed} THEN avg({exact}) {frame} END'
 
 
+def double_mean(value: str, n: int, fraction: float = 0.8) -> str:
+    """The mean of doubles, which knows nothing of decimals."""
+    frame = f"OVER (PARTITION BY symbol ORDER BY week_end ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({value}) {frame} >= {max(int(n * fraction), 1)} THEN avg({value}) {frame} END"
+
+
 POSITION = "CAST(row_number() OVER (PARTITION BY symbol ORDER BY week_end) - 1 AS INTEGER)"
 AGE = "CAST(row_number() OVER (PARTITION BY symbol ORDER BY week_end DESC) AS INTEGER)"
 
