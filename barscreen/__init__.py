@@ -39,4 +39,4 @@ from .plans.screens import matching_weeks, screen, screen_bars, screen_matches
 from .sources.snapshot import Snapshot, read_snapshot, snapshot_metadata, write_snapshot
 from .sources.symbols import distinct_symbols, read_symbols, symbols_from_table, write_symbols
 from .sources.tables import bars_from_table, bars_from_wide, info_from_table
-from .streaming.jobs import dedupe_bars, stream_screen, stream_weekly_bars
+from .streaming.jobs import current_results, dedupe_bars, stream_screen, stream_weekly_bars

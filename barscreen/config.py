@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -57,7 +57,7 @@ class ScreenConfig:
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> "ScreenConfig":
         """Load one settings file; absent keys take their defaults."""
-        [(_, config)] = configs_from_settings(read_settings(spark, path), max_configs=1)
+        [(_, config)] = configs_from_settings(read_settings(spark, path))
         return config
 
     def to_json(self, spark: SparkSession, path: str) -> None:
@@ -74,16 +74,29 @@ def required_years(config: ScreenConfig) -> float:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """Read settings files (one JSON object each, or JSON lines) as a table.
+    """Read settings files as a table: JSON objects, arrays of them or JSON lines, one screen a row.
 
-    ``config_id`` falls back to the file name without its extension.
+    A screen without ``config_id`` is named after its file: by the name if it alone in the table has that name, else by
+    the whole path; with its place in the file if that holds several. A file that is no JSON fails the read.
     """
-    raw = spark.read.schema(SETTINGS_SCHEMA).json(path, multiLine=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace("_metadata.file_path", r"\.json$", "").alias("file"), F.trim("value").alias("text")
+    )
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    apart = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    whole = F.when(F.try_parse_json("text").isNotNull(), F.array("text")).otherwise(
+        F.raise_error(F.concat(F.lit("not a settings file: "), "file")).cast("array<string>")
+    )
+    parts = F.when(apart, lines).otherwise(whole)
+    screens = F.flatten(F.transform(parts, lambda x: F.from_json(x, f"array<struct<{SETTINGS_SCHEMA}>>")))
+    found = files.select("file", F.size(screens).alias("held"), F.posexplode(screens).alias("place", "s"))
+    stem = F.element_at(F.split("file", "/"), -1)
+    alone = F.count(F.lit(1)).over(Window.partitionBy(stem)) == F.col("held")
+    name = F.concat(F.when(alone, stem).otherwise(F.col("file")), F.when(F.col("held") > 1, F.concat(F.lit("#"), "place")).otherwise(""))
     defaults = asdict(ScreenConfig())
-    return raw.select(
-        F.coalesce("config_id", stem).alias("config_id"),
-        *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in defaults.items()],
+    return found.select(
+        F.coalesce("s.config_id", name).alias("config_id"),
+        *[F.coalesce(F.col(f"s.{k}"), F.lit(v)).alias(k) for k, v in defaults.items()],
     )
 
 
@@ -99,14 +112,8 @@ def settings_frame(spark: SparkSession, configs: dict[str, ScreenConfig]) -> Dat
     return spark.createDataFrame(rows, SETTINGS_SCHEMA)
 
 
-def configs_from_settings(settings: DataFrame, max_configs: int = 10_000) -> list[tuple[str, ScreenConfig]]:
-    """Bring a settings table to the driver, where it shapes the plan.
-
-    Settings are control data, not rows to process. A table above
-    ``max_configs`` is refused, never cut.
-    """
+def configs_from_settings(settings: DataFrame) -> list[tuple[str, ScreenConfig]]:
+    """Bring a settings table to the driver, where it shapes the plan: control data, not rows to process."""
     names = [f.name for f in fields(ScreenConfig)]
-    rows = settings.select("config_id", *names).limit(max_configs + 1).collect()
-    if len(rows) > max_configs:
-        raise ValueError(f"more than {max_configs} screen settings")
+    rows = settings.select("config_id", *names).collect()
     return [(r["config_id"], ScreenConfig(**{n: r[n] for n in names})) for r in rows]

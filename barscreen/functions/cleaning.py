@@ -51,8 +51,9 @@ def utc_date(instant: Column) -> Column:
 def packed_order(*parts: tuple[str, int]) -> Column:
     """One decimal that sorts like the tuple of ``parts``.
 
-    Each part is ``(SQL of a non-negative integer, digits)``; see ``DAY_NUMBER``
-    for dates. All digits together must fit 38. Spark keeps a decimal in a
+    Each part is ``(SQL of an integer, digits)``, of either sign, at most half of
+    what its digits count; see ``DAY_NUMBER`` for dates. All digits together must
+    fit 38; keys that don't can be a list of columns, which sorts instead. Spark keeps a decimal in a
     fixed-width aggregation buffer, so ``max_by`` over it stays a hash
     aggregate, while a struct key makes it sort every row. A value outside its
     digits fails the job instead of sorting wrongly.
@@ -62,7 +63,8 @@ def packed_order(*parts: tuple[str, int]) -> Column:
     words: list[tuple[str, int]] = []  # neighbouring parts that fit one long
     for part, digits in parts:
         checked = (
-            f"CASE WHEN {part} BETWEEN 0 AND {10**digits - 1} OR {part} IS NULL THEN CAST({part} AS BIGINT) "
+            f"CASE WHEN {part} BETWEEN -{5 * 10**(digits - 1)} AND {5 * 10**(digits - 1) - 1} OR {part} IS NULL "
+            f"THEN CAST({part} AS BIGINT) + {5 * 10**(digits - 1)}L "
             f"ELSE CAST(raise_error('order key part outside {digits} digits') AS BIGINT) END"
         )
         if words and words[-1][1] + digits <= 18:

@@ -26,6 +26,11 @@ def attach_info(rows: DataFrame, info: DataFrame, how: str = "left") -> DataFram
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unknown join {how!r}")
+    return join_info(rows, one_info_per_symbol(info), how)
+
+
+def join_info(rows: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
+    """``attach_info`` for info that has one row a symbol already."""
     return rows.join(info.select("symbol", "market_cap"), "symbol", how)
 
 
@@ -33,9 +38,39 @@ def _with_history(bars: DataFrame) -> DataFrame:
     return drop_empty_bars(bars).select("symbol").distinct()
 
 
+def _counted(symbols: DataFrame) -> DataFrame:
+    """Entries per symbol, counted before they are shuffled: a list may name one symbol very often."""
+    return symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("entry", F.explode(F.sequence(F.lit(1).cast("long"), "entries"))).drop("entry", "entries")
+
+
+def listed(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows of the symbols that a list names, however often it does."""
+    return rows.join(_counted(symbols), "symbol", "left_semi")
+
+
+def repeated(rows: DataFrame, symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Rows of listed symbols, as often as the list names them."""
+    entries = _counted(symbols).withColumnRenamed("symbol", symbol)
+    return _unfolded(rows.join(entries, symbol))
+
+
 def missing_symbols(symbols: DataFrame, bars: DataFrame) -> DataFrame:
-    """Requested symbols without any bar."""
-    return symbols.join(_with_history(bars), "symbol", "left_anti")
+    """Requested symbols without any bar, as often as they are requested."""
+    return _unfolded(_counted(symbols).join(_with_history(bars), "symbol", "left_anti"))
+
+
+def one_info_per_symbol(info: DataFrame) -> DataFrame:
+    """(symbol, market_cap, regular_market_price): of several rows the largest price, and the largest cap of those with a price."""
+    cap = F.col("market_cap")
+    if "regular_market_price" not in info.columns:
+        return info.groupBy("symbol").agg(F.max(cap).alias("market_cap"))
+    price = F.col("regular_market_price")
+    best = F.coalesce(F.max(F.when(price.isNotNull(), cap)), F.max(cap))
+    return info.groupBy("symbol").agg(best.alias("market_cap"), F.max(price).alias("regular_market_price"))
 
 
 def coverage_report(symbols: DataFrame, bars: DataFrame, info: DataFrame) -> DataFrame:

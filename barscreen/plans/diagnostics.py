@@ -9,6 +9,7 @@ from ..config import ScreenConfig
 from ..functions.formatting import fixed
 from ..functions.predicates import market_cap_between
 from ..operators import judging
+from ..operators.quality import one_info_per_symbol
 from .dialects import Dialect, dialect_of
 
 MATCHED = "matched"
@@ -50,7 +51,7 @@ def explain_screen(
     )
     if symbols is not None:
         facts = symbols.select("symbol").distinct().join(facts, "symbol", "left")
-    known = info.select("symbol", "market_cap", F.lit(True).alias("has_info"))
+    known = one_info_per_symbol(info).select("symbol", "market_cap", F.lit(True).alias("has_info"))
     facts = facts.join(known, "symbol", "left")
     if errors is not None:
         messages = errors.groupBy("symbol").agg(F.min("message").alias("message"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from ..config import ScreenConfig, configs_from_settings
 from ..functions import predicates as P
 from ..functions.trailing import preceding_mean, trailing_mean
 from ..operators import judging
-from ..operators.quality import attach_info
+from ..operators.quality import attach_info, listed, repeated
 from .dialects import Dialect, dialect_of
 
+#: Screens whose conditions share one pass; more of them take as many passes as they need.
+SCREENS_PER_PASS = 100
+
 
 def screen_many(
     weekly: DataFrame,
@@ -19,27 +24,40 @@ def screen_many(
     configs: dict[str, ScreenConfig] | DataFrame,
     dialect: str = "lookback",
     as_of=None,
+    symbols: DataFrame | None = None,
 ) -> DataFrame:
-    """Slim records of many screens, tagged ``config_id``.
+    """Records of many screens, tagged ``config_id``: rich for ``live``, else slim.
 
-    Each distinct period is computed once. The screens travel as one constant
-    array that every judged week is tested against in place: no join, and only
-    matches become rows.
+    Each distinct period is computed once in a pass. Every judged week is tested against all screens in place, by
+    generated code: no join, and only matches become rows. Two screens of one id are refused.
     """
     rules = dialect_of(dialect)
     named = configs_from_settings(configs) if isinstance(configs, DataFrame) else list(configs.items())
     if not named:
         raise ValueError("no screens given")
+    twice = sorted({i for i, _ in named if sum(i == j for j, _ in named) > 1}) if len({i for i, _ in named}) < len(named) else []
+    if twice:
+        raise ValueError(f"several screens are named {twice}")
     if rules.validates:
         for _, config in named:
             config.validate()
-    volumes = sorted({c.avg_volume_weeks for _, c in named})
-    recents = sorted({c.price_avg_weeks for _, c in named})
-    averages = sorted({n for _, c in named for n in c.ma_periods.values()})
+    if symbols is not None:
+        weekly = listed(weekly, symbols)
+    groups = [named[k : k + SCREENS_PER_PASS] for k in range(0, len(named), SCREENS_PER_PASS)]
+    found = reduce(DataFrame.unionByName, [_one_pass(weekly, info, group, rules, as_of) for group in groups])
+    if rules.keeps_repeats and symbols is not None:
+        found = repeated(found, symbols, "ticker")
+    return found
+
+
+def _one_pass(weekly: DataFrame, info: DataFrame, named: list[tuple[str, ScreenConfig]], rules: Dialect, as_of) -> DataFrame:
+    def means(kind: str, mean, column: str, periods) -> list[Column]:
+        return [mean(column, n, method="prefix").alias(f"{kind}_{n}") for n in sorted(set(periods))]
+
     columns = [
-        F.array(*[trailing_mean("volume", n, method="prefix") for n in volumes]).alias("volume_means"),
-        F.array(*[preceding_mean("close", n, method="prefix") for n in recents]).alias("recent_means"),
-        F.array(*[trailing_mean("close", n, method="prefix") for n in averages]).alias("close_means"),
+        *means("volume", trailing_mean, "volume", (c.avg_volume_weeks for _, c in named)),
+        *means("recent", preceding_mean, "close", (c.price_avg_weeks for _, c in named)),
+        *means("average", trailing_mean, "close", (n for _, c in named for n in c.ma_periods.values())),
     ]
     weeks = judging.judged_weeks(
         judging.finished_weeks(weekly, as_of),
@@ -48,65 +66,54 @@ def screen_many(
         max(judging.longest_frame(c) for _, c in named),
     ).filter(judging.recent_enough(rules, as_of))
     weeks = attach_info(weeks, info, "inner" if rules.info_required else "left")
-    screens = F.array(*[_as_struct(i, c, rules, volumes, recents, averages) for i, c in named])
-    hits = weeks.select("*", F.explode(F.filter(screens, lambda s: _matches(s, rules))).alias("screen"))
-    picked = judging.newest_match(
-        hits.select("symbol", "week_end", "age", "close", "volume", "market_cap", "volume_means", "screen.*"),
-        ("symbol", "config_id"),
-    )
-    average = F.get("volume_means", F.col("volume_at"))
+    hits = F.array_compact(F.array(*[F.when(_matches(c, rules), _record(i, c, rules)) for i, c in named]))
+    hits = weeks.select("symbol", "week_end", "age", "close", "volume", "market_cap", F.explode(hits).alias("hit"))
+    picked = judging.newest_match(hits.select("*", "hit.config_id"), ("symbol", "config_id"))
     return picked.select(
         "config_id",
         F.col("symbol").alias("ticker"),
         F.col("week_end").cast("string").alias("date"),
         F.col("close").alias("close_price"),
         "market_cap",
-        average.alias("avg_volume"),
-        (F.col("volume") / average).alias("volume_ratio"),
+        F.col("hit.avg_volume").alias("avg_volume"),
+        (F.col("volume") / F.col("hit.avg_volume")).alias("volume_ratio"),
+        *(["volume", "hit.ma_values", "hit.ma_passes", "hit.ma_periods"] if rules.rich else []),
     )
 
 
-def _as_struct(config_id: str, c: ScreenConfig, rules: Dialect, volumes, recents, averages) -> Column:
-    return F.struct(
-        F.lit(config_id).alias("config_id"),
-        F.lit(float(c.min_market_cap)).alias("min_cap"),
-        F.lit(float(c.max_market_cap)).alias("max_cap"),
-        F.lit(float(c.volume_multiplier)).alias("mult"),
-        F.lit(c.price_avg_weeks).alias("recent_weeks"),
-        F.lit(recents.index(c.price_avg_weeks)).alias("recent_at"),
-        F.lit(c.avg_volume_weeks).alias("volume_weeks"),
-        F.lit(volumes.index(c.avg_volume_weeks)).alias("volume_at"),
-        F.lit(c.ma_short).alias("short"),
-        F.lit(c.ma_intermediate).alias("intermediate"),
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("weeks"), F.lit(averages.index(n)).alias("at"))
-                for n in c.ma_periods.values()
-            ]
-        ).alias("periods"),
-        F.lit(rules.lookback(c)).alias("lookback"),
-    )
+def _state(n: int) -> Column:
+    return P.ma_state(n, f"average_{n}")
 
 
-def _matches(s: Column, rules: Dialect) -> Column:
+def _record(config_id: str, c: ScreenConfig, rules: Dialect) -> Column:
+    """What a match of one screen reports; worked out for matches alone."""
+    fields = [F.lit(config_id).alias("config_id"), F.col(f"volume_{c.avg_volume_weeks}").alias("avg_volume")]
+    if rules.rich:
+
+        def by_name(value) -> Column:
+            return F.create_map(*[x for k, n in c.ma_periods.items() for x in (F.lit(k), value(n))])
+
+        fields += [
+            by_name(lambda n: F.when(_state(n) != "omitted", F.col(f"average_{n}"))).alias("ma_values"),
+            by_name(_state).alias("ma_passes"),
+            by_name(F.lit).alias("ma_periods"),
+        ]
+    return F.struct(*fields)
+
+
+def _matches(c: ScreenConfig, rules: Dialect) -> Column:
     """All conditions of one screen on the current week."""
-    before, close = F.col("bars_before"), F.col("close")
     return (
-        (F.col("age") <= s["lookback"])
+        (F.col("age") <= rules.lookback(c))
         & P.old_enough(
-            s["short"],
-            s["intermediate"],
-            s["volume_weeks"],
+            c.ma_short,
+            c.ma_intermediate,
+            c.avg_volume_weeks,
             extra_weeks=rules.extra_weeks,
             gate_intermediate=rules.gate_intermediate,
         )
-        & P.volume_spike(s["mult"], "volume", F.get("volume_means", s["volume_at"]))
-        & P.price_above_recent(
-            s["recent_weeks"], rules.zero_window_passes, close, F.get("recent_means", s["recent_at"])
-        )
-        & F.forall(
-            s["periods"],
-            lambda p: P.ma_state(p["weeks"], F.get("close_means", p["at"]), close, before) != F.lit("fail"),
-        )
-        & P.market_cap_between(s["min_cap"], s["max_cap"])
+        & P.volume_spike(c.volume_multiplier, "volume", f"volume_{c.avg_volume_weeks}")
+        & P.price_above_recent(c.price_avg_weeks, rules.zero_window_passes, "close", f"recent_{c.price_avg_weeks}")
+        & P.all_ma_hold([_state(n) for n in c.ma_periods.values()])
+        & P.market_cap_between(c.min_market_cap, c.max_market_cap)
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import ScreenConfig
 from ..functions.predicates import market_cap_between
 from ..operators import judging
-from ..operators.quality import attach_info
+from ..operators.quality import join_info, listed, one_info_per_symbol, repeated
 from ..operators.records import rank_results, to_rich, to_slim
 from ..operators.weekly import screen_history, weekly_bars
 from .dialects import Dialect, dialect_of
@@ -30,7 +31,8 @@ def screen_matches(
     if rules.validates:
         config.validate()
     if symbols is not None:
-        weekly = weekly.join(symbols.select("symbol"), "symbol", "left_semi")
+        weekly = listed(weekly, symbols)
+    info = one_info_per_symbol(info)
     weekly = _eligible(weekly, info, config, rules)
     matches = judging.matching_weeks(weekly, config, rules, as_of)
     if rules.looks_back and not all_weeks:
@@ -57,11 +59,11 @@ def _within_cap(
     matches: DataFrame, info: DataFrame, config: ScreenConfig, rules: Dialect, symbols: DataFrame | None
 ) -> DataFrame:
     """The cap is one value per symbol, so it may come last for every dialect."""
-    kept = attach_info(matches, info, "inner" if rules.info_required else "left").filter(
+    kept = join_info(matches, info, "inner" if rules.info_required else "left").filter(
         market_cap_between(config.min_market_cap, config.max_market_cap)
     )
     if rules.keeps_repeats and symbols is not None:
-        kept = kept.join(symbols.select("symbol"), "symbol")
+        kept = repeated(kept, symbols)
     return kept
 
 
@@ -96,7 +98,9 @@ def screen_bars(
     as_of=None,
     symbols: DataFrame | None = None,
 ) -> DataFrame:
-    """Screen straight from bars. ``live`` reads only the years it needs."""
+    """Screen straight from bars, of which none later than ``as_of`` is read; ``live`` reads only the years it needs."""
     if dialect_of(dialect).max_age_days is not None:
         bars = screen_history(bars, config, as_of)
+    elif as_of is not None:
+        bars = bars.filter(F.col("session_date") <= F.lit(str(as_of)).cast("date"))
     return screen(weekly_bars(bars), info, config, dialect, as_of, symbols)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,16 +40,19 @@ def read_symbols(spark: SparkSession, path: str, mode: str = "fetch", suffix: st
 
 
 def _without_header(lines: DataFrame, mode: str) -> DataFrame:
-    """Drop each file's header, found by position without sorting the lines."""
+    """Drop each file's header, found by position without sorting the lines.
+
+    Only lines that hold the header's words can be one, so only these are joined; all others pass as they are.
+    """
+    text, place = F.col("text"), F.struct("block", "line")
     if mode == "fetch":
+        can_be = reduce(lambda a, b: a & b, [text.contains(w) for w in K.LIST_HEADER_WORDS])
         first = lines.filter(F.col("block") == 0)
     else:
-        first = lines.filter(F.col("text").contains(K.LIST_HEADER) & ~F.col("text").startswith("#"))
-    place = F.struct("block", "line")
-    header = first.groupBy("file").agg(F.min(place).alias("place"), F.min_by("text", place).alias("text"))
-    for word in K.LIST_HEADER_WORDS:
-        header = header.filter(F.col("text").contains(word))
-    return lines.join(header.select("file", "place.block", "place.line"), ["file", "block", "line"], "left_anti")
+        can_be = text.contains(K.LIST_HEADER) & ~text.startswith("#") & reduce(lambda a, b: a & b, [text.contains(w) for w in K.LIST_HEADER_WORDS])
+        first = lines.filter(text.contains(K.LIST_HEADER) & ~text.startswith("#"))
+    header = first.groupBy("file").agg(F.min(place).alias("place")).select("file", "place.block", "place.line")
+    return lines.filter(~can_be).unionByName(lines.filter(can_be).join(header, ["file", "block", "line"], "left_anti"))
 
 
 def distinct_symbols(symbols: DataFrame) -> DataFrame:

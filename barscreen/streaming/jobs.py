@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import ScreenConfig
 from ..functions.cleaning import utc_date
 from ..operators.weekly import ohlcv
-from ..plans.screens import screen
+from ..operators.records import to_rich, to_slim
+from ..plans.dialects import dialect_of
+from ..plans.screens import screen_matches
 
 
 def stream_weekly_bars(stream: DataFrame, delay: str = "1 day", order: str | None = None) -> DataFrame:
@@ -32,10 +35,22 @@ _OHLCV = ("open", "high", "low", "close", "volume")
 
 
 def dedupe_bars(
-    stream: DataFrame, keys: tuple[str, ...] = ("symbol", "session_date"), ts: str = "ts", delay: str = "7 days"
+    bars: DataFrame, keys: tuple[str, ...] = ("symbol", "session_date"), ts: str = "ts", delay: str = "7 days"
 ) -> DataFrame:
-    """Drop bars that arrive again within ``delay`` of the first time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    """One bar for each of ``keys``. A stream drops bars that arrive again within ``delay`` of the first time.
+
+    A table keeps the newest bar by ``ts``, of equal times the one with the largest values.
+    """
+    if bars.isStreaming:
+        return bars.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    rest = [c for c in bars.columns if c not in keys]
+    row = F.struct(*rest)
+    order = F.struct(*([ts] if ts in rest else []), *[c for c in rest if c != ts])
+    return bars.groupBy(*keys).agg(F.max_by(row, order).alias("row")).select(*keys, "row.*").select(*bars.columns)
+
+
+#: Folders that a history is dealt to by symbol; a batch reads those of its symbols.
+HISTORY_BUCKETS = 64
 
 
 def stream_screen(
@@ -47,24 +62,38 @@ def stream_screen(
     checkpoint: str,
     dialect: str = "lookback",
     trigger: dict | None = None,
+    as_of=None,
+    buckets: int = HISTORY_BUCKETS,
 ) -> StreamingQuery:
     """Append finished weeks to a history and screen the symbols that got any.
 
-    Every micro-batch owns one folder of each table and overwrites it when it is
-    run again, so a restart neither loses nor repeats rows.
+    The history is stored by a hash of the symbol, and a batch reads only the folders of its own symbols. Every
+    micro-batch owns its folders and overwrites them when it is run again, so a restart neither loses nor repeats
+    rows. ``as_of`` defaults, for a dialect that needs one, to the newest week of the batch. Results are stored
+    unordered; ``current_results`` reads what holds now.
     """
 
     def screen_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mine = f"batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{history_path}/{mine}")
-        new = spark.read.parquet(f"{history_path}/{mine}")
-        if new.isEmpty():
+        bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
+        stored = batch.withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)})
+        stored.write.partitionBy("bucket", "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(history_path)
+        history = _history(spark, history_path)
+        if history is None:
+            return
+        mine = history.filter(F.col("batch_id") == batch_id)
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
             return
-        history = spark.read.parquet(history_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        affected = history.join(new.select("symbol").distinct(), "symbol", "left_semi")
-        found = screen(affected, info, config, dialect)
-        found.write.mode("overwrite").parquet(f"{results_path}/{mine}")
+        new = mine.filter(F.col("bucket").isin(touched))
+        history = history.filter(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id))
+        affected = history.join(new.select("symbol").distinct(), "symbol", "left_semi").drop("bucket", "batch_id")
+        day = as_of
+        if day is None and dialect_of(dialect).max_age_days is not None:
+            [day] = new.agg(F.max("week_end")).first()
+        found = screen_matches(affected, info, config, dialect, day)
+        records = to_rich(found, config) if dialect_of(dialect).rich else to_slim(found)
+        records.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
     return (
         weekly_stream.writeStream.foreachBatch(screen_batch)
@@ -74,6 +103,21 @@ def stream_screen(
     )
 
 
+def _history(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:  # no batch had any rows yet
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def current_results(spark, history_path: str, results_path: str) -> DataFrame:
+    """What a streaming screen says now: for each symbol the result of the last batch that brought it weeks."""
+    last = _history(spark, history_path).groupBy(F.col("symbol").alias("ticker")).agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(results_path).join(last, ["ticker", "batch_id"], "left_semi").drop("batch_id")
+
+
 def stream_to_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append a stream to a parquet table."""
     return (

@@ -145,12 +145,12 @@ SWEEP = {
 }
 
 
-def sweep_sql(configs, dialect="lookback"):
+def sweep_sql(configs, dialect="lookback", select=S.SLIM):
     """One SELECT per screen over shared weekly bars."""
     parts = []
     for name, c in configs.items():
         parts.append(
-            f"""SELECT '{name}' AS config_id, {S.SLIM} FROM (
+            f"""SELECT '{name}' AS config_id, {select} FROM (
               WITH {S.features(c)}, {S.matches(c, dialect)} SELECT * FROM matches)"""
         )
     ctes = S.with_(S.SUPPLIER_BARS, S.WEEKLY, S.finished(), S.SUPPLIER_INFO)
@@ -168,3 +168,25 @@ def screen_many_snapshot(spark, sf_dir):
     configs = {k: replace(B.NEWEST, volume_multiplier=m) for k, m in (("low", 0.5), ("high", 1.0))}
     weekly, info = B.supplier_weekly(spark, sf_dir), B.supplier_info(spark, sf_dir)
     return rounded(bs.screen_many(weekly, info, configs, "snapshot", B.AS_OF))
+
+
+_TWO = {k: replace(B.NEWEST, volume_multiplier=m) for k, m in (("low", 0.5), ("high", 1.0))}
+
+
+@query(
+    f"""SELECT * FROM ({sweep_sql(_TWO, "live", _RICH)}) AS found
+    JOIN (SELECT CAST(l_suppkey AS VARCHAR) AS ticker FROM lineitem WHERE l_linenumber = 1) AS listed USING (ticker)"""
+)
+def screen_many_live(spark, sf_dir):
+    """Rich records of two screens, repeated as a list repeats its symbols: the suppliers of first lines."""
+    weekly, info = B.supplier_weekly(spark, sf_dir), B.supplier_info(spark, sf_dir)
+    first = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("symbol"))
+    return flat(rounded(bs.screen_many(weekly, info, _TWO, "live", B.AS_OF, first)))
+
+
+@query(S.screen_sql(B.SHORT, "lookback"))
+def info_repeats(spark, sf_dir):
+    """Info that holds every symbol twice, once without figures, doubles no result."""
+    info = B.supplier_info(spark, sf_dir)
+    bare = info.select("symbol", F.lit(None).cast("double").alias("market_cap"), F.lit(None).cast("double").alias("regular_market_price"))
+    return rounded(bs.screen(B.supplier_weekly(spark, sf_dir), bare.union(info), B.SHORT, "lookback", B.AS_OF))

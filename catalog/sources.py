@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import barscreen as bs
+from barscreen.config import settings_frame
 from barscreen.functions.formatting import with_suffix
 from barscreen.plans.diagnostics import explain_screen
 from barscreen.session import scratch_path
@@ -206,6 +207,15 @@ def record_errors(spark, sf_dir):
     )
 
 
+@query(sweep_sql(SWEEP))
+def settings_lines(spark, sf_dir):
+    """All screens in one file, one a line."""
+    path = scratch_path(spark, "settings")
+    settings_frame(spark, SWEEP).coalesce(1).write.json(path)
+    weekly, info = B.supplier_weekly(spark, sf_dir), B.supplier_info(spark, sf_dir)
+    return rounded(bs.screen_many(weekly, info, bs.read_settings(spark, path), "lookback", B.AS_OF))
+
+
 @query(sweep_sql(SWEEP))
 def settings_sweep(spark, sf_dir):
     """Saved settings files, read back and run in one pass."""

@@ -105,5 +105,5 @@ def stream_screen(spark, sf_dir):
         B.SHORT,
         f"{path}/checkpoint",
     ).awaitTermination()
-    found = spark.read.parquet(f"{path}/results").drop("batch_id")
+    found = bs.current_results(spark, f"{path}/history", f"{path}/results")
     return found.withColumns({c: F.round(c, 6) for c in ("avg_volume", "volume_ratio")})

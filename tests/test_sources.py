@@ -165,12 +165,29 @@ def test_settings(spark, tmp_path):
     assert bs.ScreenConfig.from_json(spark, saved) == deep
 
 
-def test_too_many_settings_are_refused(spark):
-    from barscreen.config import configs_from_settings, settings_frame
-
-    frame = settings_frame(spark, {str(i): bs.ScreenConfig() for i in range(3)})
-    with pytest.raises(ValueError):
-        configs_from_settings(frame, max_configs=2)
+def test_settings_in_every_form_lose_no_screen(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.json").write_text('{"volume_multiplier": 3.0}')
+    (tmp_path / "lines.json").write_text('{"ma_short": 1}\n\n{"ma_short": 2}\n{"ma_short": 3, "config_id": "own"}\n')
+    (tmp_path / "list.json").write_text('[\n{"ma_long": 5},\n{"ma_long": 6}\n]')
+    (tmp_path / "pretty.json").write_text('{\n  "ma_long": 7\n}')
+    paths = [str(tmp_path / x) for x in ("a", "b", "lines.json", "list.json", "pretty.json")]
+    rows = {r["config_id"]: r for r in bs.read_settings(spark, paths).collect()}
+    assert len(rows) == 8 and {"own", "lines#0", "lines#1", "list#0", "list#1", "pretty"} < set(rows)
+    assert sorted(k.rsplit("/", 2)[-2:] for k in rows if "same" in k) == [["a", "same"], ["b", "same"]]
+    assert rows["lines#1"]["ma_short"] == 2 and rows["list#1"]["ma_long"] == 6 and rows["pretty"]["ma_long"] == 7
+    (tmp_path / "broken.json").write_text("{oops")
+    with pytest.raises(Exception, match="not a settings file"):
+        bs.read_settings(spark, str(tmp_path / "broken.json")).collect()
+
+
+def test_two_screens_of_one_id_are_refused(spark, weekly_of, info_of):
+    from barscreen.config import settings_frame
+
+    frame = settings_frame(spark, {"a": bs.ScreenConfig()})
+    with pytest.raises(ValueError, match="several screens are named"):
+        bs.screen_many(weekly_of({"A": ([1.0] * 9, [1] * 9)}), info_of({"A": 1}), frame.union(frame))
 
 
 class Session:
