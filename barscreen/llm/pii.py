@@ -108,11 +108,11 @@ class Graph:
         beside = [i for i in range(1, len(words)) if text[ends[i - 1] : starts[i]].isspace() and starts[i] - ends[i - 1] == 1]
         self.chain = np.array([(i - 1, i) for i in beside], np.int64).reshape(-1, 2)
         last: dict[str, int] = {}
-        skip = []
+        skip, touching = [], set(beside)
         for i, w in enumerate(words):
             key = re.sub(r"[\W_]+", "", w).lower() if "@" in w else NOT_DIGIT.sub("", w)
             if len(key) >= LINK_CHARACTERS:
-                if key in last and last[key] < i - 1:
+                if key in last and not (last[key] == i - 1 and i in touching):
                     skip.append((last[key], i))
                 last[key] = i
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
@@ -131,7 +131,8 @@ class Potentials:
 
     def __init__(self, counts: list[tuple[int, int, int, int]]):
         labels = len(KINDS) + 1
-        shapes, self.edges = np.full((SHAPES, labels), 0.1), [np.full((labels, labels), 1.0) for _ in range(2)]
+        # before anything is counted, a chain edge says nothing and a skip edge that its words agree
+        shapes, self.edges = np.full((SHAPES, labels), 0.1), [np.full((labels, labels), 1.0), 0.1 + np.eye(labels)]
         for what, a, b, n in counts:
             (shapes if what == 0 else self.edges[what - 1])[a, b] += n
         for k, e in enumerate(self.edges):
