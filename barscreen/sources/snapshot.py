@@ -21,7 +21,8 @@ METADATA_SCHEMA = "fetch_date_utc string, source_ticker_file string, data_years_
 HISTORY_SCHEMA = "columns array<string>, `index` array<string>, `data` array<array<double>>"
 STOCK_SCHEMA = f"info map<string,string>, history struct<{HISTORY_SCHEMA}>"
 RECORD_SCHEMA = f"symbol string, {STOCK_SCHEMA}, _corrupt_record string"
-BUNDLE_SCHEMA = f"metadata struct<{METADATA_SCHEMA}>, stocks map<string, struct<{STOCK_SCHEMA}>>"
+# Stocks are read as text first, so that a damaged one is known by name.
+BUNDLE_SCHEMA = f"metadata struct<{METADATA_SCHEMA}>, stocks map<string, string>"
 
 SYMBOLS_PER_DOCUMENT = 500
 
@@ -53,18 +54,27 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
         errors = _damaged(raw, "info").select(
             named.alias("symbol"), F.concat(F.lit("unreadable record: "), "_corrupt_record").alias("message")
         )
-        stocks = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        stocks = raw.filter(F.col("_corrupt_record").isNull()).select("symbol", "info", "history", F.col("_metadata.file_path").alias("newest"))
+        stocks = _one_record(stocks)
         metadata = spark.read.schema(METADATA_SCHEMA + ", stock_count long").json(f"{path}/metadata")
         return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors)
     if layout == "bundle":
-        raw = spark.read.schema(BUNDLE_SCHEMA + ", _corrupt_record string").json(path, multiLine=True)
+        raw = spark.read.schema(BUNDLE_SCHEMA + ", _corrupt_record string").json(path, multiLine=True, recursiveFileLookup=True)
         errors = _damaged(raw, "stocks").select(
             F.lit(None).cast("string").alias("symbol"),
             F.when(F.col("stocks").isNull(), F.lit("unreadable document"))
             .otherwise(F.lit("partly unreadable document"))
             .alias("message"),
         )
-        stocks = raw.select(F.explode("stocks").alias("symbol", "stock")).select("symbol", "stock.*")
+        newest = F.struct("metadata.fetch_date_utc", "_metadata.file_path").alias("newest")
+        held = raw.select(newest, F.explode("stocks").alias("symbol", "stock"))
+        read = F.from_json("stock", f"{STOCK_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+        parsed = held.select("symbol", "newest", "stock", read.alias("s"))
+        damaged = F.col("stock").isNotNull() & F.coalesce(F.col("s._corrupt_record").isNotNull(), F.lit(True))
+        errors = errors.unionByName(
+            parsed.filter(damaged).select("symbol", F.concat(F.lit("unreadable record: "), F.substring("stock", 1, 200)).alias("message"))
+        )
+        stocks = _one_record(parsed.filter(~damaged).select("symbol", "s.info", "s.history", "newest"))
         held = F.coalesce(F.cardinality("stocks"), F.lit(0)).cast("long")
         metadata = (
             raw.select("metadata.*", held.alias("stock_count"))
@@ -75,6 +85,12 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def _one_record(stocks: DataFrame) -> DataFrame:
+    """One record for each symbol: that of the newest fetch, of equal times the last file."""
+    record = F.struct("info", "history")
+    return stocks.groupBy("symbol").agg(F.max_by(record, "newest").alias("r")).select("symbol", "r.info", "r.history")
+
+
 def _damaged(raw: DataFrame, field: str) -> DataFrame:
     """Records that did not parse. Spark refuses to read their text without any
     other field, even for a count, hence the test on ``field`` that all pass."""
@@ -100,7 +116,10 @@ def _info(stocks: DataFrame) -> DataFrame:
         return clean_number(F.try_element_at("info", F.lit(key)).try_cast("double"))
 
     return stocks.filter(F.cardinality("info") > 0).select(
-        "symbol", number(K.INFO_MARKET_CAP).alias("market_cap"), number(K.INFO_MARKET_PRICE).alias("regular_market_price")
+        "symbol",
+        number(K.INFO_MARKET_CAP).alias("market_cap"),
+        number(K.INFO_MARKET_PRICE).alias("regular_market_price"),
+        F.map_filter("info", lambda k, _: ~k.isin(K.INFO_MARKET_CAP, K.INFO_MARKET_PRICE)).alias("details"),
     )
 
 
@@ -172,14 +191,21 @@ def _metadata_row(symbols: DataFrame, meta: dict) -> DataFrame:
     )
 
 
+def _open_info(info: DataFrame) -> Column:
+    """The company info as one JSON object: the two figures as numbers, and whatever else was known."""
+    figures = F.to_json(F.struct(F.col("market_cap").alias(K.INFO_MARKET_CAP), F.col("regular_market_price").alias(K.INFO_MARKET_PRICE)))
+    texts = [figures, F.to_json(F.coalesce("details", F.create_map().cast("map<string,string>")))] if "details" in info.columns else [figures]
+    inside = F.filter(F.array(*[F.substr(t, F.lit(2), F.length(t) - 2) for t in texts]), lambda x: x != "")
+    return F.parse_json(F.concat(F.lit("{"), F.array_join(inside, ","), F.lit("}")))
+
+
 def _stock_records(bars: DataFrame, info: DataFrame) -> DataFrame:
     day = F.concat(F.col("session_date").cast("string"), F.lit("T00:00:00.000"))
     bar = F.struct(day.alias("day"), F.array(*[F.col(c) for c in K.OHLCV]).alias("cells"))
     histories = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    details = F.struct(F.col("market_cap").alias(K.INFO_MARKET_CAP), F.col("regular_market_price").alias(K.INFO_MARKET_PRICE))
-    return histories.join(info.select("symbol", details.alias("info")), "symbol", "left").select(
+    return histories.join(info.select("symbol", _open_info(info).alias("info")), "symbol", "left").select(
         "symbol",
-        F.coalesce("info", F.struct(*[F.lit(None).cast("double").alias(k) for k in (K.INFO_MARKET_CAP, K.INFO_MARKET_PRICE)])).alias("info"),
+        F.coalesce("info", F.parse_json(F.lit("{}"))).alias("info"),
         F.struct(
             F.array(*[F.lit(f) for f in K.HISTORY_FIELDS]).alias("columns"),
             F.col("bars.day").alias("index"),

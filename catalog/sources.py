@@ -141,7 +141,7 @@ FROM daily LEFT JOIN info USING (symbol)"""
 
 
 def _with_info(snapshot):
-    return snapshot.bars.drop("bar_year").join(snapshot.info, "symbol", "left")
+    return snapshot.bars.drop("bar_year").join(snapshot.info.drop("details"), "symbol", "left")
 
 
 @query(_SNAPSHOT)
@@ -169,6 +169,37 @@ def snapshot_bundle(spark, sf_dir):
     return _with_info(_saved(spark, sf_dir, "bundle"))
 
 
+@query(
+    f"""{S.with_(S.SUPPLIER_BARS, S.DAILY)} SELECT symbol, session_date, "close", volume FROM daily"""
+)
+def snapshot_overlap(spark, sf_dir):
+    """Two snapshots that hold the same symbols: the newer one counts, and no bar is there twice."""
+    path = scratch_path(spark, "snapshot_overlap")
+    bars = bs.daily_bars(B.supplier_bars(spark, sf_dir))
+    old = bars.withColumn("volume", F.col("volume") * 3)
+    for name, held, day in (("a", bars, "2001-11-05"), ("b", old, "2001-11-04")):
+        write_snapshot(held, B.listed_info(spark, sf_dir), {**_META, "fetch_date_utc": f"{day}T03:04:05+00:00"}, f"{path}/{name}", "bundle")
+    return read_snapshot(spark, path, "bundle").bars.select("symbol", "session_date", "close", "volume")
+
+
+@query(
+    f"""{S.with_(S.LISTED_INFO)} SELECT layout, symbol, s_name AS "name", market_cap FROM info
+    JOIN supplier ON symbol = CAST(s_suppkey AS VARCHAR) JOIN (VALUES ('parquet'), ('jsonl'), ('bundle')) AS l(layout) ON TRUE
+    WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)"""
+)
+def snapshot_open_info(spark, sf_dir):
+    """What else is known of a company is kept by all layouts."""
+    names = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), F.create_map(F.lit("name"), "s_name").alias("details"))
+    bars, info = bs.daily_bars(B.supplier_bars(spark, sf_dir)), B.listed_info(spark, sf_dir).join(names, "symbol")
+    found = []
+    for layout in ("parquet", "jsonl", "bundle"):
+        path = scratch_path(spark, f"open_{layout}")
+        write_snapshot(bars, info.join(bars.select("symbol").distinct(), "symbol", "left_semi"), _META, path, layout)
+        read = read_snapshot(spark, path, layout).info
+        found.append(read.select(F.lit(layout).alias("layout"), "symbol", F.col("details")["name"].alias("name"), "market_cap"))
+    return found[0].union(found[1]).union(found[2])
+
+
 @query(
     """SELECT '2001-11-05 03:04 UTC' AS fetched_text, 'suppliers' AS source_ticker_file,
     CAST(15 AS INTEGER) AS data_years_fetched, count(DISTINCT l_suppkey) AS stock_count FROM lineitem"""

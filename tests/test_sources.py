@@ -78,7 +78,7 @@ def test_bundle(spark, tmp_path):
         ("A", "2024-01-03", 3.0, None, 3.5, 0.0),
         ("B", "2024-01-02", None, None, 4.0, None),
     }
-    assert {tuple(r) for r in snap.info.collect()} == {("A", 5e6, 1.5), ("C", None, None)}
+    assert {tuple(r) for r in snap.info.drop("details").collect()} == {("A", 5e6, 1.5), ("C", None, None)}
     meta = bs.snapshot_metadata(snap).first()
     assert (meta.fetched_text, meta.stock_count, meta.data_years_fetched) == ("2024-05-01 12:34 UTC", 3, 15)
     assert symbols(bs.valid_info(snap.info)) == ["A"]
@@ -115,7 +115,8 @@ def test_snapshot_roundtrip(spark, info_of, layout):
     bs.write_snapshot(bars, info, meta, path, layout, symbols_per_document=2)
     snap = bs.read_snapshot(spark, path, layout)
     assert sorted(map(tuple, snap.bars.select(bars.columns).collect())) == sorted(map(tuple, bars.collect()))
-    assert sorted(map(tuple, snap.info.collect())) == sorted(map(tuple, info.collect()))
+    figures = snap.info.select(*info.columns).collect()
+    assert sorted(map(tuple, figures)) == sorted(map(tuple, info.collect()))
     got = bs.snapshot_metadata(snap).first()
     assert (got.stock_count, got.source_ticker_file, got.data_years_fetched) == (3, "x", 3)
     assert snap.errors.count() == 0
@@ -208,3 +209,19 @@ def test_scratch_follows_the_session():
     assert scratch_path(Session(spark_master="local[2]"), "x").endswith("/x")
     with pytest.raises(ValueError):
         scratch_path(Session(spark_master="yarn"), "x")
+
+
+def test_a_damaged_stock_of_a_bundle_is_named(spark, tmp_path):
+    good = '{"info": {"marketCap": 1, "sector": "Tech"}, "history": {"columns": ["Close"], "index": ["2024-01-02"], "data": [[1.0]]}}'
+    text = '{"metadata": {"fetch_date_utc": "2024-01-03"}, "stocks": {"GOOD": %s, "BAD": {"info": 7, "history": "none"}}}' % good
+    (tmp_path / "one.json").write_text(text)
+    snap = bs.read_snapshot(spark, str(tmp_path / "one.json"), "bundle")
+    assert [r.symbol for r in snap.errors.collect()] == ["BAD"]
+    assert [(r.symbol, r.market_cap, r.details) for r in snap.info.collect()] == [("GOOD", 1.0, {"sector": "Tech"})]
+    assert snap.bars.count() == 1
+
+
+def test_one_bar_a_day_in_a_table(spark):
+    rows = [("A", date(2024, 1, 2), 1.0, 1), ("A", date(2024, 1, 2), 2.0, 3), ("A", date(2024, 1, 2), 5.0, 2), ("B", date(2024, 1, 2), 4.0, 1)]
+    bars = spark.createDataFrame(rows, "symbol string, session_date date, close double, ts int")
+    assert sorted((r.symbol, r.close) for r in bs.dedupe_bars(bars).collect()) == [("A", 2.0), ("B", 4.0)]
