@@ -87,13 +87,20 @@ def _packed(mask: np.ndarray, words: int) -> np.ndarray:
     return wide.view(np.uint64)
 
 
-def links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def links(bucket: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Pairs of rows of one bucket, within the radius, that connect whatever all such pairs would connect.
 
+    Rows of a bucket that have one of ``labels`` in common count as connected. With ``every`` all pairs of unlike labels
+    are given, whether or not others connect them.
+
     ``bucket`` is sorted. A pair whose rows are connected already isn't compared again, and a bucket that is
     wholly connected is left: a group of n near copies costs a few passes and gives n - 1 pairs, not n squared.
     """
     parent = np.arange(len(bucket))
+    if labels is not None and len(bucket):
+        order = np.lexsort((labels, bucket))
+        new = np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (labels[order][1:] != labels[order][:-1])]
+        parent[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # lexsort is stable: the first row of the label
     found: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
@@ -128,6 +135,9 @@ def links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, i
         padded = planes if q == 0 else np.pad(planes, ((0, 0), (0, q)))
         near = close_lanes(padded, lanes, shift, radius)
         hits = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(rows)])
+        if every:
+            found += zip(rows[hits].tolist(), rows[hits + shift].tolist())
+            continue
         for i, j in zip(rows[hits].tolist(), rows[hits + shift].tolist()):
             x, y = root(i), root(j)
             if x != y:

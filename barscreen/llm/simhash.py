@@ -6,6 +6,9 @@ are linked if their fingerprints differ in at most ``radius`` bits, and componen
 Candidates share a key. ``pigeonhole`` keys find every link of a 64-bit fingerprint within three bits: of five
 blocks of bits, two at least are equal. ``bands`` of a wide fingerprint find the links of a wider radius with a
 probability that grows with the number of bands. Inside a bucket the rows are compared by ``bitslice.links``.
+
+With a ``similarity``, links of fingerprints are candidates only: the texts' sets of shingles are compared, and a link
+holds from that similarity on (common shingles by all shingles of the two). Keys are then bands of least hashes.
 """
 
 from __future__ import annotations
@@ -40,15 +43,20 @@ class SimHash:
     shingle: int = 3
     bits: int = 64
     radius: int = 3
+    similarity: float | None = None
 
     def __post_init__(self) -> None:
         if self.bits % 64 or self.bits < 64 or (self.bits == 64 and self.radius > 3):
             raise ValueError("64 bits serve a radius of 3 at most; wider fingerprints have a multiple of 64 bits")
 
 
-#: For stages on five-word shingles and a similarity of 0.8: such texts differ in 78 of 512 bits on average, with a
-#: deviation of 8, and share one of 32 bands of 16 bits nine times of ten; each better copy is found more surely.
-NEAR = SimHash(shingle=5, bits=512, radius=92)
+#: For stages on five-word shingles and a similarity of 0.8. Such texts differ in 78 of 512 bits on average, with a
+#: deviation of 8, and texts of a few shingles in up to 96; unrelated ones differ in 256.
+NEAR = SimHash(shingle=5, bits=512, radius=120, similarity=0.8)
+#: Bands of least hashes, and hashes of a band: texts of a similarity of 0.8 share a band with a probability of 0.998.
+MIN_BANDS, MIN_ROWS = 16, 5
+#: Rounds that connect candidates by few links before all that are left are compared.
+SPANNING_ROUNDS = 3
 
 
 def shingle_hashes(text: bytes | None, size: int) -> list[int]:
@@ -99,6 +107,22 @@ def majorities(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray
     return out
 
 
+def least_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, MIN_BANDS) of uint64: a key for each band of least hashes; texts without shingles have zeros."""
+    out = np.zeros((len(counts), MIN_BANDS), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    first = np.cumsum(counts[full]) - counts[full]
+    odd = _mixed(np.arange(2 * MIN_BANDS * MIN_ROWS, dtype=np.uint64), 1)
+    for band in range(MIN_BANDS):
+        key = np.full(len(full), band, np.uint64)
+        for k in range(band * MIN_ROWS, (band + 1) * MIN_ROWS):
+            key = _mixed(key ^ np.minimum.reduceat((hashes ^ odd[2 * k]) * (odd[2 * k + 1] | np.uint64(1)), first), 1)
+        out[full, band] = key
+    return out
+
+
 def _nodes(fps: np.ndarray) -> np.ndarray:
     """A long for each fingerprint: itself, or the hash of a wider one."""
     if fps.shape[1] == 1:
@@ -107,6 +131,10 @@ def _nodes(fps: np.ndarray) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(x.tobytes(), SEED) for x in raw), np.uint64, len(raw)).view(np.int64)
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+
+
 def _binary(fps: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in fps.astype(">u8")], pa.binary())
 
@@ -116,7 +144,10 @@ def _words(column: pa.Array, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, how: SimHash, text: str = "text") -> DataFrame:
-    """``docs`` with ``fp`` (binary) and ``node`` (long) in place of the text."""
+    """``docs`` with ``fp`` (binary) and ``node`` (long) in place of the text.
+
+    With a similarity a shingle counts once, its keys follow the fingerprint, and ``node`` names the set of shingles.
+    """
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     words = how.bits // 64
@@ -126,8 +157,9 @@ def fingerprints(docs: DataFrame, how: SimHash, text: str = "text") -> DataFrame
             texts = batch.column(text).cast(pa.binary())
             found = []
             for x in texts:  # one text at a time: only hashes stay
-                found.append(np.array(shingle_hashes(x.as_py(), how.shingle), np.uint64))
-            fps = np.zeros((len(found), words), np.uint64)
+                hashes = np.array(shingle_hashes(x.as_py(), how.shingle), np.uint64)
+                found.append(hashes if how.similarity is None else np.unique(hashes))
+            fps = np.zeros((len(found), words if how.similarity is None else words + MIN_BANDS), np.uint64)
             at = 0
             while at < len(found):  # so many hashes at once
                 to, size = at, 0
@@ -135,10 +167,14 @@ def fingerprints(docs: DataFrame, how: SimHash, text: str = "text") -> DataFrame
                     size += len(found[to])
                     to += 1
                 counts = np.array([len(x) for x in found[at:to]], np.int64)
-                fps[at:to] = majorities(np.concatenate(found[at:to]), counts, words)
+                hashes = np.concatenate(found[at:to])
+                fps[at:to, :words] = majorities(hashes, counts, words)
+                if how.similarity is not None:
+                    fps[at:to, words:] = least_hashes(hashes, counts)
                 at = to
+            nodes = _nodes(fps) if how.similarity is None else _names(found)
             columns = [batch.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, _binary(fps), pa.array(_nodes(fps))], [*rest, "fp", "node"])
+            yield pa.RecordBatch.from_arrays([*columns, _binary(fps), pa.array(nodes)], [*rest, "fp", "node"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
     return docs.select(*rest, text).mapInArrow(work, f"{kinds}, fp binary, node long")
@@ -155,15 +191,25 @@ def bucket_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack([k | np.uint64(i << 32) for i, k in enumerate(keys)], axis=1).view(np.int64)
 
 
-def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(u, v): links between the distinct fingerprints of ``nodes`` (fp) that connect whatever all links connect."""
+def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_ROWS, turn: int = 0, every: bool = False) -> DataFrame:
+    """(u, v): links between the distinct fingerprints of ``nodes`` (fp) that connect whatever all links connect.
+
+    With a similarity ``nodes`` has node and label as well: rows of one label are connected, rows of a bucket are ordered
+    anew each ``turn``, and ``every`` gives all links between labels.
+    """
     words = how.bits // 64
+    named = [] if how.similarity is None else ["node", "label"]
 
     def keyed(batches):
         for batch in batches:
-            keys = bucket_keys(_words(batch.column("fp"), words))
+            if named:
+                wide = _words(batch.column("fp"), words + MIN_BANDS)
+                fps, keys = _binary(wide[:, :words]), wide[:, words:].view(np.int64)
+            else:
+                fps, keys = batch.column("fp"), bucket_keys(_words(batch.column("fp"), words))
             again = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("fp").take(again)], ["k", "fp"])
+            columns = [pa.array(keys.ravel()), *(batch.column(c).take(again) for c in named), fps.take(again)]
+            yield pa.RecordBatch.from_arrays(columns, ["k", *named, "fp"])
 
     def compared(batches):
         held: list[pa.Table] = []
@@ -189,23 +235,84 @@ def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_
 
     def _found(rows, ids):
         fps = _words(rows.column("fp"), words)
-        pairs = links(ids, fps, how.radius)
+        pairs = links(ids, fps, how.radius, rows.column("label").to_numpy() if named else None, every)
         if pairs:
-            u, v = (fps[[p[i] for p in pairs]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(u)), pa.array(_nodes(v))], ["u", "v"])
+            ends = [[p[i] for p in pairs] for i in (0, 1)]
+            u, v = (rows.column("node").to_numpy()[x] if named else _nodes(fps[x]) for x in ends)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    total = nodes.count() * (10 if words == 1 else 4 * words)
+    total = nodes.count() * (MIN_BANDS if named else 10 if words == 1 else 4 * words)
     limit = max(bucket_rows, total // LARGE_BUCKETS)
-    rows = nodes.select("fp").mapInArrow(keyed, "k long, fp binary")
+    rows = nodes.select(*named, "fp").mapInArrow(keyed, ", ".join(["k long", *(f"{c} long" for c in named), "fp binary"]))
     large = F.broadcast(rows.groupBy("k").count().where(F.col("count") > limit))  # LARGE_BUCKETS rows at most
     parts = F.coalesce(F.ceil(F.col("count") / limit), F.lit(1)).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = (
         rows.join(large, "k", "left").withColumn("parts", parts).withColumn("c", chunk)
-        .select("k", "c", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        .select("k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "fp")
+        .select("k", "c", *named, "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        .select("k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), *named, "fp")
     )
-    return dealt.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b", "fp").mapInArrow(compared, "u long, v long")
+    order = F.xxhash64("node", F.lit(turn)) if named else F.col("fp")
+    return dealt.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b", order).mapInArrow(compared, "u long, v long")
+
+
+def judged(pairs: DataFrame, texts: DataFrame, how: SimHash) -> DataFrame:
+    """(u, v, same): whether the texts (node, text) of each of ``pairs`` (u, v) have the similarity, by their sets of shingles."""
+    small_batches(pairs.sparkSession)
+
+    def work(batches):
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            ends = [batch.column(c).to_pylist() for c in ("u", "v")]
+            same = []
+            for row, (u, v) in enumerate(zip(*ends)):
+                for node, c in ((u, "one"), (v, "two")):
+                    if node not in sets:
+                        sets[node] = np.unique(np.array(shingle_hashes(batch.column(c)[row].as_py(), how.shingle), np.uint64))
+                x, y = sets[u], sets[v]
+                least, most = sorted((len(x), len(y)))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if least >= how.similarity * most - 1e-9 else 0
+                same.append(common >= how.similarity * (least + most - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same, pa.bool_())], ["u", "v", "same"])
+
+    raw = texts.select("node", F.col("text").cast("binary").alias("text"))
+    both = pairs.join(raw.toDF("u", "one"), "u").join(raw.toDF("v", "two"), "v")
+    return both.select("u", "v", "one", "two").mapInArrow(work, "u long, v long, same boolean")
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
+    """(u, v): links of ``nodes`` of the similarity that connect whatever all such links among the candidates connect.
+
+    Few links connect all candidates; only where one of them fails, further ones are compared: some rounds of few links
+    between what isn't connected yet, then all that are left. ``marked`` has node and text_sign, ``docs`` the texts.
+    """
+    rest = nodes.select("node", "fp", F.col("node").alias("label"))
+    good, texts = None, None
+    for turn in range(SPANNING_ROUNDS + 1):
+        every = turn == SPANNING_ROUNDS
+        pairs = fingerprint_links(rest, how, turn=turn, every=every)
+        pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+        if texts is None:
+            wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+            signs = stored(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_sign").alias("text_sign")), "signs")
+            plain = docs.select(_text_sign().alias("text_sign"), "text").join(signs, "text_sign")
+            texts = stored(plain.groupBy("node").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")), "texts")
+            groups = stored(components(pairs), "groups")
+        found = stored(judged(pairs, texts, how), "judged")
+        good = found.where("same").select("u", "v") if good is None else good.union(found.where("same").select("u", "v"))
+        if every or found.where("not same").isEmpty():
+            break
+        # groups of candidates with a link that failed, by what is connected in them
+        open_ = found.where("not same").join(groups, F.col("u") == F.col("node")).select("root").distinct()
+        left = groups.join(open_, "root", "left_semi").select("node")
+        named = components(good).select("node", F.col("root").alias("label")).distinct()
+        rest = nodes.select("node", "fp").join(left, "node", "left_semi").join(named, "node", "left")
+        rest = stored(rest.select("node", "fp", F.coalesce("label", "node").alias("label")), "rest")
+    return good
+
+
+def _text_sign():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def simhash_classes(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
@@ -213,11 +320,12 @@ def simhash_classes(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
 
     ``docs`` has doc_id, text and any others but these. component_id is the smallest doc_id that links reach,
     null where all of them are null. Texts without words (null, empty, white space) have a fingerprint of zeros,
-    which links like any other. Rows of one root are one class. Repeated rows share a fingerprint. An empty table gives an empty table.
+    which links like any other (with a similarity they are copies of each other only). Rows of one root are one class. Repeated rows share a fingerprint. An empty table gives an empty table.
     """
-    marked = stored(fingerprints(docs, how), "fingerprints")
+    given = docs if how.similarity is None else docs.withColumn("text_sign", _text_sign())
+    marked = stored(fingerprints(given, how), "fingerprints")
     nodes = stored(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    stars = components(fingerprint_links(nodes, how))
+    stars = components(fingerprint_links(nodes, how) if how.similarity is None else similar_links(docs, marked, nodes, how))
     grouped = stars.join(nodes.select("node", "rep"), "node")
     least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
     joined = stars.join(least, "root").select("node", "root", "least")
@@ -226,7 +334,7 @@ def simhash_classes(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
         F.coalesce("root", "node").alias("root"),
         F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"),
     )
-    return marked.join(classes, F.col("node") == F.col("n")).drop("n")
+    return marked.join(classes, F.col("node") == F.col("n")).drop("n", "text_sign")
 
 
 def survivors(docs: DataFrame, how: SimHash = NEAR) -> DataFrame:

@@ -117,6 +117,34 @@ def naive_spans(text):
     return out
 
 
+def test_near_copies_are_those_of_the_similarity(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((8, 12, 30, 120, 400)))]
+        texts.append(base)
+        for _ in range(6):  # a changed run costs its length and four shingles more
+            copy, at = list(base), rng.randrange(len(base))
+            for k in range(at, min(len(base), at + max(1, round(rng.choice((0.01, 0.05, 0.08, 0.1, 0.13, 0.17)) * len(base))))):
+                copy[k] = word()
+            texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    pairs, alike = defaultdict(int), []
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if common := len(sets[a] & sets[b]):
+            share = common / len(sets[a] | sets[b])
+            pairs[min(9, int(10 * share))] += 1
+            if share >= 0.8:
+                alike.append((a, b))
+    assert min(pairs[k] for k in (6, 7, 8)) > 20
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.survivors(docs).collect()}
+    wanted = set(grouped(alike, len(texts)))
+    assert wanted <= left, "a text that is nobody's copy was dropped"
+    assert len(left - wanted) <= len(wanted) // 50
+
+
 def test_base_spans_equal_the_plain_patterns():
     rng = random.Random(3)
     for _ in range(20_000):
