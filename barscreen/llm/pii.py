@@ -142,6 +142,16 @@ class Potentials:
         chance = shapes / shapes.sum(1, keepdims=True)
         chance[:, 1:] *= MISSED
         self.shapes = np.log(chance)
+        # a message favours an entity over none by its edge's largest ratio at most
+        self.gains = [max(0.0, float((e[:, 1:] - e[:, :1]).max())) for e in self.edges]
+
+    def may_add(self, graph: Graph) -> bool:
+        """Whether some unobserved node can come out as an entity, whatever its neighbours are."""
+        unary = self.shapes[graph.shapes]
+        most = unary[:, 1:].max(1) - unary[:, 0]
+        for edges, gain in zip((graph.chain, graph.skip), self.gains):
+            most += gain * np.bincount(edges.ravel(), minlength=len(most))
+        return bool((most[graph.labels == 0] > 0).any())
 
 
 def beliefs(graph: Graph, model: Potentials) -> np.ndarray:
@@ -174,11 +184,8 @@ def beliefs(graph: Graph, model: Potentials) -> np.ndarray:
 
 def entity_spans(text: str, base: list[tuple[int, int, int]], model: Potentials) -> list[tuple[int, int, int]]:
     """Base spans and those that the field adds, by kind and start."""
-    if not base:  # no observed label could spread
-        return base
     graph = Graph(text, base)
-    edges = np.concatenate([graph.chain, graph.skip])
-    if not len(edges) or not (graph.labels[edges] == 0).any():
+    if not model.may_add(graph):
         return base
     best = beliefs(graph, model).argmax(1)
     added: list[list[int]] = []
@@ -241,7 +248,7 @@ def find_personal_data(docs: DataFrame, counts: list[tuple[int, int, int, int]]
             for x in batch.column("text"):
                 text = x.as_py()
                 base = base_spans(text or "")
-                spans = entity_spans(text, base, model) if base else base
+                spans = entity_spans(text, base, model) if text and HINT.search(text) else base
                 columns[0].append(named(base))
                 columns[1].append(named(spans))
                 columns[2].append(redact(text, spans) if spans else text)

@@ -170,6 +170,14 @@ def test_the_field_finds_repetitions_that_patterns_miss(spark):
     assert pii.redact(text, base) == "call [PHONE] today, or later 555-7713 again; order 12345678"
 
 
+def test_shapes_alone_decide_where_nothing_is_observed():
+    model = pii.Potentials([(0, pii.shape("555-4081"), 4, 150), (0, pii.shape("1999"), 0, 150)])
+    text = "call 555-4081 now"
+    assert pii.entity_spans(text, pii.base_spans(text), model) == [(3, 5, 13)]
+    assert pii.entity_spans("in 1999 again", [], model) == []
+    assert pii.entity_spans("no node", [], model) == []
+
+
 def test_personal_data_of_odd_rows(spark):
     docs = odd_documents(spark).union(spark.createDataFrame([(20, "me@x.org 4111111111111111", "a", None)], DOCS))
     rows = pii.find_personal_data(docs).collect()
