@@ -42,7 +42,7 @@ class WordIds(dict):
 
     The tokenizer drops white space, folds case and never joins what white space parts: a text's ids are those of
     its lower-cased pieces in order. A full stop or comma after a letter or digit is a token of its own. Names of
-    special tokens are searched before all that, so a text that has one is encoded whole.
+    special tokens are searched before all that, so a text that has one, in any case, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,11 +63,12 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if any(name in text for name in self.names):
+        low = text.encode().lower()
+        if any(name in text or name.encode().lower() in low for name in self.names):
             return self.whole(text)
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 class Packer:

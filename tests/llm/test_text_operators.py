@@ -125,6 +125,12 @@ def test_packing_places_every_id_once(spark, which):
     assert packing.pack_documents(empty(spark), packing.vocabulary()).count() == 0
 
 
+def test_names_of_special_tokens_in_other_cases_are_ordinary_text():
+    ids = packing.WordIds(packing.vocabulary())
+    for text in ("a <|EndOfText|> b", "x<|STARTOFTEXT|>", "a <|endoftext|> b", "plain Words."):
+        assert ids.encode(text) == ids.whole(text)
+
+
 def test_step_groups_hold_the_same_tokens(spark):
     docs = spark.createDataFrame([(i, "a " * (20 + 37 * i % 900)) for i in range(400)], "doc_id long, text string").coalesce(1)
     rows = packing.pack_documents(docs, packing.vocabulary(), group_tokens=8192)
