@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a set of words. It matches a template if it holds ``threshold`` or more of the template's
-words. Words are ordered by how many blocks of the corpus hold them, rarest first. A block can only match if one of its
-rarest words is one of the template's rarest (prefix filter), if it holds enough template words at all (length filter),
-and if enough words remain behind the first common one (positional filter); what remains is counted exactly.
+A block is a line of a text, or a run of words across line ends, a little longer than the template: notices are
+wrapped. It matches a template if it holds ``threshold`` or more of the template's words.
 
-Only template words matter, so a block is reduced to its template words before anything is joined; most blocks have too
-few. The join is on a word, against one row for each word of the templates' prefixes.
+What a block holds its text holds. So whole texts, as sets of words, are joined first. Words are ordered by how many
+texts hold them, rarest first. A text can only match if one of its rarest words is one of the template's rarest (prefix
+filter), if it holds enough template words at all (length filter), and if enough words remain behind the first common
+one (positional filter); what remains is counted exactly, and its blocks are looked at.
+
+Only template words matter, so a text is reduced to its template words before it is joined, on a word, against one row
+for each word of the templates' prefixes.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def _runs(text: str) -> list[str]:
 
 
 def ranked_words(blocks: DataFrame, words: list[str]) -> list[str]:
-    """``words``, rarest first by how many blocks (words: array) hold them; at most TEMPLATE_WORDS are counted."""
+    """``words``, rarest first by how many texts (words: array) hold them; at most TEMPLATE_WORDS are counted."""
     held = blocks.select(F.explode(F.array_intersect(F.lit(words), "words")).alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
@@ -72,8 +75,8 @@ def template_prefixes(spark: SparkSession, templates, order: list[str], threshol
         own = sorted(_distinct_words(text), key=rank.__getitem__)
         needed = _needed(own, threshold)
         for place in range(len(own) - needed + 1):
-            entries.setdefault(own[place], []).append((label, place, needed, own))
-    schema = "word string, entries array<struct<label: string, place: int, needed: int, vocabulary: array<string>>>"
+            entries.setdefault(own[place], []).append((label, place, needed, own, ceil(len(_runs(text)) / threshold - 1e-9)))
+    schema = "word string, entries array<struct<label: string, place: int, needed: int, vocabulary: array<string>, reach: int>>"
     return spark.createDataFrame(sorted(entries.items()), schema)
 
 
@@ -96,19 +99,43 @@ def phrase_places(words: Column, phrases) -> Column:
     return F.concat(*[of(p) for p, _ in phrases])
 
 
-def matches(entries: Column, block: Column, place: Column) -> Column:
-    """(label, share) of the templates, of those in ``entries``, that a block matches; its word at ``place`` led here."""
+def matches(entries: Column, held: Column, place: Column, text: Column) -> Column:
+    """(label, share) of the templates, of those in ``entries``, that a block of a text matches.
+
+    ``held`` are the text's template words; the one at ``place`` led here. A template counts at its first common word only.
+    """
 
     def promising(e: Column) -> Column:
-        left = F.least(F.size(block) - place, F.size(e["vocabulary"]) - e["place"])  # common words from here on, at most
-        return (F.size(block) >= e["needed"]) & (place <= F.size(block) - e["needed"]) & (left >= e["needed"])
+        left = F.least(F.size(held) - place, F.size(e["vocabulary"]) - e["place"])  # common words from here on, at most
+        enough = (F.size(held) >= e["needed"]) & (place <= F.size(held) - e["needed"]) & (left >= e["needed"])
+        first = ~F.arrays_overlap(F.slice(held, 1, place), e["vocabulary"])
+        return enough & first & (F.size(F.array_intersect(e["vocabulary"], held)) >= e["needed"])
 
-    common = lambda e: F.size(F.array_intersect(e["vocabulary"], block))
-    counted = F.transform(
-        F.filter(entries, promising),
-        lambda e: F.struct(e["label"].alias("label"), (common(e) / F.size(e["vocabulary"])).alias("share"), (common(e) >= e["needed"]).alias("ok")),
-    )
-    return F.filter(counted, lambda m: m["ok"])
+    def best(e: Column, lines: Column) -> Column:
+        """The most template words that one block holds."""
+        in_line = F.array_max(F.transform(lines, lambda line: F.size(F.array_intersect(e["vocabulary"], line))))
+        placed = F.transform(F.flatten(lines), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+
+        def in_runs(own: Column) -> Column:
+            def run(x: Column, i: Column) -> Column:
+                near = F.filter(F.slice(own, i + 1, e["reach"]), lambda y: y["at"] < x["at"] + e["reach"])
+                return F.size(F.array_distinct(F.transform(near, lambda y: y["w"])))
+
+            return F.coalesce(F.array_max(F.transform(own, run)), F.lit(0))
+
+        runs = let(F.filter(placed, lambda x: F.array_contains(e["vocabulary"], x["w"])), in_runs)
+        return F.greatest(in_line, runs)
+
+    def counted(chosen: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), word_list)
+        return let(lines, lambda ls: F.transform(chosen, lambda e: F.struct(
+            e["label"].alias("label"), e["needed"].alias("needed"), F.size(e["vocabulary"]).alias("of"), best(e, ls).alias("common"))))
+
+    none = F.array().cast("array<struct<label: string, share: double>>")
+    found = let(F.filter(entries, promising), lambda chosen: F.when(F.size(chosen) > 0, F.transform(
+        F.filter(counted(chosen), lambda m: m["common"] >= m["needed"]),
+        lambda m: F.struct(m["label"].alias("label"), (m["common"] / m["of"]).alias("share")))).otherwise(none))
+    return F.when(entries.isNotNull(), found)
 
 
 def scan_licenses(
@@ -117,7 +144,8 @@ def scan_licenses(
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of ``docs``.
 
     ``docs`` has doc_id, text and any others. ``n_base`` counts the places of all ``phrases``; first_word and last_word
-    are their smallest and largest place, null without any. ``labels`` adds those of templates that a line matches.
+    are their smallest and largest place, null without any. ``labels`` adds those of templates that a line
+    or a run of words matches.
     ``score`` is 1 with a phrase, else the largest share of a matched template's words, else 0. A null or empty text has
     no words and no labels. Rows that agree in doc_id and text are worked out once and returned as often as they occur.
     """
@@ -126,26 +154,28 @@ def scan_licenses(
         raise ValueError(f"templates have more than {TEMPLATE_WORDS} words")
     least = min(_needed(_distinct_words(t), threshold) for _, t in templates)
     text = F.coalesce(F.col("text"), F.lit(""))
-    order = ranked_words(docs.select(F.explode(F.split(text, "\n")).alias("line")).select(word_list(F.col("line")).alias("words")), vocabulary)
+    order = ranked_words(docs.select(word_list(text).alias("words")), vocabulary)
     prefixes = template_prefixes(docs.sparkSession, templates, order, threshold)
 
     hint = "|".join(sorted({p.split(" ")[-1] for p, _ in phrases}))  # without these letters a text has no phrase
     none = F.array().cast("array<struct<at: int, phrase: string>>")
     found = F.when(text.rlike(f"(?i)({hint})"), let(word_list(text), lambda w: phrase_places(w, phrases))).otherwise(none)
-    held = F.transform(F.split(text, "\n"), lambda line: F.array_intersect(F.lit(order), word_list(line)))
     rows = docs.select(
         "doc_id", F.xxhash64(text).alias("sign"), F.md5(text).alias("digest"),
         F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"),
         found.alias("found"),
-        F.filter(held, lambda w: F.size(w) >= least).alias("blocks"),
+        F.array_intersect(F.lit(order), word_list(text)).alias("held"),
+        text.alias("text"),
     )
-    rows = rows.select("*", F.posexplode_outer("blocks").alias("k", "block")).drop("blocks")
-    prefix = F.slice("block", 1, F.greatest(F.size("block") - least + 1, F.lit(0)))
+    prefix = F.slice("held", 1, F.greatest(F.size("held") - least + 1, F.lit(0)))
     rows = rows.select("*", F.posexplode_outer(prefix).alias("place", "word"))
-    first = (F.coalesce("k", F.lit(0)) == 0) & (F.coalesce("place", F.lit(0)) == 0)
-    hit = rows.join(prefixes, "word", "left").withColumn("hits", matches(F.col("entries"), F.col("block"), F.col("place")))
+    first = F.coalesce("place", F.lit(0)) == 0
+    hits = matches(F.col("entries"), F.col("held"), F.col("place"), F.col("text"))
+    prefixes = F.broadcast(prefixes)  # TEMPLATE_WORDS rows at most; texts must not move for it
+    hit = rows.join(prefixes, "word", "left").select("doc_id", "sign", "digest", "n_words", "found", first.alias("first"), hits.alias("hits"))
+    hit = hit.where(F.col("first") | (F.size("hits") > 0))  # one row a text, and those with matches
     per_text = hit.groupBy("doc_id", "sign", "digest").agg(
-        F.sum(first.cast("long")).alias("copies"),
+        F.sum(F.col("first").cast("long")).alias("copies"),
         F.max("n_words").alias("n_words"),
         F.max("found").alias("found"),
         F.collect_set(F.when(F.size("hits") > 0, F.transform("hits", lambda h: h["label"]))).alias("matched"),

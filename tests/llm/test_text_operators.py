@@ -184,6 +184,16 @@ def brute_rules(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
 
 
+def test_wrapped_notices_match(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated\ndocumentation files, to deal"
+    bsd = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    words = bsd.replace("\n", " ").split()
+    apart = " filler words between\n".join(words)  # the words of a notice, all over a text
+    docs = spark.createDataFrame([(1, mit), (2, "first\n\n" + bsd), (3, apart), (4, "no\nnotice")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"] >= 0.8) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: ("mit", True), 2: ("bsd", True), 3: ("", False), 4: ("", False)}
+
+
 def test_quality_rules_equal_brute_force(spark):
     given = spark.read.parquet(f"{SMALL_TABLE}/documents.parquet").select("doc_id", "text")
     docs = odd_documents(spark).select("doc_id", "text").union(given).withColumn("kept", F.lit("clash"))
