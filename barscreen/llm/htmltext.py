@@ -23,16 +23,23 @@ from .common import small_batches
 TRAIN_PAGES = 2_000
 #: Log-odds that marks of boilerplate and of content add, and the most that a form can say.
 AGAINST, INSIDE, FORM_LIMIT = -9.0, 5.0, 3.0
+#: What a class or id in the way of boilerplate adds: a guess, which text and neighbours may outweigh.
+NAMED_AGAINST = -4.0
+#: An element that holds a larger share of a page's text isn't boilerplate by its name.
+NAMED_SHARE = 0.5
 #: Smoothness: blocks that follow each other, and blocks that share their container.
 NEXT, SHARED = 0.3, 1.0
 PSEUDO = 2.0
 
 # Elements of HTML by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select head title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select head title annotation annotation-xml".split())
+#: Raw elements that go on to the end of a page where they are not closed.
+ENDLESS = frozenset("script style textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+    "time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 BOILER_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -45,6 +52,8 @@ BOILER_NAMES = frozenset(
     "copyright legal disclaimer form search skip tags toc".split()
 )
 CONTENT_NAMES = frozenset("article articlebody post postbody entry story content main maincontent".split())
+#: In a compound name these say that something else is beside, or isn't there: has-sidebar, no-ads.
+AROUND_NAMES = frozenset("has have with without no not is layout wrapper wrap".split())
 OPENED_ALONE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 # Comments, tags (a tag with an odd quote ends at the next bracket), other markup, text.
@@ -53,25 +62,27 @@ ATTRIBUTE = re.compile(r"""([A-Za-z:_-]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Marks that blocks inherit from the elements around them.
-BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER = 1, 2, 4, 8, 16, 32
+BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER, NAMED = 1, 2, 4, 8, 16, 32, 64
 
 
 class Block:
-    __slots__ = ("parts", "link", "marks", "container", "tag")
+    __slots__ = ("parts", "link", "marks", "container", "tag", "named")
 
-    def __init__(self, marks: int, container: int, tag: str):
+    def __init__(self, marks: int, container: int, tag: str, named: int = 0):
         self.parts: list[str] = []
+        self.named = named  # the innermost element around it with a name of boilerplate
         self.link, self.marks, self.container, self.tag = 0, marks, container, tag
 
 
-def _marks(tag: str, attributes: str, marks: int) -> int:
-    """Marks inside an element, from those outside it."""
+def _marks(tag: str, attributes: str, marks: int) -> tuple[int, bool]:
+    """Marks inside an element, from those outside it, and whether its own name is one of boilerplate."""
     if tag == "a":
-        return marks | LINK
+        return marks | LINK, False
+    inner = named = False
     if tag in BOILER_TAGS:
         marks |= BOILER
     elif tag in CONTENT_TAGS:
-        marks |= CONTENT
+        inner = True
     elif tag in HEADINGS:
         marks |= HEAD
     elif tag == "header":
@@ -80,30 +91,38 @@ def _marks(tag: str, attributes: str, marks: int) -> int:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                names = {x.lower() for x in NAME.findall(value)}
-                boiler = names & BOILER_NAMES
+                parts = [{x.lower() for x in NAME.findall(word)} for word in value.split()]
+                names = set().union(*parts)
+                boiler = set().union(*(x & BOILER_NAMES for x in parts if not x & AROUND_NAMES))
                 if boiler == {"header"} and names & CONTENT_NAMES:
                     marks |= CONTENT | HEADER  # the head of an article, with its title
                 elif boiler:
-                    marks |= BOILER
-                elif names & CONTENT_NAMES:
-                    marks |= CONTENT
+                    named = True
+                elif names & CONTENT_NAMES and not names & BOILER_NAMES:
+                    inner = True
             elif name == "role":
-                marks |= BOILER if value.lower() in BOILER_ROLES else CONTENT if value.lower() in ("main", "article") else 0
+                if value.lower() in BOILER_ROLES:
+                    marks |= BOILER
+                elif value.lower() in ("main", "article"):
+                    inner = True
             elif name == "itemprop" and value.lower() == "articlebody":
-                marks |= CONTENT
+                inner = True
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 marks |= HIDDEN
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 marks |= HIDDEN
-    return marks
+    if inner:  # a mark of content ends what names further out say
+        marks = (marks | CONTENT) & ~NAMED
+    return (marks | NAMED if named else marks), named
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page, in order; scripts, styles and other raw elements have none."""
     out: list[Block] = []
-    # tag, marks, number of the nearest element that holds blocks, tag of the nearest that isn't inline
-    stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]
+    # tag, marks, number of the nearest element that holds blocks, tag of the nearest that isn't inline, nearest named element
+    stack: list[tuple[str, int, int, str, int]] = [("", 0, 0, "", 0)]
+    outer = [0]  # for each named element the next one around it
+    unclosed: set[str] = set()
     opened: Counter = Counter()
     block: Block | None = None
     serial = at = 0
@@ -131,8 +150,8 @@ def blocks_of(html: str) -> list[Block]:
             if block is None:
                 if piece.isspace():
                     continue
-                _, marks, container, kind = stack[-1]
-                block = Block(marks & ~LINK, container, kind)
+                _, marks, container, kind, name = stack[-1]
+                block = Block(marks & ~LINK, container, kind, name)
                 out.append(block)
             block.parts.append(piece)
             if stack[-1][1] & LINK:
@@ -146,10 +165,14 @@ def blocks_of(html: str) -> list[Block]:
                 close((tag,))
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at) if tag != "head" else None
-                if tag != "head":
-                    at = stop.end() if stop else end
+            if not m[3].endswith("/") and tag != "head" and tag not in unclosed:
+                stop = re.compile(rf"</{tag}(?![A-Za-z0-9:-])[^>]*>?", re.I).search(html, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ENDLESS:
+                    at = end
+                else:
+                    unclosed.add(tag)
             continue
         if tag not in INLINE:
             block = None
@@ -162,13 +185,40 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID:
             continue
         serial += 1
-        _, marks, container, kind = stack[-1]
+        _, marks, container, kind, name = stack[-1]
         inline = tag in INLINE
-        stack.append((tag, _marks(tag, m[3], marks), container if inline or tag == "p" else serial, kind if inline else tag))
+        marks, named = _marks(tag, m[3], marks)
+        if named:
+            outer.append(name)
+            name = len(outer) - 1
+        elif not marks & NAMED:
+            name = 0
+        stack.append((tag, marks, container if inline or tag == "p" else serial, kind if inline else tag, name))
         opened[tag] += 1
+    _weigh_names(out, outer)
     return out
 
 
+def _weigh_names(blocks: list[Block], outer: list[int]) -> None:
+    """Take the mark of names from blocks whose named elements all hold more than ``NAMED_SHARE`` of the page's text."""
+    if len(outer) == 1:
+        return
+    inside = [0] * len(outer)
+    for b in blocks:
+        if not b.marks & HIDDEN:
+            inside[b.named] += sum(map(len, b.parts))
+    total = sum(inside)
+    for k in range(len(outer) - 1, 0, -1):  # inner elements have larger numbers
+        if outer[k]:
+            inside[outer[k]] += inside[k]
+    counts = [False] * len(outer)
+    for k in range(1, len(outer)):
+        counts[k] = inside[k] <= NAMED_SHARE * total or counts[outer[k]]
+    for b in blocks:
+        if not counts[b.named]:
+            b.marks &= ~NAMED
+
+
 def form_of(text: str, block: Block) -> int:
     """The form of a block, apart from its place: kind of element, length, share of links, last character."""
     words = text.count(" ") + 1
@@ -186,6 +236,8 @@ def evidence(block: Block, form: int, table: dict[int, float]) -> float:
     if marks & BOILER:
         return AGAINST
     odds = table.get(form, 0.0)
+    if marks & NAMED:
+        return odds + NAMED_AGAINST
     if marks & CONTENT:
         return odds + INSIDE
     return odds - (1.0 if marks & HEADER else 0.0)
@@ -300,7 +352,7 @@ def train_forms(pages: DataFrame, limit: int = TRAIN_PAGES) -> dict[int, float]:
         for batch in batches:
             for x in batch.column(0):
                 for b in blocks_of(x.as_py() or ""):
-                    if (boiler := b.marks & BOILER) or b.marks & CONTENT:
+                    if (boiler := b.marks & (BOILER | NAMED)) or b.marks & CONTENT:
                         if text := text_of(b):
                             counts[form_of(text, b), 0 if boiler else 1] += 1
         rows = [(*k, n) for k, n in counts.items()]

@@ -256,6 +256,21 @@ def test_main_text_of_pages(spark):
     assert htmltext.extract_main_text(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("around", ['class="has-sidebar"', 'class="no-ads"', 'class="content-sidebar-wrap"', 'class="layoutWithSidebar"', 'id="search-results"'])
+def test_names_round_a_page_keep_its_article(around):
+    text = "A sentence of the article, which is long enough to be read as one. " * 4
+    menu = "<div class=sidebar><p>One more</p><p>Links</p></div>"
+    for inner in ("article", "div"):
+        page = f"<body><div {around}><{inner}><p>{text}</p><p>{text}</p></{inner}>{menu}</div></body>"
+        found = htmltext.main_text(page, {f: 2.0 for f in range(150)})
+        assert found.count("sentence") == 8 and "Links" not in found
+
+
+def test_formulas_and_text_behind_open_elements_stay():
+    page = "<article><p>Energy <math><mi>E</mi><mo>=</mo><mn>5</mn></math> here.</p><svg><p>Behind it.</p></article>"
+    assert htmltext.main_text(page, {}) == "Energy E=5 here. Behind it."
+
+
 @pytest.mark.parametrize("html", ["<b>" * 40_000 + "<p>x</p>" * 20_000, "<" * 200_000, '<a "' * 80_000, "<ul>" + "<li>x" * 40_000, "<!--" * 50_000])
 def test_pages_take_linear_time(html):
     start = time.time()
