@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Pages that the table of forms is trained on at most: those of the smallest hashes of their ids.
-TRAIN_PAGES = 2_000
 #: Log-odds that marks of boilerplate and of content add, and the most that a form can say.
 AGAINST, INSIDE, FORM_LIMIT = -9.0, 5.0, 3.0
 #: What a class or id in the way of boilerplate adds: a guess, which text and neighbours may outweigh.
@@ -336,16 +334,14 @@ def main_text(html: str | None, table: dict[int, float]) -> str:
     return " ".join(x for (_, x), content in zip(pairs, cut(odds, edges)) if content)
 
 
-def train_forms(pages: DataFrame, limit: int = TRAIN_PAGES) -> dict[int, float]:
-    """Log-odds of content by form, from blocks that stand in marked elements: at most 300 counts reach the driver.
+def train_forms(pages: DataFrame) -> dict[int, float]:
+    """Log-odds of content by form, from blocks of all pages that stand in marked elements: at most 300 counts reach the driver.
 
     Blocks in an article count as content, blocks in menus, footers and their like as boilerplate.
     """
     from math import log
 
     small_batches(pages.sparkSession)
-    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
-    chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").select("html")
 
     def work(batches):
         counts: Counter = Counter()
@@ -358,7 +354,7 @@ def train_forms(pages: DataFrame, limit: int = TRAIN_PAGES) -> dict[int, float]:
         rows = [(*k, n) for k, n in counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 3], ["form", "content", "n"])
 
-    counted = chosen.mapInArrow(work, "form long, content long, n long").groupBy("form", "content").agg(F.sum("n").alias("n")).collect()
+    counted = pages.select("html").mapInArrow(work, "form long, content long, n long").groupBy("form", "content").agg(F.sum("n").alias("n")).collect()
     counts = {(r["form"], r["content"]): r["n"] for r in counted}
     total = [sum(n for (_, c), n in counts.items() if c == k) + PSEUDO for k in (0, 1)]
     odds = lambda f: log((counts.get((f, 1), 0) + PSEUDO) / total[1]) - log((counts.get((f, 0), 0) + PSEUDO) / total[0])

@@ -266,6 +266,14 @@ def test_names_round_a_page_keep_its_article(around):
         assert found.count("sentence") == 8 and "Links" not in found
 
 
+def test_forms_are_counted_on_all_pages(spark):
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"))
+    ids = {r[0] for r in pages.orderBy(F.xxhash64("page_id"), "page_id").limit(2_000).select("page_id").collect()}
+    lost = min(set(range(4_000)) - ids)
+    html = F.when(F.col("page_id") == lost, "<article><h2>Rare heading of some page here</h2></article>").otherwise("<nav>Menu</nav>")
+    assert max(htmltext.train_forms(pages.withColumn("html", html)).values()) > 0
+
+
 def test_formulas_and_text_behind_open_elements_stay():
     page = "<article><p>Energy <math><mi>E</mi><mo>=</mo><mn>5</mn></math> here.</p><svg><p>Behind it.</p></article>"
     assert htmltext.main_text(page, {}) == "Energy E=5 here. Behind it."
