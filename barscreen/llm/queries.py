@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations
 from .classifier import learn, score_quality
+from .collocations import mine_collocations
 from .common import table
 from .htmltext import extract_main_text
 from .licenses import scan_licenses
 from .media import align_recordings
 from .mixing import mix_sources
 from .packing import pack_documents, vocabulary
+from .periodic import find_runs, planted, run_digests
 from .pii import KINDS, find_personal_data
+from .pivots import quantised, top_k
 from .quality_rules import quality_rules, trusted_ids
 from .simhash import simhash_classes
 
@@ -111,3 +114,81 @@ def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (
+  SELECT lang, w[i] AS x, CASE WHEN i + 1 <= len(w) THEN w[i + 1] END AS y, CASE WHEN i + 2 <= len(w) THEN w[i + 2] END AS z
+  FROM places
+), one AS MATERIALIZED (SELECT lang, x AS phrase, count(*) AS f FROM grams GROUP BY ALL),
+two AS MATERIALIZED (
+  SELECT lang, x, y, x || ' ' || y AS phrase, count(*) AS f FROM grams WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), three AS MATERIALIZED (
+  SELECT lang, x, z, x || ' ' || y AS start, y || ' ' || z AS rest, x || ' ' || y || ' ' || z AS phrase, count(*) AS f
+  FROM grams WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+parts AS (
+  SELECT c.lang, 2 AS k, 1 AS cut, c.phrase, NULL AS start, NULL AS rest, c.f AS a, p.f AS l, q.f AS r
+  FROM two c JOIN one p ON p.lang = c.lang AND p.phrase = c.x JOIN one q ON q.lang = c.lang AND q.phrase = c.y
+  UNION ALL
+  SELECT c.lang, 3, 1, c.phrase, c.start, c.rest, c.f, p.f, q.f
+  FROM three c JOIN one p ON p.lang = c.lang AND p.phrase = c.x JOIN two q ON q.lang = c.lang AND q.phrase = c.rest
+  UNION ALL
+  SELECT c.lang, 3, 2, c.phrase, c.start, c.rest, c.f, p.f, q.f
+  FROM three c JOIN two p ON p.lang = c.lang AND p.phrase = c.start JOIN one q ON q.lang = c.lang AND q.phrase = c.z
+), cuts AS (
+  SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM parts
+), candidates AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1
+), covers AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, start AS part, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, rest, a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank,
+    c.phrase, c.a, c.l, c.r, c.score
+  FROM candidates c LEFT JOIN covers v ON c.k = 2 AND v.lang = c.lang AND v.part = c.phrase
+  WHERE most IS NULL OR 100 * most < 50 * c.a
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in documents of which one in ten gets a tail that repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_digests(find_runs(docs))
+
+
+@query
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op13_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
