@@ -2,8 +2,9 @@
 
 Layouts: ``parquet`` (tables, partitioned by year: the one to keep data in),
 ``jsonl`` (one JSON record per symbol) and ``bundle`` (JSON documents, each a
-map of many symbols). A JSON document cannot be split among tasks, so bundles
-are for exchange: read them once and save as parquet.
+map of many symbols, read by one task). ``document`` reads the same documents
+in byte ranges, by many tasks: for one large document, such as a fetch of all
+symbols leaves. Read it once and save as parquet.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.cleaning import clean_number, iso_session_date
 from ..operators.weekly import daily_bars
+from .documents import document_pieces
 
 METADATA_SCHEMA = "fetch_date_utc string, source_ticker_file string, data_years_fetched int"
 HISTORY_SCHEMA = "columns array<string>, `index` array<string>, `data` array<array<double>>"
@@ -67,24 +69,59 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
             .alias("message"),
         )
         newest = F.struct("metadata.fetch_date_utc", "_metadata.file_path").alias("newest")
-        held = raw.select(newest, F.explode("stocks").alias("symbol", "stock"))
-        read = F.from_json("stock", f"{STOCK_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-        parsed = held.select("symbol", "newest", "stock", read.alias("s"))
-        damaged = F.col("stock").isNotNull() & F.coalesce(F.col("s._corrupt_record").isNotNull(), F.lit(True))
-        errors = errors.unionByName(
-            parsed.filter(damaged).select("symbol", F.concat(F.lit("unreadable record: "), F.substring("stock", 1, 200)).alias("message"))
-        )
-        stocks = _one_record(parsed.filter(~damaged).select("symbol", "s.info", "s.history", "newest"))
+        stocks, damaged = _parsed(raw.select(newest, F.explode("stocks").alias("symbol", "stock")))
         held = F.coalesce(F.cardinality("stocks"), F.lit(0)).cast("long")
-        metadata = (
-            raw.select("metadata.*", held.alias("stock_count"))
-            .groupBy("fetch_date_utc", "source_ticker_file", "data_years_fetched")
-            .agg(F.sum("stock_count").alias("stock_count"))
-        )
-        return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors)
+        metadata = _counted(raw.select("metadata.*", held.alias("stock_count")))
+        return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors.unionByName(damaged))
+    if layout == "document":
+        return _read_documents(spark, path, exchange_tz)
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def _counted(documents: DataFrame) -> DataFrame:
+    same = documents.groupBy("fetch_date_utc", "source_ticker_file", "data_years_fetched")
+    return same.agg(F.sum("stock_count").cast("long").alias("stock_count"))
+
+
+def _parsed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stocks (symbol, newest, stock: text) as one record a symbol, and those that don't parse, by name."""
+    read = F.from_json("stock", f"{STOCK_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = held.select("symbol", "newest", "stock", read.alias("s"))
+    damaged = F.col("stock").isNotNull() & F.coalesce(F.col("s._corrupt_record").isNotNull(), F.lit(True))
+    message = F.concat(F.lit("unreadable record: "), F.substring("stock", 1, 200)).alias("message")
+    return _one_record(parsed.filter(~damaged).select("symbol", "s.info", "s.history", "newest")), parsed.filter(damaged).select("symbol", message)
+
+
+#: Parts into which the entries of one document are dealt where its metadata is joined.
+DEALT = 64
+#: The name of an entry, as it stands before its colon.
+ENTRY_NAME = r'"((?:[^"\\]|\\.)*)"\s*:'
+
+
+def _read_documents(spark: SparkSession, path: str, exchange_tz: str) -> Snapshot:
+    """Documents as ``bundle`` reads them, but that a damaged entry costs itself alone. The text is read at once, and kept."""
+    corrupt = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    entries, documents = document_pieces(spark, path)
+    schema = f"metadata struct<{METADATA_SCHEMA}>, stocks map<string,string>, _corrupt_record string"
+    documents = documents.select("file", F.from_json("text", schema, corrupt).alias("d"))
+    unread = documents.filter(F.coalesce(F.col("d._corrupt_record").isNotNull(), F.lit(True)))
+    errors = unread.select(F.lit(None).cast("string").alias("symbol"), F.lit("partly unreadable document").alias("message"))
+    text = F.btrim("text", F.lit(", \t\r\n"))
+    object_ = F.concat(F.lit('{"s":{'), text, F.lit("}}"))
+    found = entries.where(text != "").withColumn("e", F.from_json(object_, "s map<string,string>, _corrupt_record string", corrupt))
+    lost = F.coalesce(F.col("e._corrupt_record").isNotNull(), F.lit(True))
+    named = F.nullif(F.regexp_extract("text", ENTRY_NAME, 1), F.lit(""))
+    lost_entries = found.filter(lost).select(named.alias("symbol"), F.concat(F.lit("unreadable record: "), F.substring("text", 1, 200)).alias("message"))
+    # when each document was fetched decides between records of one symbol
+    fetched = documents.select("file", F.col("d.metadata.fetch_date_utc").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("part"))
+    held = found.filter(~lost).select("file", "at", "place", F.explode("e.s").alias("symbol", "stock"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(DEALT)).cast("int")).join(fetched, ["file", "part"], "left")
+    stocks, damaged = _parsed(held.select(F.struct("day", "file", "at", "place").alias("newest"), "symbol", "stock"))
+    counts = found.groupBy("file").agg(F.sum(F.when(lost, 1).otherwise(F.cardinality("e.s"))).alias("n"))
+    metadata = documents.join(counts, "file", "left").select("d.metadata.*", F.coalesce("n", F.lit(0)).cast("long").alias("stock_count"))
+    return Snapshot(_bars(stocks, exchange_tz), _info(stocks), _counted(metadata), errors.unionByName(lost_entries).unionByName(damaged))
+
+
 def _one_record(stocks: DataFrame) -> DataFrame:
     """One record for each symbol: that of the newest fetch, of equal times the last file."""
     record = F.struct("info", "history")

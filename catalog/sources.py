@@ -169,6 +169,15 @@ def snapshot_bundle(spark, sf_dir):
     return _with_info(_saved(spark, sf_dir, "bundle"))
 
 
+@query(_SNAPSHOT)
+def snapshot_document(spark, sf_dir):
+    """One document with all symbols, read in byte ranges."""
+    path = scratch_path(spark, "snapshot_document")
+    bars = bs.daily_bars(B.supplier_bars(spark, sf_dir))
+    write_snapshot(bars, B.listed_info(spark, sf_dir), _META, path, "bundle", symbols_per_document=1 << 40)
+    return _with_info(read_snapshot(spark, path, "document"))
+
+
 @query(
     f"""{S.with_(S.SUPPLIER_BARS, S.DAILY)} SELECT symbol, session_date, "close", volume FROM daily"""
 )
