@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 from .common import LOWER, UPPER, small_batches, stored
 
 #: Words that a task counts before it passes their counts on.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 #: Bits of each filter (a power of two) and hashes of a pair: 4 MB, whatever the corpus.
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 #: Parts into which the pairs of one word are dealt where its count is joined.
@@ -220,6 +220,12 @@ def _scored_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("lang", "w1", "w2", "w3", "a", *cut)
 
 
+def _first(phrases: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """The first ``top`` rows of each of ``keys``, with their rank. Parts of a language first: a language may have many ties."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("s"), F.desc("a"), "phrase")
+    return phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def _survivors(pairs: DataFrame, triples: DataFrame, limits: DataFrame, cover: int) -> DataFrame:
     """(lang, phrase, a, l, r, s): ``pairs`` that no triple covers, and the ``triples`` that reach their language's limit."""
     parts = triples.select("lang", "w1", "w2", "a").union(triples.select("lang", "w2", "w3", "a"))
@@ -271,6 +277,5 @@ def mine_collocations(docs: DataFrame, *, least: int = 10, top: int = 2000, cove
         lower = _thresholds(pairs, langs, enough).withColumnRenamed("least", "next").join(unsettled, "lang", "left")
         limits = limits.join(lower, "lang").select("lang", F.when(F.col("lower"), F.col("next")).otherwise(F.col("least")).alias("least"))
         limits = stored(limits, "limits")
-    order = Window.partitionBy("lang").orderBy(F.desc("s"), F.desc("a"), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    first = _first(_first(best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))), ["lang", "part"], top), ["lang"], top)
     return first.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("s").alias("score"))

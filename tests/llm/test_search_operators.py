@@ -133,7 +133,7 @@ def test_extensions_on_the_grammar_are_exact_both_ways():
         behind = recompression.extend(back, n + 2 - j, n + 2 - i)
         for x, y, f, b in zip(i, j, ahead, behind):
             assert (symbols[x : x + f] == symbols[y : y + f]).all() and symbols[x + f] != symbols[y + f]
-            assert (symbols[x - b : x] == symbols[y - b : y]).all() and symbols[x - b] != symbols[y - b]
+            assert (symbols[x - b : x] == symbols[y - b : y]).all() and symbols[x - b - 1] != symbols[y - b - 1]
 
 
 def test_find_runs_takes_odd_rows_and_keeps_other_columns(spark):
