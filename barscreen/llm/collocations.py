@@ -23,6 +23,8 @@ from .common import LOWER, UPPER, small_batches, stored
 
 #: Words that a task counts before it passes their counts on.
 BLOCK_WORDS = 1 << 20
+#: Counts that go from a task's Python to Spark at a time.
+BATCH_ROWS = 1 << 14
 #: Bits of each filter (a power of two) and hashes of a pair: 4 MB, whatever the corpus.
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 #: Parts into which the pairs of one word are dealt where its count is joined.
@@ -74,12 +76,13 @@ def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
-def _counted(lang: str, words: list[bytes], parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """Phrases by the numbers of their words, with counts."""
+def _counted(lang: str, words: list[bytes], parts: list[np.ndarray], counts: np.ndarray):
+    """Phrases by the numbers of their words, with counts, in batches."""
     names = pa.array([b"" if w == MARK else w for w in words], pa.binary()).cast(pa.string())
-    none = pa.nulls(len(counts), pa.string())
-    columns = [names.take(pa.array(p)) for p in parts] + [none] * (3 - len(parts))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *columns, pa.array(counts, pa.int64())], ["lang", "w1", "w2", "w3", "n"])
+    for a in range(0, len(counts), BATCH_ROWS):
+        n = pa.array(counts[a : a + BATCH_ROWS], pa.int64())
+        columns = [names.take(pa.array(p[a : a + BATCH_ROWS])) for p in parts] + [pa.nulls(len(n), pa.string())] * (3 - len(parts))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, n], ["lang", "w1", "w2", "w3", "n"])
 
 
 def small_phrases(texts: DataFrame) -> DataFrame:
@@ -90,10 +93,10 @@ def small_phrases(texts: DataFrame) -> DataFrame:
             n = np.bincount(ids, minlength=len(words))
             n[0] = 0
             some = np.flatnonzero(n)
-            yield _counted(lang, words, [some], n[some])
+            yield from _counted(lang, words, [some], n[some])
             inside = (ids[1:] > 0) & (ids[:-1] > 0)
             keys, n = _sums((ids[:-1].astype(np.int64) * len(words) + ids[1:])[inside])
-            yield _counted(lang, words, [keys // len(words), keys % len(words)], n)
+            yield from _counted(lang, words, [keys // len(words), keys % len(words)], n)
 
     return texts.mapInArrow(work, COUNTED).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
 
@@ -167,7 +170,7 @@ def grown_phrases(texts: DataFrame, filters: list, before: list | None) -> DataF
                     wanted &= ((prefix[one] & suffix[two]) | scored[one] | scored[two]) == keep
             at = inside[wanted]
             keys, n = _sums(one[wanted] * v + ids[at + 2])
-            yield _counted(lang, words, [pairs[keys // v] // v, pairs[keys // v] % v, keys % v], n)
+            yield from _counted(lang, words, [pairs[keys // v] // v, pairs[keys // v] % v, keys % v], n)
 
     return texts.mapInArrow(work, COUNTED).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("a"))
 
