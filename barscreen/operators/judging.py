@@ -96,12 +96,12 @@ def judged_and_rejected(weekly: DataFrame, config: ScreenConfig, dialect: Dialec
     return with_conditions(features, config, dialect, as_of)
 
 
-def with_conditions(features: DataFrame, config: ScreenConfig, dialect: Dialect, as_of) -> DataFrame:
+def with_conditions(features: DataFrame, config: ScreenConfig, dialect: Dialect, as_of, recency: bool = True) -> DataFrame:
     states = {f"state_{name}": P.ma_state(n, f"ma_{name}") for name, n in config.ma_periods.items()}
     return features.select("*", *[state.alias(name) for name, state in states.items()]).select(
         "*",
         volume_ratio().alias("volume_ratio"),
-        recent_enough(dialect, as_of).alias("is_recent"),
+        (recent_enough(dialect, as_of) if recency else F.lit(True)).alias("is_recent"),
         P.old_enough(
             config.ma_short,
             config.ma_intermediate,

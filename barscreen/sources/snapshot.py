@@ -4,7 +4,8 @@ Layouts: ``parquet`` (tables, partitioned by year: the one to keep data in),
 ``jsonl`` (one JSON record per symbol) and ``bundle`` (JSON documents, each a
 map of many symbols, read by one task). ``document`` reads the same documents
 in byte ranges, by many tasks: for one large document, such as a fetch of all
-symbols leaves. Read it once and save as parquet.
+symbols leaves. Read it once and save as parquet. ``keyed`` is a snapshot that later
+fetches renew symbol by symbol (``renew_snapshot``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .. import constants as K
 from ..functions.cleaning import clean_number, iso_session_date
 from ..operators.weekly import daily_bars
 from .documents import document_pieces
+from .versions import KeyedTable
 
 METADATA_SCHEMA = "fetch_date_utc string, source_ticker_file string, data_years_fetched int"
 HISTORY_SCHEMA = "columns array<string>, `index` array<string>, `data` array<array<double>>"
@@ -73,6 +75,8 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
         held = F.coalesce(F.cardinality("stocks"), F.lit(0)).cast("long")
         metadata = _counted(raw.select("metadata.*", held.alias("stock_count")))
         return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors.unionByName(damaged))
+    if layout == "keyed":
+        return _read_keyed(spark, path)
     if layout == "document":
         return _read_documents(spark, path, exchange_tz)
     raise ValueError(f"unknown layout {layout!r}")
@@ -219,6 +223,58 @@ def write_snapshot(
     raise ValueError(f"unknown layout {layout!r}")
 
 
+#: Buckets of a snapshot that is renewed by symbol.
+SNAPSHOT_BUCKETS = 64
+
+
+def renew_snapshot(
+    bars: DataFrame, info: DataFrame, meta: dict, path: str, buckets: int = SNAPSHOT_BUCKETS
+) -> int:
+    """Save a fetch into the ``keyed`` snapshot at ``path``, which it starts if there is none; the number of the new version.
+
+    A fetched symbol's bars and info replace those it had, unless these are of a later fetch (``fetch_date_utc`` of
+    ``meta``, text that sorts by time); other symbols stay. Bars hold one row a day and need no order. Only buckets of
+    fetched symbols are rewritten. Bars and info change together, by one manifest: readers see the
+    snapshot before or after, and a job that is stopped changes nothing.
+    """
+    spark = bars.sparkSession
+    fetched = F.lit(meta.get("fetch_date_utc")).alias("fetched")
+    details = F.col("details") if "details" in info.columns else F.lit(None)
+    bar = F.struct("session_date", *K.OHLCV)
+    known = F.struct("market_cap", "regular_market_price", details.cast("map<string,string>").alias("details"))
+    held = info.select("symbol", fetched, F.lit(None).cast(_BAR).alias("bar"), known.alias("info"))
+    rows = bars.select("symbol", fetched, bar.cast(_BAR).alias("bar"), F.lit(None).cast(held.schema["info"].dataType).alias("info"))
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+        order = F.struct(F.coalesce("fetched", F.lit("")).alias("fetched"), "turn")
+        newest = both.groupBy("symbol").agg(F.max(order).alias("newest"))
+        return both.join(newest, "symbol").where(order == F.col("newest")).select("symbol", "fetched", "bar", "info")
+
+    notes = {k: meta.get(k) for k in _META_KEYS}
+    return KeyedTable(spark, path, "symbol", buckets).replace(rows.unionByName(held), merge, {"metadata": notes})
+
+
+_BAR = "struct<session_date: date, open: double, high: double, low: double, close: double, volume: double>"
+
+
+def _read_keyed(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
+    """A version of a snapshot that is renewed by symbol; its metadata are the last fetch's, its stocks all symbols'."""
+    table = KeyedTable.at(spark, path)
+    said = table.manifest(version)[1]
+    rows = table.read(said=said)
+    if rows is None:
+        rows = spark.createDataFrame([], f"symbol string, fetched string, bar {_BAR}, info struct<market_cap: double, regular_market_price: double, details: map<string,string>>")
+    known = {k: said["notes"].get("metadata", {}).get(k) for k in _META_KEYS}
+    return Snapshot(
+        rows.where("bar is not null").select("symbol", "bar.*"),
+        rows.where("info is not null").select("symbol", "info.*"),
+        _metadata_row(rows.select("symbol").distinct(), known).select(
+            *[F.col(c).cast(t) for c, t in (x.split() for x in METADATA_SCHEMA.split(", "))], "stock_count"),
+        spark.createDataFrame([], "symbol string, message string"),
+    )
+
+
 _META_KEYS = ("fetch_date_utc", "source_ticker_file", "data_years_fetched")
 
 

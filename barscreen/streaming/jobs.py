@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +12,7 @@ from ..operators.weekly import ohlcv
 from ..operators.records import to_rich, to_slim
 from ..plans.dialects import dialect_of
 from ..plans.screens import screen_matches
+from ..sources.versions import KeyedTable
 
 
 def stream_weekly_bars(stream: DataFrame, delay: str = "1 day", order: str | None = None) -> DataFrame:
@@ -49,8 +49,10 @@ def dedupe_bars(
     return bars.groupBy(*keys).agg(F.max_by(row, order).alias("row")).select(*keys, "row.*").select(*bars.columns)
 
 
-#: Folders that a history is dealt to by symbol; a batch reads those of its symbols.
+#: Buckets that a history is dealt to by symbol; a batch reads those of its symbols.
 HISTORY_BUCKETS = 64
+#: Folders of a bucket from which it is written anew, and versions of the history that stay readable.
+MOST_FOLDERS, KEPT_VERSIONS = 16, 8
 
 
 def stream_screen(
@@ -64,36 +66,34 @@ def stream_screen(
     trigger: dict | None = None,
     as_of=None,
     buckets: int = HISTORY_BUCKETS,
+    most_folders: int = MOST_FOLDERS,
 ) -> StreamingQuery:
     """Append finished weeks to a history and screen the symbols that got any.
 
-    The history is stored by a hash of the symbol, and a batch reads only the folders of its own symbols. Every
-    micro-batch owns its folders and overwrites them when it is run again, so a restart neither loses nor repeats
-    rows. ``as_of`` defaults, for a dialect that needs one, to the newest week of the batch. Results are stored
-    unordered; ``current_results`` reads what holds now.
+    The history is a ``KeyedTable``: a batch reads only the buckets of its own symbols, adds its rows under a number,
+    so that running it again neither loses nor repeats rows, and rewrites buckets of more than ``most_folders`` folders.
+    Others may read the history, or compact it, at any time. ``as_of`` defaults, for a dialect that needs one, to the
+    newest week of the batch. Results are stored unordered; ``current_results`` reads what holds now.
+    ``stream_judged`` screens without a history.
     """
 
     def screen_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
-        stored = batch.withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)})
-        stored.write.partitionBy("bucket", "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(history_path)
-        history = _history(spark, history_path)
-        if history is None:
-            return
-        mine = history.filter(F.col("batch_id") == batch_id)
-        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets``
+        table = KeyedTable(spark, history_path, "symbol", buckets)
+        touched = table.append(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), batch_id)
         if not touched:
             return
-        new = mine.filter(F.col("bucket").isin(touched))
-        history = history.filter(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id))
-        affected = history.join(new.select("symbol").distinct(), "symbol", "left_semi").drop("bucket", "batch_id")
+        history = table.read(touched).drop("folder", "bucket").filter(F.col("batch_id") <= batch_id)
+        new = history.filter(F.col("batch_id") == batch_id)
+        affected = history.join(new.select("symbol").distinct(), "symbol", "left_semi").drop("batch_id")
         day = as_of
         if day is None and dialect_of(dialect).max_age_days is not None:
             [day] = new.agg(F.max("week_end")).first()
         found = screen_matches(affected, info, config, dialect, day)
         records = to_rich(found, config) if dialect_of(dialect).rich else to_slim(found)
         records.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+        if table.folders_per_bucket() > most_folders:
+            table.forget(max(1, table.compact(most_folders // 2) - KEPT_VERSIONS))
 
     return (
         weekly_stream.writeStream.foreachBatch(screen_batch)
@@ -103,18 +103,12 @@ def stream_screen(
     )
 
 
-def _history(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:  # no batch had any rows yet
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def current_results(spark, history_path: str, results_path: str) -> DataFrame:
     """What a streaming screen says now: for each symbol the result of the last batch that brought it weeks."""
-    last = _history(spark, history_path).groupBy(F.col("symbol").alias("ticker")).agg(F.max("batch_id").alias("batch_id"))
+    history = KeyedTable.at(spark, history_path).read()
+    if history is None:
+        raise ValueError("no weeks have come yet")
+    last = history.groupBy(F.col("symbol").alias("ticker")).agg(F.max("batch_id").alias("batch_id"))
     return spark.read.parquet(results_path).join(last, ["ticker", "batch_id"], "left_semi").drop("batch_id")
 
 

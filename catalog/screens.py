@@ -5,6 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 import barscreen as bs
+from barscreen.config import settings_frame
 
 from . import bindings as B
 from . import sqltext as S
@@ -163,6 +164,13 @@ def screen_many(spark, sf_dir):
     return rounded(bs.screen_many(weekly, info, SWEEP, "lookback", B.AS_OF))
 
 
+@query(sweep_sql(SWEEP))
+def screen_many_indexed(spark, sf_dir):
+    """The same screens as a table: an index of their thresholds, whatever their number."""
+    weekly, info = B.supplier_weekly(spark, sf_dir), B.supplier_info(spark, sf_dir)
+    return rounded(bs.screen_indexed(weekly, info, settings_frame(spark, SWEEP), "lookback", B.AS_OF))
+
+
 @query(sweep_sql({k: replace(B.NEWEST, volume_multiplier=m) for k, m in (("low", 0.5), ("high", 1.0))}, "snapshot"))
 def screen_many_snapshot(spark, sf_dir):
     configs = {k: replace(B.NEWEST, volume_multiplier=m) for k, m in (("low", 0.5), ("high", 1.0))}
@@ -184,6 +192,16 @@ def screen_many_live(spark, sf_dir):
     return flat(rounded(bs.screen_many(weekly, info, _TWO, "live", B.AS_OF, first)))
 
 
+@query(
+    f"""SELECT * FROM ({sweep_sql(_TWO, "live", _RICH)}) AS found
+    JOIN (SELECT CAST(l_suppkey AS VARCHAR) AS ticker FROM lineitem WHERE l_linenumber = 1) AS listed USING (ticker)"""
+)
+def screen_many_indexed_live(spark, sf_dir):
+    weekly, info = B.supplier_weekly(spark, sf_dir), B.supplier_info(spark, sf_dir)
+    first = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("symbol"))
+    return flat(rounded(bs.screen_indexed(weekly, info, settings_frame(spark, _TWO), "live", B.AS_OF, first)))
+
+
 @query(S.screen_sql(B.SHORT, "lookback"))
 def info_repeats(spark, sf_dir):
     """Info that holds every symbol twice, once without figures, doubles no result."""

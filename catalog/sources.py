@@ -178,6 +178,25 @@ def snapshot_document(spark, sf_dir):
     return _with_info(read_snapshot(spark, path, "document"))
 
 
+@query(
+    f"""{S.with_(S.SUPPLIER_BARS, S.DAILY, S.LISTED_INFO)}
+    SELECT symbol, session_date, "close" + CASE WHEN CAST(symbol AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS "close",
+      CASE WHEN CAST(symbol AS BIGINT) % 6 <> 3 THEN market_cap END AS market_cap
+    FROM daily LEFT JOIN info USING (symbol) WHERE CAST(symbol AS BIGINT) % 3 <> 0 OR session_date >= DATE '1997-01-01'"""
+)
+def snapshot_renewed(spark, sf_dir):
+    """Of three fetches into one snapshot the newest of each symbol counts: the second has every third symbol, the last is old."""
+    path = scratch_path(spark, "snapshot_renewed")
+    bars, info = bs.daily_bars(B.supplier_bars(spark, sf_dir)), B.listed_info(spark, sf_dir)
+    third, even = F.col("symbol").cast("long") % 3 == 0, F.col("symbol").cast("long") % 2 == 0
+    newer = bars.where(third & (F.col("session_date") >= "1997-01-01")).withColumn("close", F.col("close") + 1)
+    held = bars.select("symbol").distinct()
+    for rows, known, day in ((bars, info, "2001-11-05"), (newer, info.where(third & even), "2001-11-07"), (bars.withColumn("close", -F.col("close")), info, "2001-11-04")):
+        known = known.join(held, "symbol", "left_semi")
+        bs.renew_snapshot(rows, known, {**_META, "fetch_date_utc": f"{day}T03:04:05+00:00"}, path, buckets=8)
+    return _with_info(read_snapshot(spark, path, "keyed")).select("symbol", "session_date", "close", "market_cap")
+
+
 @query(
     f"""{S.with_(S.SUPPLIER_BARS, S.DAILY)} SELECT symbol, session_date, "close", volume FROM daily"""
 )

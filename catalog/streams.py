@@ -10,6 +10,7 @@ from barscreen.streaming.jobs import stream_to_table
 from . import bindings as B
 from . import sqltext as S
 from .registry import query
+from .screens import _LIVE, _RICH, flat, rounded
 
 _EVENT_BARS = """
 bars AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS session_date, row(ts, event_id) AS ord,
@@ -107,3 +108,42 @@ def stream_screen(spark, sf_dir):
     ).awaitTermination()
     found = bs.current_results(spark, f"{path}/history", f"{path}/results")
     return found.withColumns({c: F.round(c, 6) for c in ("avg_volume", "volume_ratio")})
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _in_batches(spark, sf_dir, config, dialect, path, parts=4):
+    """The rows of ``stream_judged`` over the weekly bars, which arrive in several batches by time, the last week of each again."""
+    weekly = B.supplier_weekly(spark, sf_dir).where(F.col("week_end") <= B.AS_OF)
+    weekly.write.parquet(f"{path}/weekly")
+    weekly = spark.read.parquet(f"{path}/weekly")
+    first, last = weekly.agg(F.min("week_end"), F.max("week_end")).first()
+    days = ((last - first).days // 7 // parts + 1) * 7
+    number = F.floor(F.datediff("week_end", F.lit(first)) / days)
+    for k in range(parts):
+        again = (F.datediff("week_end", F.lit(first)) == k * days - 7) & F.lit(k > 0)
+        weekly.where((number == k) | again).coalesce(1).write.mode("append").parquet(f"{path}/arrived")
+    arriving = spark.readStream.schema(weekly.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        stream_to_table(bs.stream_judged(arriving, config, dialect), f"{path}/judged", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.parquet(f"{path}/judged")
+
+
+@query(S.screen_sql(B.SHORT, "lookback"))
+def stream_screen_batches(spark, sf_dir):
+    """Weeks arrive in several batches; running sums in the state store judge each without its history."""
+    judged = _in_batches(spark, sf_dir, B.SHORT, "lookback", scratch_path(spark, "stream_batches"))
+    return rounded(bs.standing_results(judged, B.supplier_info(spark, sf_dir), B.SHORT, "lookback"))
+
+
+@query(f"{_LIVE} SELECT {_RICH} FROM matches")
+def stream_screen_live(spark, sf_dir):
+    """The live screen from the stream: rich records of symbols whose last week is recent."""
+    judged = _in_batches(spark, sf_dir, B.NEWEST, "live", scratch_path(spark, "stream_live"))
+    return flat(rounded(bs.standing_results(judged, B.supplier_info(spark, sf_dir), B.NEWEST, "live", B.AS_OF)))
