@@ -61,21 +61,25 @@ def mix_sources(
     docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, ranges: int = RANGES,
     whole: bool = False, seed: int = 1
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, any others but these) with size, source_size, target, taken and copies.
+    """``docs`` (doc_id, text, source, any others) with size, source_size, target, taken and copies; given columns of
+    these names give way.
 
     ``size`` counts the words of the text, ``taken`` those that the mix takes, repeats counted. ``copies`` says how
     often the row is used: whole epochs, and one more for a row up to the cut. The row at the cut is split, so that
     a source's taken words are its target rounded down; with ``whole`` it is taken if half of it or more fits.
 
-    A null text has size 0 and, like any text without words, is taken for 0 words; a null source is a source of its
-    own, the last in order. A source without words has target 0. Ties of the key are ordered by doc_id and size; rows
+    A null text has size 0 and, like any text without words, is taken for 0 words and has 0 copies, whatever its
+    source. An empty table gives an empty table. A null source is a source of its own, the last in order. A source without words has target 0. Ties of the key are ordered by doc_id and size; rows
     equal in these are interchangeable. Reruns agree: the key hashes doc_id, text and ``seed``.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    # given columns go by their places, so that none clashes with those that are made here
+    place = {c: f"given_{i}" for i, c in enumerate(docs.columns)}
+    doc_id, text, source = (F.col(place[c]) for c in ("doc_id", "text", "source"))
+    key = F.xxhash64(F.lit(seed), doc_id, text)
     part = F.shiftrightunsigned(key, 64 - ranges.bit_length() + 1)
-    rows = docs.withColumns({
-        "size": word_count(F.col("text")), "mix_key": key, "mix_range": part,
-        "nosource": F.col("source").isNull().cast("int"), "source_key": F.coalesce(F.col("source").cast("string"), F.lit("")),
+    rows = docs.toDF(*place.values()).withColumns({
+        "size": word_count(text), "mix_key": key, "mix_range": part,
+        "nosource": source.isNull().cast("int"), "source_key": F.coalesce(source.cast("string"), F.lit("")),
     })
     at = ["nosource", "source_key"]
     sums = rows.groupBy(*at, "mix_range").agg(F.sum("size").alias("range_size"))
@@ -86,7 +90,7 @@ def mix_sources(
     starts = starts.join(aims, at).drop("range_size")
 
     # unsigned order within a range: the sign bit is part of the range
-    inside = Window.partitionBy(*at, "mix_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*at, "mix_range").orderBy("mix_key", place["doc_id"], "size").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(starts, [*at, "mix_range"]).withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     size, budget = F.col("source_size"), F.floor("target")
     epochs = F.when(size > 0, F.floor(budget / size)).otherwise(F.lit(0))
@@ -96,6 +100,7 @@ def mix_sources(
         part_taken = F.when((2 * part_taken >= F.col("size")) & (part_taken > 0), F.col("size")).otherwise(F.lit(0))
     out = joined.withColumn("epochs", epochs).withColumn("room", room).withColumn("last", part_taken).withColumns({
         "taken": (F.col("epochs") * F.col("size") + F.col("last")).cast("long"),
-        "copies": (F.col("epochs") + (F.col("last") > 0).cast("int")).cast("int"),
+        "copies": F.when(F.col("size") > 0, F.col("epochs") + (F.col("last") > 0).cast("int")).otherwise(0).cast("int"),
     })
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "copies")
+    own = ("size", "source_size", "target", "taken", "copies")
+    return out.select(*[F.col(p).alias(c) for c, p in place.items() if c.lower() not in own], *own)

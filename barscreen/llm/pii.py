@@ -228,7 +228,7 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 
 def find_personal_data(docs: DataFrame, counts: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
-    """``docs`` (text, any others but these) with ``base_spans``, ``spans`` and ``redacted``.
+    """``docs`` (text, any others) with ``base_spans``, ``spans`` and ``redacted``; given columns of these names give way.
 
     Spans are ordered by kind, then start, in code points. ``redacted`` is the text with each run of overlapping
     spans replaced by the kind of its first, as in ``[EMAIL]``. A null text has no spans and stays null; repeated
@@ -237,6 +237,7 @@ def find_personal_data(docs: DataFrame, counts: list[tuple[int, int, int, int]]
     small_batches(docs.sparkSession)
     model_counts = train(docs) if counts is None else counts
     own = ["base_spans", "spans", "redacted"]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in own])
     rest = docs.columns
 
     def work(batches):
