@@ -27,7 +27,12 @@ TIERS = (128, 256, 512, 1024, 2048)
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 1 << 19
+#: Texts, and words, that are encoded together.
+TEXTS = 256
+LEARNT = 4096
 END_ID = 1
+#: What tokens that end a word end with.
+WORD_END = "</w>"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -50,6 +55,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,13 +70,29 @@ class WordIds(dict):
         self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        low = text.encode().lower()
-        if any(name in text or name.encode().lower() in low for name in self.names):
-            return self.whole(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words that aren't known yet are encoded together."""
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, low.split()))
+        split = []
+        for text in texts:
+            low = text.encode().lower()
+            split.append(None if any(name in text or name.encode().lower() in low for name in self.names) else low.split())
+        self.learn(set().union(*filter(None, split)) - self.keys())
+        return [self.whole(text) if found is None else b"".join(map(self.__getitem__, found)) for text, found in zip(texts, split)]
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """The ids of words of letters only, many at a time: such a word is one unit, of which the last id, and no other, ends a word."""
+        bare = {p[:-1] if p[-1:] in (b".", b",") else p for p in pieces} - self.keys()
+        words = [w for w in (p.decode() for p in sorted(bare)) if w.isalpha()]
+        for at in range(0, len(words), LEARNT):
+            some = words[at : at + LEARNT]
+            [found] = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):  # else some letter is changed into more than letters
+                raw, ends = ids.tobytes(), ends.tolist()
+                self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends))
 
 
 class Packer:
@@ -169,8 +193,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] =
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             id_type = ids.type
-            for key, text in zip(ids.to_pylist(), texts):
-                packer.add(key, words.encode(text.as_py() or "") + end)
+            for at in range(0, len(texts), TEXTS):
+                some = [text or "" for text in texts[at : at + TEXTS].to_pylist()]
+                for key, found in zip(ids[at : at + TEXTS].to_pylist(), words.encode(some)):
+                    packer.add(key, found + end)
             yield rows(id_type)
         packer.finish()
         yield rows(id_type)

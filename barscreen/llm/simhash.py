@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .alike import SETS, links_within
 from .bitslice import links
 from .common import small_batches, stored
 from .components import components
@@ -55,8 +56,6 @@ class SimHash:
 NEAR = SimHash(shingle=5, bits=512, radius=120, similarity=0.8)
 #: Bands of least hashes, and hashes of a band: texts of a similarity of 0.8 share a band with a probability of 0.998.
 MIN_BANDS, MIN_ROWS = 16, 5
-#: Rounds that connect candidates by few links before all that are left are compared.
-SPANNING_ROUNDS = 3
 
 
 def shingle_hashes(text: bytes | None, size: int) -> list[int]:
@@ -191,14 +190,13 @@ def bucket_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack([k | np.uint64(i << 32) for i, k in enumerate(keys)], axis=1).view(np.int64)
 
 
-def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_ROWS, turn: int = 0, every: bool = False) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v): links between the distinct fingerprints of ``nodes`` (fp) that connect whatever all links connect.
 
-    With a similarity ``nodes`` has node and label as well: rows of one label are connected, rows of a bucket are ordered
-    anew each ``turn``, and ``every`` gives all links between labels.
+    With a similarity ``nodes`` has node as well, and keys follow the fingerprint.
     """
     words = how.bits // 64
-    named = [] if how.similarity is None else ["node", "label"]
+    named = [] if how.similarity is None else ["node"]
 
     def keyed(batches):
         for batch in batches:
@@ -235,7 +233,7 @@ def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_
 
     def _found(rows, ids):
         fps = _words(rows.column("fp"), words)
-        pairs = links(ids, fps, how.radius, rows.column("label").to_numpy() if named else None, every)
+        pairs = links(ids, fps, how.radius)
         if pairs:
             ends = [[p[i] for p in pairs] for i in (0, 1)]
             u, v = (rows.column("node").to_numpy()[x] if named else _nodes(fps[x]) for x in ends)
@@ -252,77 +250,51 @@ def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_
         .select("k", "c", *named, "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
         .select("k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), *named, "fp")
     )
-    order = F.xxhash64("node", F.lit(turn)) if named else F.col("fp")
+    order = F.xxhash64("node") if named else F.col("fp")
     return dealt.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b", order).mapInArrow(compared, "u long, v long")
 
 
-def judged(pairs: DataFrame, texts: DataFrame, how: SimHash) -> DataFrame:
-    """(u, v, same): whether the texts (node, text) of each of ``pairs`` (u, v) have the similarity, by their sets of shingles."""
-    small_batches(pairs.sparkSession)
+def _row_sign():
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
+def shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, how: SimHash) -> DataFrame:
+    """(node, size, shingles) for each of ``wanted`` (node), from the text of one row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            ends = [batch.column(c).to_pylist() for c in ("u", "v")]
-            same = []
-            for row, (u, v) in enumerate(zip(*ends)):
-                for node, c in ((u, "one"), (v, "two")):
-                    if node not in sets:
-                        sets[node] = np.unique(np.array(shingle_hashes(batch.column(c)[row].as_py(), how.shingle), np.uint64))
-                x, y = sets[u], sets[v]
-                least, most = sorted((len(x), len(y)))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if least >= how.similarity * most - 1e-9 else 0
-                same.append(common >= how.similarity * (least + most - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same, pa.bool_())], ["u", "v", "same"])
-
-    raw = texts.select("node", F.col("text").cast("binary").alias("text"))
-    both = pairs.join(raw.toDF("u", "one"), "u").join(raw.toDF("v", "two"), "v")
-    return both.select("u", "v", "one", "two").mapInArrow(work, "u long, v long, same boolean")
+            sets = [np.unique(np.array(shingle_hashes(x.as_py(), how.shingle), "<u8")) for x in batch.column("text").cast(pa.binary())]
+            sizes = pa.array(list(map(len, sets)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "size", "shingles"])
+
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_sign").alias("row_sign"))
+    texts = docs.select(_row_sign().alias("row_sign"), "text").join(one, "row_sign").select("node", "text")
+    # equal rows agree in their sign, and in their sets
+    return texts.mapInArrow(work, SETS).groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
-    """(u, v): links of ``nodes`` of the similarity that connect whatever all such links among the candidates connect.
+    """(u, v): links of ``nodes`` of the similarity that connect whatever all such links in a group of candidates connect.
 
-    Few links connect all candidates; only where one of them fails, further ones are compared: some rounds of few links
-    between what isn't connected yet, then all that are left. ``marked`` has node and text_sign, ``docs`` the texts.
+    Few links of fingerprints connect all candidates to groups; inside of a group sets of shingles are compared.
+    ``marked`` has node and row_sign, ``docs`` the texts.
     """
-    rest = nodes.select("node", "fp", F.col("node").alias("label"))
-    good, texts = None, None
-    for turn in range(SPANNING_ROUNDS + 1):
-        every = turn == SPANNING_ROUNDS
-        pairs = fingerprint_links(rest, how, turn=turn, every=every)
-        pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-        if texts is None:
-            wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-            signs = stored(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_sign").alias("text_sign")), "signs")
-            plain = docs.select(_text_sign().alias("text_sign"), "text").join(signs, "text_sign")
-            texts = stored(plain.groupBy("node").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")), "texts")
-            groups = stored(components(pairs), "groups")
-        found = stored(judged(pairs, texts, how), "judged")
-        good = found.where("same").select("u", "v") if good is None else good.union(found.where("same").select("u", "v"))
-        if every or found.where("not same").isEmpty():
-            break
-        # groups of candidates with a link that failed, by what is connected in them
-        open_ = found.where("not same").join(groups, F.col("u") == F.col("node")).select("root").distinct()
-        left = groups.join(open_, "root", "left_semi").select("node")
-        named = components(good).select("node", F.col("root").alias("label")).distinct()
-        rest = nodes.select("node", "fp").join(left, "node", "left_semi").join(named, "node", "left")
-        rest = stored(rest.select("node", "fp", F.coalesce("label", "node").alias("label")), "rest")
-    return good
-
-
-def _text_sign():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    groups = stored(components(fingerprint_links(nodes, how)), "groups")
+    sets = stored(shingle_sets(docs, marked, groups.select("node"), how), "sets")
+    return links_within(groups, sets, how.similarity)
 
 
 def simhash_classes(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """(the columns of ``docs`` but the text, fp, node, root, component_id), a row for each row of ``docs``.
 
-    ``docs`` has doc_id, text and any others but these. component_id is the smallest doc_id that links reach,
+    ``docs`` has doc_id, text and any others; those of the names above, row_sign or n give way. component_id is the smallest doc_id that links reach,
     null where all of them are null. Texts without words (null, empty, white space) have a fingerprint of zeros,
     which links like any other (with a similarity they are copies of each other only). Rows of one root are one class. Repeated rows share a fingerprint. An empty table gives an empty table.
     """
-    given = docs if how.similarity is None else docs.withColumn("text_sign", _text_sign())
+    own = ("fp", "node", "root", "component_id", "row_sign", "n")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in own])
+    given = docs if how.similarity is None else docs.withColumn("row_sign", _row_sign())
     marked = stored(fingerprints(given, how), "fingerprints")
     nodes = stored(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "nodes")
     stars = components(fingerprint_links(nodes, how) if how.similarity is None else similar_links(docs, marked, nodes, how))
@@ -334,7 +306,7 @@ def simhash_classes(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
         F.coalesce("root", "node").alias("root"),
         F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"),
     )
-    return marked.join(classes, F.col("node") == F.col("n")).drop("n", "text_sign")
+    return marked.join(classes, F.col("node") == F.col("n")).drop("n", "row_sign")
 
 
 def survivors(docs: DataFrame, how: SimHash = NEAR) -> DataFrame:

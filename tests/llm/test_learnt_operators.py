@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barscreen.llm import bitslice, classifier, components, htmltext, media, pii, simhash
+from barscreen.llm import alike, bitslice, classifier, components, htmltext, media, pii, simhash
 
 from .test_text_operators import DOCS, SMALL_TABLE, empty, odd_documents
 
@@ -105,6 +105,52 @@ def test_near_copies_leave_one_row(spark):
     assert simhash.survivors(empty(spark)).count() == 0
 
 
+def test_columns_that_clash_give_way(spark):
+    docs = odd_documents(spark).withColumns({c: F.lit("clash") for c in ("spans", "base_spans", "redacted", "node", "root", "fp", "n")})
+    found = pii.find_personal_data(docs).collect()
+    assert len(found) == docs.count() and all(r["node"] == "clash" and r["spans"] != "clash" for r in found)
+    classes = simhash.simhash_classes(docs).collect()
+    assert len(classes) == len(found) and all(r["spans"] == "clash" and r["node"] != "clash" for r in classes)
+
+
+def test_tiles_connect_what_all_pairs_connect(spark, monkeypatch):
+    monkeypatch.setattr(alike, "CHUNK_TEXTS", 20)
+    rng = np.random.default_rng(3)
+    base, sets, root = rng.integers(0, 2**63, 60), [], []
+    for g, (count, rate) in enumerate([(90, 0.11), (70, 0.02), (5, 0.1), (60, 0.3), (1, 0.0)]):
+        for _ in range(count):
+            kept = base[rng.random(60) >= rng.uniform(0, 2 * rate)]
+            sets.append(np.unique(np.r_[kept, rng.integers(0, 2**63, 60 - len(kept))]).astype("<u8"))
+            root.append(g)
+    pairs = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if root[i] == root[j] and (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9
+    ]
+    groups = spark.createDataFrame(list(enumerate(root)), "node long, root long")
+    table = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], alike.SETS)
+    found = [tuple(r) for r in alike.links_within(groups, table, 0.8).collect()]
+    assert {tuple(sorted(p, reverse=True)) for p in found} <= set(pairs) and len(found) < 3 * len(sets)
+    assert grouped(found, len(sets)) == grouped(pairs, len(sets))
+    assert len(set(grouped(pairs, len(sets))[:90])) > 3
+    few = rng.permutation(len(sets))[:200]
+    counts = alike.common_counts([sets[k] for k in few])
+    assert all(counts[a, b] == len(np.intersect1d(sets[few[a]], sets[few[b]])) for a in range(0, 200, 7) for b in range(200))
+
+
+def test_a_group_of_two_thousand_near_copies_under_the_similarity(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for k in range(2000):  # six changed words cost 30 of 96 shingles: copies of each other at 0.3 to 0.6
+        copy = list(base)
+        for i in rng.sample(range(5, 95), 6):
+            copy[i] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(2000 + k, t.replace(t.split()[0], "else")) for k, t in rows[:30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r["doc_id"] for r in simhash.survivors(docs).collect()} == set(range(2000))
+
+
 def naive_spans(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

@@ -75,8 +75,10 @@ def shares(sizes, weights=(5, 2, 1), most=3):
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_mixing_takes_each_sources_target(spark, which):
     docs = odd_documents(spark) if which == "odd" else spark.read.parquet(f"{SMALL_TABLE}/documents.parquet")
-    docs = docs.withColumn("taken", F.lit("clash")).drop("taken")
-    rows = mixing.mix_sources(docs).collect()
+    clash = {c: F.lit(7) for c in ("room", "last", "epochs", "start", "mix_key", "given_0")}
+    clashing = docs.withColumns({**clash, **{c: F.lit("clash") for c in ("taken", "size", "target", "copies")}})
+    rows = mixing.mix_sources(clashing).collect()
+    assert all(r[c] == 7 for r in rows for c in clash) and sorted(rows[0].asDict()) == sorted(clashing.columns + ["source_size"])
     assert len(rows) == docs.count()
     sizes, taken, target = defaultdict(int), defaultdict(int), {}
     for r in rows:
@@ -123,12 +125,22 @@ def test_packing_places_every_id_once(spark, which):
         short += ends[-1] < parts[0][2]
     assert short <= 1  # one partition here
     assert packing.pack_documents(empty(spark), packing.vocabulary()).count() == 0
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("start", "tier", "sequence_id")}).coalesce(1)
+    again = packing.pack_documents(clashing, packing.vocabulary())
+    assert again.columns == ["doc_id", *[c.split()[0] for c in packing.OUT.split(", ")]] and again.count() == len(rows)
 
 
 def test_names_of_special_tokens_in_other_cases_are_ordinary_text():
     ids = packing.WordIds(packing.vocabulary())
     for text in ("a <|EndOfText|> b", "x<|STARTOFTEXT|>", "a <|endoftext|> b", "plain Words."):
-        assert ids.encode(text) == ids.whole(text)
+        assert ids.encode([text]) == [ids.whole(text)]
+
+
+def test_words_encoded_together_have_the_ids_of_each_alone():
+    words = "plain Words. Straße İstanbul ǅ ﬁne ªº 한글 하 Å é naïve don't x.y 3,5 a, . ,, 漢字 İ ſ ẞ ab's".split(" ")
+    ids = packing.WordIds(packing.vocabulary())
+    for texts in ([" ".join(words)], words, [" ".join(words[:5]), "", " ".join(w for w in words if w.isalpha())]):
+        assert packing.WordIds(packing.vocabulary()).encode(texts) == [ids.whole(t) for t in texts]
 
 
 def test_step_groups_hold_the_same_tokens(spark):
