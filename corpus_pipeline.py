@@ -21,7 +21,9 @@ def whole(docs: DataFrame, *columns: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules(whole(docs, "doc_id", "text"), trusted_ids(table(spark, sf_dir, "labels")))
-    return judged.where("kept").select("whole_row.*")
+    # the verdict is a long expression: a row number in it keeps Spark from working it out in a filter and again after it
+    verdict = F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("verdict")
+    return judged.select("whole_row", verdict).where("verdict").select("whole_row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
