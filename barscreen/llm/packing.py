@@ -11,6 +11,9 @@ Sequences go to step groups. A full group holds the same number of tokens in eve
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections import deque
 
@@ -26,13 +29,17 @@ TIERS = (128, 256, 512, 1024, 2048)
 #: Tokens of a full step group.
 GROUP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+#: A name in the table of modules of a worker, under which it keeps words.
+KEPT = "_words_of_packing"
 #: Texts, and words, that are encoded together.
 TEXTS = 256
 LEARNT = 4096
 END_ID = 1
 #: What tokens that end a word end with.
 WORD_END = "</w>"
+#: Units of ASCII words in lower case, which the tokenizer encodes each by itself.
+UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -82,17 +89,38 @@ class WordIds(dict):
         return [self.whole(text) if found is None else b"".join(map(self.__getitem__, found)) for text, found in zip(texts, split)]
 
     def learn(self, pieces: set[bytes]) -> None:
-        """The ids of words of letters only, many at a time: such a word is one unit, of which the last id, and no other, ends a word."""
-        bare = {p[:-1] if p[-1:] in (b".", b",") else p for p in pieces} - self.keys()
-        words = [w for w in (p.decode() for p in sorted(bare)) if w.isalpha()]
+        """The ids of words, many at a time. Of each unit of a word the last id, and no other, ends a unit, so units are counted.
+
+        Words of letters only are one unit, or more where a letter is changed into more than letters; ASCII words have
+        as many as the pattern finds. So if all units of some words are as many as expected, those of each word are.
+        """
+        bare = {p[:-1] if p[-1:] in (b".", b",") and p[-2:-1].isalnum() else p for p in pieces} - self.keys()
+        words, units = [], []
+        for piece in sorted(bare):
+            word = piece.decode()
+            if word.isalpha():
+                words.append(word)
+                units.append(1)
+            elif piece.isascii():
+                words.append(word)
+                units.append(len(UNIT.findall(word)))
         for at in range(0, len(words), LEARNT):
-            some = words[at : at + LEARNT]
+            some, ends = words[at : at + LEARNT], np.cumsum(units[at : at + LEARNT])
             [found] = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):  # else some letter is changed into more than letters
-                raw, ends = ids.tobytes(), ends.tolist()
-                self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends))
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == ends[-1] and last[-1] == len(ids):
+                raw, last = ids.tobytes(), last[ends - 1].tolist()
+                self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *last], last))
+
+
+def worker_words(path: str) -> WordIds:
+    """The words of one vocabulary, which a Python worker keeps from one task to the next."""
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__.setdefault("words", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 class Packer:
@@ -179,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] =
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches):
-        words = WordIds(tokenizer)
+        words = worker_words(tokenizer)
         packer = Packer(tiers, group_tokens, TaskContext.get().partitionId() << 33)
         end = np.array([END_ID], "<u4").tobytes()
 
