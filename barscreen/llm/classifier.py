@@ -1,12 +1,13 @@
 """Quality classifier from positive and unlabelled texts.
 
 A linear model over binned counts of each whole text is fitted by minimising the non-negative unbiased risk: trusted
-positives estimate the risk on good texts, unlabelled texts minus the positives' share estimate the risk on bad ones,
-and that estimate is kept from falling below zero. The class prior is estimated from the labelled rows of the folds
-that may be learnt from, as are the bins, and the scale that turns the model's value into a probability.
+positives estimate the risk on good texts, all unlabelled texts minus the positives' share estimate the risk on bad ones,
+and that estimate is kept from falling below zero. The class prior is estimated from values of positives and unlabelled
+texts alone: where few unlabelled texts but good ones reach, the shares of both that do have its ratio.
 
-Counts are taken where texts are read, byte by byte in vectorised passes; only a score leaves. What is fitted is small:
-at most ``FIT_ROWS`` positives, unlabelled and labelled rows each, those of the smallest hashes of their ids.
+Counts are taken where texts are read, once, byte by byte in vectorised passes, and stored. Labelled rows, of which at
+most ``FIT_ROWS`` of each kind are used, give the bins, a first fit and the scale that turns a value into a probability.
+Every unlabelled row takes part in each further step and in the prior, by sums over tasks.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
-#: Rows of each kind (positive, unlabelled, labelled) that a fit uses at most.
+#: Labelled rows of each kind (positive, any) that a fit uses at most: those of the smallest hashes of their ids.
 FIT_ROWS = 8_000
 BINS = 12
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+#: Rounds of the fit: in each a prior is estimated, and steps are taken, each of them a pass over the binned counts.
+ROUNDS, STEPS, RATE, DECAY = 2, 12, 0.05, 1e-4
+#: Steps of the first fit, on labelled rows alone.
+FIRST_STEPS, FIRST_RATE = 50, 0.05
+#: Cells of the histogram of values by which the prior is estimated, over values from -REACH to REACH.
+CELLS, REACH = 2000, 40.0
+#: The prior's error bounds hold with a probability of 1 - DELTA.
+DELTA = 0.1
 #: The share of the positives' risk that the estimate for bad texts may fall below zero before it is pushed back.
 SLACK = 0.0
 FOLDS, HELD_OUT = 4, 2
@@ -98,43 +106,93 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -60, 60)))
 
 
-def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
-    """(risk of good texts, estimated risk of bad ones) of values, by the sigmoid loss."""
-    good = prior * float(_sigmoid(-positive).mean())
-    bad = float(_sigmoid(unlabelled).mean()) - prior * float(_sigmoid(positive).mean())
-    return good, bad
+@dataclass
+class Sums:
+    """What a pass over unlabelled rows gives: how many there are, sums of the loss and of slopes by bin, values by cell."""
+
+    rows: float
+    loss: float
+    slopes: np.ndarray
+    cells: np.ndarray
+
+    @staticmethod
+    def of(bins: np.ndarray, w: np.ndarray) -> Sums:
+        v = w[bins].sum(1) + w[-1]
+        q = _sigmoid(v)
+        slopes = np.bincount(bins.ravel(), np.repeat(q * (1 - q), bins.shape[1]), len(w))
+        slopes[-1] = (q * (1 - q)).sum()
+        return Sums(float(len(bins)), float(q.sum()), slopes, np.bincount(_cells(v), minlength=CELLS).astype(float))
+
+
+def _cells(values: np.ndarray) -> np.ndarray:
+    return np.clip((values + REACH) * (CELLS / (2 * REACH)), 0, CELLS - 1).astype(np.int64)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of good texts among unlabelled ones, from counts of values by cell.
+
+    If good texts are spread among the unlabelled as the positives are, the share of unlabelled texts from a value on
+    is at least the prior times that of the positives. The value where the bound, with the error of both shares, is
+    least gives the estimate.
+    """
+    n, m = positive.sum(), unlabelled.sum()
+    if not n or not m:
+        return 0.5
+    p, u = positive[::-1].cumsum() / n, unlabelled[::-1].cumsum() / m
+    slack = np.sqrt(np.log(4 / DELTA) / 2) * (1 / np.sqrt(n) + 1 / np.sqrt(m))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = np.where(p > 0, (u + slack) / p, np.inf)
+    best = int(bound.argmin())
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def risk_gradient(positive: Sums, unlabelled: Sums, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk, by the sigmoid loss; of the bad texts' part alone, upwards, where that is below zero."""
+    good, every = (s.slopes / s.rows for s in (positive, unlabelled))
+    bad = unlabelled.loss / unlabelled.rows - prior * positive.loss / positive.rows
+    bad_gradient = every - prior * good
+    return -prior * good + bad_gradient if bad >= -SLACK else -bad_gradient
+
 
+class _Descent:
+    """Steps of Adam on the weights."""
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray) -> Model:
-    """A model from features of positive, unlabelled and labelled texts. Without either of the first all score the prior."""
-    prior = float(np.clip((labels.sum() + 1) / (len(labels) + 2), 0.01, 0.99))
-    both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, len(FEATURES)))
+    def __init__(self, w: np.ndarray, rate: float):
+        self.w, self.rate, self.step = w, rate, 0
+        self.first, self.second = np.zeros_like(w), np.zeros_like(w)
+
+    def go(self, positive: Sums, unlabelled: Sums, prior: float) -> None:
+        g = risk_gradient(positive, unlabelled, prior) + DECAY * self.w
+        self.step += 1
+        self.first = 0.9 * self.first + 0.1 * g
+        self.second = 0.999 * self.second + 0.001 * g * g
+        self.w -= self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
+
+
+def fit(positive: np.ndarray, labelled: np.ndarray, labels: np.ndarray, sums) -> Model:
+    """A model from features of positive and labelled texts, and of unlabelled ones by ``sums`` (model to Sums).
+
+    Without positive or unlabelled texts all texts score alike: by the share of good ones among the labelled.
+    """
+    share = float(np.clip((labels.sum() + 1) / (len(labels) + 2), 0.01, 0.99))
+    both = np.concatenate([positive, labelled]) if len(positive) + len(labelled) else np.zeros((1, len(FEATURES)))
     # half of the bins part all texts evenly, half part the values that few texts have
     even, tails = np.linspace(0, 1, BINS // 2 + 1)[1:-1], np.array([0.005, 0.02, 0.05, 0.95, 0.98, 0.995])
     edges = np.quantile(both, np.sort(np.r_[even, tails]), axis=0).T
-    model = Model(edges, np.zeros(len(FEATURES) * (edges.shape[1] + 1) + 1), 1.0, 0.0, prior)
-    if not len(positive) or not len(unlabelled):
-        model.scale, model.shift = 0.0, float(np.log(prior / (1 - prior)))
-        return model
-    p, u = model.binned(positive), model.binned(unlabelled)
+    model = Model(edges, np.zeros(len(FEATURES) * (edges.shape[1] + 1) + 1), 1.0, 0.0, share)
     w = model.weights
-    first, second = np.zeros_like(w), np.zeros_like(w)
-
-    def spread(bins: np.ndarray, slopes: np.ndarray) -> np.ndarray:
-        """The gradient of a mean over texts, from the slope at each."""
-        g = np.bincount(bins.ravel(), np.repeat(slopes, bins.shape[1]), len(w)) / len(bins)
-        g[-1] = slopes.mean()
-        return g
-
-    for step in range(1, STEPS + 1):
-        vp, vu = w[p].sum(1) + w[-1], w[u].sum(1) + w[-1]
-        slope_p, slope_u = _sigmoid(vp) * _sigmoid(-vp), _sigmoid(vu) * _sigmoid(-vu)
-        _, bad = nonnegative_risk(vp, vu, prior)
-        bad_gradient = spread(u, slope_u) - prior * spread(p, slope_p)
-        g = -prior * spread(p, slope_p) + bad_gradient if bad >= -SLACK else -bad_gradient
-        g = g + DECAY * w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    if not len(positive) or not sums(model).rows:
+        model.scale, model.shift = 0.0, float(np.log(share / (1 - share)))
+        return model
+    p, known = model.binned(positive), model.binned(labelled)
+    first = _Descent(w, FIRST_RATE)
+    for _ in range(FIRST_STEPS):
+        first.go(Sums.of(p, w), Sums.of(known, w), share)
+    for _ in range(ROUNDS):
+        model.prior = estimated_prior(Sums.of(p, w).cells, sums(model).cells)
+        descent = _Descent(w, RATE)
+        for _ in range(STEPS):
+            descent.go(Sums.of(p, w), sums(model), model.prior)
     _calibrate(model, model.value(labelled), labels)
     return model
 
@@ -164,10 +222,20 @@ def fold_column(name: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of ``labels.quality`` over ``docs`` (doc_id, text), from folds other than ``HELD_OUT``.
+    """A model of ``labels.quality`` over ``docs`` (doc_id, text), from folds other than ``HELD_OUT``."""
+    return learn_from(measure(docs), labels, rows)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) for each row of ``docs`` (doc_id, text): the features of its text, stored."""
+    return stored(_measured(docs, ["doc_id"]), "features")
+
+
+def learn_from(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """``learn`` from what ``measure`` gives.
 
-    Positives are rows labelled 1 and not toxic; unlabelled are rows without a label. Each is a bounded sample,
-    chosen by id before any text is read; their ids are broadcast, and the texts of these alone become features.
+    Positives are rows labelled 1 and not toxic; these and the labelled ones are bounded samples, chosen by id. Unlabelled are
+    all rows without a label, outside of the held-out fold. A sum for each task reaches the driver in each step.
     """
     open_labels = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold_column() != HELD_OUT))
@@ -176,14 +244,56 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     near = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = open_labels.orderBy(*near).limit(rows).withColumn("kind", F.lit("known"))
     trusted = open_labels.where("quality = 1 and toxic = 0").orderBy(*near).limit(rows).withColumn("kind", F.lit("trusted"))
-    marked = labels.where("doc_id is not null").select("doc_id").distinct()
-    free = docs.where(F.col("doc_id").isNotNull() & (fold_column() != HELD_OUT)).select("doc_id").distinct().join(marked, "doc_id", "left_anti")
-    web = free.orderBy(*near).limit(rows).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(0).alias("toxic"), F.lit("web").alias("kind"))
-    chosen = F.broadcast(known.union(trusted).union(web).select("doc_id", "quality", "kind"))  # 3 x rows at most
-    texts = docs.select("doc_id", "text").where("doc_id is not null").join(chosen, "doc_id")
-    found = _measured(texts, ["kind", "quality"]).collect()
+    chosen = F.broadcast(known.union(trusted).select("doc_id", "quality", "kind"))  # 2 x rows at most
+    found = features.where("doc_id is not null").join(chosen, "doc_id").orderBy("kind", *near, "x").collect()
     take = lambda kind: np.array([r["x"] for r in found if r["kind"] == kind], float).reshape(-1, len(FEATURES))
-    return fit(take("trusted"), take("web"), take("known"), np.array([r["quality"] for r in found if r["kind"] == "known"], float))
+    marked = labels.where("doc_id is not null").select("doc_id").distinct()
+    free = features.where(F.col("doc_id").isNotNull() & (fold_column() != HELD_OUT)).join(marked, "doc_id", "left_anti")
+    binned = None
+
+    def sums(model: Model) -> Sums:
+        nonlocal binned
+        if binned is None:
+            binned = stored(_binned(free, model), "binned")
+        return _summed(binned, model)
+
+    labels_known = np.array([r["quality"] for r in found if r["kind"] == "known"], float)
+    return fit(take("trusted"), take("known"), labels_known, sums)
+
+
+def _binned(features: DataFrame, model: Model) -> DataFrame:
+    """The bins of each row's features, two bytes each, many rows in one."""
+
+    def work(batches):
+        for batch in batches:
+            if len(batch):
+                bins = model.binned(_matrix(batch.column("x")))
+                yield pa.RecordBatch.from_arrays([pa.array([bins.astype("<u2").tobytes()], pa.binary())], ["bins"])
+
+    return features.select("x").mapInArrow(work, "bins binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(FEATURES))
+
+
+def _summed(binned: DataFrame, model: Model) -> Sums:
+    w = model.weights
+
+    def work(batches):
+        total = None
+        for batch in batches:
+            for raw in batch.column("bins").to_pylist():
+                s = Sums.of(np.frombuffer(raw, "<u2").reshape(-1, len(FEATURES)).astype(np.int64), w)
+                flat = np.r_[s.rows, s.loss, s.slopes, s.cells]
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    n = len(w)
+    parts = sorted(r["sums"] for r in binned.mapInArrow(work, "sums binary").collect())  # a row a task, in one order
+    flat = sum((np.frombuffer(bytes(p), float) for p in parts), np.zeros(2 + n + CELLS))
+    return Sums(flat[0], flat[1], flat[2 : 2 + n], flat[2 + n :])
 
 
 def _measured(docs: DataFrame, rest: list[str]) -> DataFrame:
@@ -202,16 +312,19 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     """(doc_id, held_out, score, predicted), a row for each row of ``docs`` (doc_id, text, any others).
 
     The score depends on the text alone, so copies and repeated rows score alike. A null text scores as an empty one,
-    whose features are all 0. A null id is not held out.
+    whose features are all 0. A null id is not held out. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
+    return score_features(_measured(docs, ["doc_id"]), model, threshold)
+
+
+def score_features(features: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """``score_quality`` from what ``measure`` gives."""
+    kind = dict(features.dtypes)["doc_id"]
 
     def work(batches):
         for batch in batches:
-            x = np.array([text_features(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], float)
-            score = model.score(x.reshape(-1, len(FEATURES)))
+            score = model.score(_matrix(batch.column("x")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    scored = features.select("doc_id", "x").mapInArrow(work, f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold_column() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
