@@ -21,17 +21,15 @@ from .common import small_batches
 
 #: Log-odds that marks of boilerplate and of content add, and the most that a form can say.
 AGAINST, INSIDE, FORM_LIMIT = -9.0, 5.0, 3.0
-#: What a class or id in the way of boilerplate adds: a guess, which text and neighbours may outweigh.
+#: What a class or id in the way of boilerplate adds, or a form or the like around: a guess, which text and neighbours may outweigh.
 NAMED_AGAINST = -4.0
-#: An element that holds a larger share of a page's text isn't boilerplate by its name.
-NAMED_SHARE = 0.5
 #: Smoothness: blocks that follow each other, and blocks that share their container.
 NEXT, SHARED = 0.3, 1.0
 PSEUDO = 2.0
 
 # Elements of HTML by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas textarea select head title annotation annotation-xml".split())
+RAW = frozenset("script style template svg iframe object canvas textarea select head title annotation annotation-xml".split())
 #: Raw elements that go on to the end of a page where they are not closed.
 ENDLESS = frozenset("script style textarea title".split())
 INLINE = frozenset(
@@ -39,7 +37,9 @@ INLINE = frozenset(
     "time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
     "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-BOILER_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
+BOILER_TAGS = frozenset("footer aside menu button".split())
+#: Elements of boilerplate that may stand around a whole page: an article inside of them ends what they say.
+AROUND_TAGS = frozenset("nav form dialog fieldset noscript".split())
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -49,6 +49,9 @@ BOILER_NAMES = frozenset(
     "subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended pagination pager "
     "copyright legal disclaimer form search skip tags toc".split()
 )
+#: Names of readers' comments, which no mark inside of them ends, and what such names are made of besides.
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
+COMMENT_PARTS = COMMENT_NAMES | frozenset("list area section thread block box body item text author meta user reader readers title form tree container".split())
 CONTENT_NAMES = frozenset("article articlebody post postbody entry story content main maincontent".split())
 #: In a compound name these say that something else is beside, or isn't there: has-sidebar, no-ads.
 AROUND_NAMES = frozenset("has have with without no not is layout wrapper wrap".split())
@@ -60,25 +63,26 @@ ATTRIBUTE = re.compile(r"""([A-Za-z:_-]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Marks that blocks inherit from the elements around them.
-BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER, NAMED = 1, 2, 4, 8, 16, 32, 64
+BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER, NAMED, AROUND, COMMENT = 1, 2, 4, 8, 16, 32, 64, 128, 256
 
 
 class Block:
-    __slots__ = ("parts", "link", "marks", "container", "tag", "named")
+    __slots__ = ("parts", "link", "marks", "container", "tag")
 
-    def __init__(self, marks: int, container: int, tag: str, named: int = 0):
+    def __init__(self, marks: int, container: int, tag: str):
         self.parts: list[str] = []
-        self.named = named  # the innermost element around it with a name of boilerplate
         self.link, self.marks, self.container, self.tag = 0, marks, container, tag
 
 
-def _marks(tag: str, attributes: str, marks: int) -> tuple[int, bool]:
-    """Marks inside an element, from those outside it, and whether its own name is one of boilerplate."""
+def _marks(tag: str, attributes: str, marks: int) -> int:
+    """Marks inside an element, from those outside it."""
     if tag == "a":
-        return marks | LINK, False
+        return marks | LINK
     inner = named = False
     if tag in BOILER_TAGS:
         marks |= BOILER
+    elif tag in AROUND_TAGS:
+        marks |= AROUND
     elif tag in CONTENT_TAGS:
         inner = True
     elif tag in HEADINGS:
@@ -92,6 +96,8 @@ def _marks(tag: str, attributes: str, marks: int) -> tuple[int, bool]:
                 parts = [{x.lower() for x in NAME.findall(word)} for word in value.split()]
                 names = set().union(*parts)
                 boiler = set().union(*(x & BOILER_NAMES for x in parts if not x & AROUND_NAMES))
+                if any(x & COMMENT_NAMES and x <= COMMENT_PARTS for x in parts):
+                    marks |= COMMENT
                 if boiler == {"header"} and names & CONTENT_NAMES:
                     marks |= CONTENT | HEADER  # the head of an article, with its title
                 elif boiler:
@@ -109,17 +115,16 @@ def _marks(tag: str, attributes: str, marks: int) -> tuple[int, bool]:
                 marks |= HIDDEN
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 marks |= HIDDEN
-    if inner:  # a mark of content ends what names further out say
-        marks = (marks | CONTENT) & ~NAMED
-    return (marks | NAMED if named else marks), named
+    if inner:  # a mark of content ends what names further out say, and elements that may stand around a page
+        marks = (marks | CONTENT) & ~(NAMED | AROUND)
+    return marks | NAMED if named else marks
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page, in order; scripts, styles and other raw elements have none."""
     out: list[Block] = []
-    # tag, marks, number of the nearest element that holds blocks, tag of the nearest that isn't inline, nearest named element
-    stack: list[tuple[str, int, int, str, int]] = [("", 0, 0, "", 0)]
-    outer = [0]  # for each named element the next one around it
+    # tag, marks, number of the nearest element that holds blocks, tag of the nearest that isn't inline
+    stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]
     unclosed: set[str] = set()
     opened: Counter = Counter()
     block: Block | None = None
@@ -148,8 +153,8 @@ def blocks_of(html: str) -> list[Block]:
             if block is None:
                 if piece.isspace():
                     continue
-                _, marks, container, kind, name = stack[-1]
-                block = Block(marks & ~LINK, container, kind, name)
+                _, marks, container, kind = stack[-1]
+                block = Block(marks & ~LINK, container, kind)
                 out.append(block)
             block.parts.append(piece)
             if stack[-1][1] & LINK:
@@ -183,40 +188,13 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID:
             continue
         serial += 1
-        _, marks, container, kind, name = stack[-1]
+        _, marks, container, kind = stack[-1]
         inline = tag in INLINE
-        marks, named = _marks(tag, m[3], marks)
-        if named:
-            outer.append(name)
-            name = len(outer) - 1
-        elif not marks & NAMED:
-            name = 0
-        stack.append((tag, marks, container if inline or tag == "p" else serial, kind if inline else tag, name))
+        stack.append((tag, _marks(tag, m[3], marks), container if inline or tag == "p" else serial, kind if inline else tag))
         opened[tag] += 1
-    _weigh_names(out, outer)
     return out
 
 
-def _weigh_names(blocks: list[Block], outer: list[int]) -> None:
-    """Take the mark of names from blocks whose named elements all hold more than ``NAMED_SHARE`` of the page's text."""
-    if len(outer) == 1:
-        return
-    inside = [0] * len(outer)
-    for b in blocks:
-        if not b.marks & HIDDEN:
-            inside[b.named] += sum(map(len, b.parts))
-    total = sum(inside)
-    for k in range(len(outer) - 1, 0, -1):  # inner elements have larger numbers
-        if outer[k]:
-            inside[outer[k]] += inside[k]
-    counts = [False] * len(outer)
-    for k in range(1, len(outer)):
-        counts[k] = inside[k] <= NAMED_SHARE * total or counts[outer[k]]
-    for b in blocks:
-        if not counts[b.named]:
-            b.marks &= ~NAMED
-
-
 def form_of(text: str, block: Block) -> int:
     """The form of a block, apart from its place: kind of element, length, share of links, last character."""
     words = text.count(" ") + 1
@@ -231,10 +209,10 @@ def form_of(text: str, block: Block) -> int:
 def evidence(block: Block, form: int, table: dict[int, float]) -> float:
     """Log-odds that a block is content."""
     marks = block.marks
-    if marks & BOILER:
+    if marks & (BOILER | COMMENT):
         return AGAINST
     odds = table.get(form, 0.0)
-    if marks & NAMED:
+    if marks & (NAMED | AROUND):
         return odds + NAMED_AGAINST
     if marks & CONTENT:
         return odds + INSIDE
@@ -319,8 +297,20 @@ def text_of(block: Block) -> str:
 
 
 def main_text(html: str | None, table: dict[int, float]) -> str:
-    """The content of a page: its blocks in order, joined by a space."""
+    """The content of a page: its blocks in order, joined by a space.
+
+    Where names of elements, or elements that may stand around a page, leave nothing, blocks are judged without them.
+    """
     pairs = [(b, x) for b in blocks_of(html or "") if not b.marks & HIDDEN and (x := text_of(b))]
+    text = _content(pairs, table)
+    if not text and any(b.marks & (NAMED | AROUND) for b, _ in pairs):
+        for b, _ in pairs:
+            b.marks &= ~(NAMED | AROUND)
+        text = _content(pairs, table)
+    return text
+
+
+def _content(pairs: list[tuple[Block, str]], table: dict[int, float]) -> str:
     odds = [evidence(b, form_of(x, b), table) for b, x in pairs]
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
@@ -348,7 +338,7 @@ def train_forms(pages: DataFrame) -> dict[int, float]:
         for batch in batches:
             for x in batch.column(0):
                 for b in blocks_of(x.as_py() or ""):
-                    if (boiler := b.marks & (BOILER | NAMED)) or b.marks & CONTENT:
+                    if (boiler := b.marks & (BOILER | NAMED | AROUND | COMMENT)) or b.marks & CONTENT:
                         if text := text_of(b):
                             counts[form_of(text, b), 0 if boiler else 1] += 1
         rows = [(*k, n) for k, n in counts.items()]
