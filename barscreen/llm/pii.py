@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> int:
     """The bucket of a word's shape: runs of digits by length, runs of letters as one, other characters as they are."""
-    plain = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", word[:80]))
+    plain = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", word))
     return zlib.crc32(plain.encode()) % SHAPES
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations
-from .classifier import learn, score_quality
+from .classifier import learn_from, measure, score_features
 from .collocations import mine_collocations
 from .common import table
 from .htmltext import extract_main_text
@@ -107,8 +107,8 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+    features = measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_features(features, learn_from(features, table(spark, sf_dir, "labels")))
 
 
 @query
@@ -192,3 +192,113 @@ WITH v AS (
 )
 SELECT * FROM r WHERE rank <= 20
 """
+
+
+#: Words, as the contracts of operators 2 and 10 have them, of a text in DuckDB.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 2 gives each document and source before any is taken."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+ORACLES["mixing_targets"] = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, 3 * sum(size) AS most,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
+  FROM d GROUP BY source
+), o AS (  -- sources that reach their bound first come first
+  SELECT *, coalesce(sum(most) OVER w, 0) AS bounds, coalesce(sum(weight) OVER w, 0) AS weights,
+    sum(source_size) OVER () AS every, sum(weight) OVER () AS every_weight
+  FROM s WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT *, (every - bounds) / (every_weight - weights) AS level FROM o),
+t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(CASE WHEN most <= level * weight THEN most
+    ELSE max(CASE WHEN most > level * weight THEN level END) OVER () * weight END AS DOUBLE) AS target
+  FROM l
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base patterns of operator 6, counted."""
+    return op6_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+ORACLES["personal_data_counts"] = r"""
+WITH m AS (
+  SELECT doc_id,
+    regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+    regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS phones
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+)
+SELECT doc_id, CAST(len(emails) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ips, lambda p: len(list_filter(string_split(p, '.'), lambda x: length(ltrim(x, '0')) > 3
+    OR CAST(right('000' || x, 3) AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(cards, lambda c: length(c) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(c) + 1), lambda i:
+    CASE WHEN (length(c) - i) % 2 = 0 THEN CAST(c[i] AS INTEGER)
+      ELSE (2 * CAST(c[i] AS INTEGER)) // 10 + (2 * CAST(c[i] AS INTEGER)) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phones, lambda c: length(c) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM m
+"""
+
+
+@query
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base phrases of operator 7: where they stand and their labels."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLES["license_phrases"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, CASE WHEN w[i + 1] = 'mit' AND w[i + 2] = 'license' THEN 'mit'
+    WHEN w[i + 1] = 'apache' AND w[i + 2] = 'license' THEN 'apache'
+    WHEN w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license' THEN 'gpl' END AS label
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)
+), f AS (
+  SELECT doc_id, count(*) AS n, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM p WHERE label IS NOT NULL GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
+@query
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of operator 10."""
+    return op10_quality_rules(spark, sf_dir).drop("llr", "kept")
+
+
+ORACLES["quality_counts"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT id, i, array_to_string(w[i : i + 7], ' ') AS win
+  FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), repeated AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, win) > 1),
+covered AS (
+  SELECT id, CAST(sum(least(8, next - i)) AS BIGINT) AS n
+  FROM (SELECT id, i, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i), i + 8) AS next FROM repeated) GROUP BY id
+), lines AS (
+  SELECT id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n
+  FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  len(w) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN lines USING (id) LEFT JOIN covered USING (id)
+"""

@@ -30,8 +30,6 @@ from .components import components
 SEED = 42
 #: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of chunks of so many rows.
 BUCKET_ROWS = 50_000
-#: A bound for the table of larger buckets, which is broadcast.
-LARGE_BUCKETS = 100_000
 #: Fingerprints that a task compares at once.
 BLOCK_ROWS = 1 << 15
 PIGEONHOLE_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -239,11 +237,9 @@ def fingerprint_links(nodes: DataFrame, how: SimHash, bucket_rows: int = BUCKET_
             u, v = (rows.column("node").to_numpy()[x] if named else _nodes(fps[x]) for x in ends)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    total = nodes.count() * (MIN_BANDS if named else 10 if words == 1 else 4 * words)
-    limit = max(bucket_rows, total // LARGE_BUCKETS)
     rows = nodes.select(*named, "fp").mapInArrow(keyed, ", ".join(["k long", *(f"{c} long" for c in named), "fp binary"]))
-    large = F.broadcast(rows.groupBy("k").count().where(F.col("count") > limit))  # LARGE_BUCKETS rows at most
-    parts = F.coalesce(F.ceil(F.col("count") / limit), F.lit(1)).cast("int")
+    large = stored(rows.groupBy("k").count().where(F.col("count") > bucket_rows), "large")  # few: Spark broadcasts it while it is small
+    parts = F.coalesce(F.ceil(F.col("count") / bucket_rows), F.lit(1)).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = (
         rows.join(large, "k", "left").withColumn("parts", parts).withColumn("c", chunk)
