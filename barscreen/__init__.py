@@ -36,10 +36,11 @@ from .operators.weekly import complete_weeks, daily_bars, history_range, recent_
 from .plans.diagnostics import explain_screen, screen_summary
 from .plans.indexed import screen_indexed
 from .plans.many import screen_many
+from .plans.observed import observed_screen
 from .plans.screens import matching_weeks, screen, screen_bars, screen_matches
 from .sources.snapshot import Snapshot, read_snapshot, renew_snapshot, snapshot_metadata, write_snapshot
 from .sources.versions import KeyedTable
 from .sources.symbols import distinct_symbols, read_symbols, symbols_from_table, write_symbols
-from .sources.tables import bars_from_table, bars_from_wide, info_from_table
+from .sources.tables import bars_from_table, bars_from_wide, checked_bars, info_from_table, read_bars, save_bars
 from .streaming.jobs import current_results, dedupe_bars, stream_screen, stream_weekly_bars
 from .streaming.keyed import standing_results, stream_features, stream_judged

@@ -46,12 +46,9 @@ class Snapshot:
 
 def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchange_tz: str = "UTC") -> Snapshot:
     if layout == "parquet":
-        return Snapshot(
-            spark.read.parquet(f"{path}/bars"),
-            spark.read.parquet(f"{path}/info"),
-            spark.read.schema(METADATA_SCHEMA + ", stock_count long").json(f"{path}/metadata"),
-            spark.createDataFrame([], "symbol string, message string"),
-        )
+        bars, errors = _stored_bars(spark, path)
+        metadata = spark.read.schema(METADATA_SCHEMA + ", stock_count long").json(f"{path}/metadata")
+        return Snapshot(bars, spark.read.parquet(f"{path}/info"), metadata, errors)
     if layout == "jsonl":
         raw = spark.read.schema(RECORD_SCHEMA).json(f"{path}/stocks", mode="PERMISSIVE")
         named = F.coalesce("symbol", F.regexp_extract("_corrupt_record", r'"symbol"\s*:\s*"([^"]+)"', 1))
@@ -82,6 +79,16 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def _stored_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of the parquet layout and the rows that were rejected when it was written, if it holds any."""
+    bars = spark.read.parquet(f"{path}/bars")
+    if "rejected" not in bars.columns:
+        return bars, spark.createDataFrame([], "symbol string, message string")
+    bars = bars.withColumn("rejected", F.col("rejected").cast("boolean"))  # the folder's name is read as text
+    errors = bars.where("rejected").select("symbol", F.concat_ws(": ", "reason", "given").alias("message"))
+    return bars.where(~F.col("rejected")).drop("rejected", "reason", "given"), errors
+
+
 def _counted(documents: DataFrame) -> DataFrame:
     same = documents.groupBy("fetch_date_utc", "source_ticker_file", "data_years_fetched")
     return same.agg(F.sum("stock_count").cast("long").alias("stock_count"))
@@ -187,6 +194,8 @@ def write_snapshot(
 ) -> None:
     """Save a snapshot. ``meta`` holds the three metadata fields.
 
+    Bars with a ``reason`` (``checked_bars``) are rejected rows: the parquet layout stores them beside the bars, in the
+    same pass, and reading it gives them as ``errors``; JSON layouts take bars only.
     The JSON layouts hold one bar per symbol and day, so the history gathered
     for a symbol is bounded by its trading days whatever the input holds. A
     bundle is written as several documents of about ``symbols_per_document``
@@ -195,9 +204,12 @@ def write_snapshot(
     spark = bars.sparkSession
     if layout == "parquet":
         by_year = bars.withColumn("bar_year", F.year("session_date"))
-        by_year.hint("rebalance", "bar_year").write.partitionBy("bar_year").parquet(f"{path}/bars")
+        folders = ["bar_year"]
+        if "reason" in bars.columns:
+            by_year, folders = by_year.withColumn("rejected", F.col("reason").isNotNull()), ["rejected", "bar_year"]
+        by_year.hint("rebalance", *folders).write.partitionBy(*folders).parquet(f"{path}/bars")
         info.write.parquet(f"{path}/info")
-        held = spark.read.parquet(f"{path}/bars").select("symbol").distinct()
+        held = _stored_bars(spark, path)[0].select("symbol").distinct()
         _metadata_row(held, meta).write.json(f"{path}/metadata")
         return
     stocks = _stock_records(daily_bars(bars), info)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -49,33 +51,74 @@ def bars_from_table(
     )
 
 
+def checked_bars(
+    df: DataFrame,
+    symbol: Column | str,
+    ts: Column | str,
+    close: Column | str,
+    volume: Column | str,
+    open: Column | str | None = None,
+    high: Column | str | None = None,
+    low: Column | str | None = None,
+) -> DataFrame:
+    """Bars from a table whose cells may be anything: a row that is no bar doesn't end the run, but gets a ``reason``.
+
+    Reasons, the first that holds: ``no symbol``, ``no date``, ``<field> is no number`` (a cell that holds something
+    else), ``no figures``. ``reason`` is null for bars, ``given`` has a rejected row as JSON. Null cells, empty text
+    and NaN are missing figures. ``save_bars`` stores both kinds in one pass.
+    """
+    text = lambda c: F.nullif(F.trim(_col(c).cast("string")), F.lit(""))
+    fields = dict(zip(K.OHLCV, (open or close, high or close, low or close, close, volume)))
+    number = {name: text(c).try_cast("double") for name, c in fields.items()}
+    held = {name: F.nanvl(n, F.lit(None)) for name, n in number.items()}
+    day = F.coalesce(_col(ts).try_cast("timestamp_ntz").cast("date"), _col(ts).try_cast("date"))
+    checks = [(text(symbol).isNull(), "no symbol"), (day.isNull(), "no date")]
+    named = {"close": close, "volume": volume, "open": open, "high": high, "low": low}
+    checks += [(text(c).isNotNull() & number[name].isNull(), f"{name} is no number") for name, c in named.items() if c is not None]
+    nothing = F.coalesce(*held.values()).isNull()
+    reason = F.coalesce(*[F.when(bad, F.lit(why)) for bad, why in [*checks, (nothing, "no figures")]])
+    given = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.select(
+        text(symbol).alias("symbol"), day.alias("session_date"), *[c.alias(name) for name, c in held.items()],
+        reason.alias("reason"), F.when(reason.isNotNull(), given).alias("given"),
+    )
+
+
+def save_bars(checked: DataFrame, path: str) -> None:
+    """Store bars and, beside them, the rows of ``checked_bars`` that are none: one pass, one table of two folders."""
+    checked.withColumn("rejected", F.col("reason").isNotNull()).write.partitionBy("rejected").parquet(path)
+
+
+def read_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The bars of ``save_bars``, and the rejected rows (symbol, reason, given); each reads its folder alone."""
+    kinds = "symbol string, session_date date, " + ", ".join(f"{c} double" for c in K.OHLCV) + ", reason string, given string, rejected boolean"
+    stored = spark.read.schema(kinds).parquet(path)
+    return stored.where(~F.col("rejected")).select("symbol", "session_date", *K.OHLCV), stored.where("rejected").select("symbol", "reason", "given")
+
+
 def bars_from_wide(df: DataFrame, sep: str = "|", date: str = "session_date") -> DataFrame:
     """Long bars from a frame with one ``SYMBOL|Field`` column per symbol and field.
 
-    Each wide row unfolds where it is, without a shuffle. A field that a symbol
-    lacks is null, and so is NaN.
+    Each wide row unfolds where it is, without a shuffle: its cells are one array, and a header says at which places
+    a symbol's fields stand. The plan has one expression for all symbols, however many columns there are. A field
+    that a symbol lacks is null, and so is NaN.
     """
-    found: dict[str, dict[str, str]] = {}
+    places: dict[str, dict[str, int]] = {}
+    cells: list[str] = []
     for name in df.columns:
         symbol, mark, field = name.rpartition(sep)
         if mark and field in K.HISTORY_FIELDS:
-            found.setdefault(symbol, {})[field] = name
-    if not found:
+            places.setdefault(symbol, {})[field] = len(cells)
+            cells.append("CAST(`{}` AS DOUBLE)".format(name.replace("`", "``")))
+    if not places:
         raise ValueError(f"no column is named like 'SYMBOL{sep}Close'")
-
-    def cell(symbol: str, field: str) -> Column:
-        name = found[symbol].get(field)
-        return F.lit(None).cast("double") if name is None else clean_number(F.col(f"`{name}`"))
-
-    bars = [
-        F.struct(
-            F.lit(symbol).alias("symbol"),
-            *[cell(symbol, field).alias(target) for field, target in zip(K.HISTORY_FIELDS, K.OHLCV)],
-        )
-        for symbol in found
-    ]
-    unfolded = df.select(F.col(date).cast("date").alias("session_date"), F.explode(F.array(*bars)).alias("bar"))
-    return unfolded.select("bar.symbol", "session_date", *[f"bar.{c}" for c in K.OHLCV])
+    header = [{"symbol": symbol, "at": [found.get(field, -1) for field in K.HISTORY_FIELDS]} for symbol, found in places.items()]
+    # one literal, which Spark reads when it plans
+    listed = F.from_json(F.lit(json.dumps(header)), "array<struct<symbol: string, at: array<int>>>")
+    rows = df.select(F.col(date).cast("date").alias("session_date"), F.expr(f"array({', '.join(cells)})").alias("cells"))
+    unfolded = rows.select("session_date", "cells", F.explode(listed).alias("h"))
+    bars = [clean_number(F.get("cells", F.get("h.at", F.lit(k)))).alias(target) for k, target in enumerate(K.OHLCV)]
+    return unfolded.select("h.symbol", "session_date", *bars)
 
 
 def info_from_table(df: DataFrame, symbol: Column | str, market_cap: Column | str, price: Column | str) -> DataFrame:

@@ -177,7 +177,19 @@ def _reasons_sql(c, dialect: str) -> str:
     }[dialect]
     if dialect == "lookback":
         steps |= {k: f"hit AND ({steps[k]})" for k in caps}
+    cap_text = "printf('%.2f', market_cap / 1000000) || 'M'"
+    details = {
+        "cap_below_min": cap_text,
+        "cap_above_max": cap_text,
+        "no_recent_data": "strftime(last_week, '%Y-%m-%d')",
+        "too_young_short": f"'{c.ma_short} weeks'",
+        "too_young_intermediate": f"'{c.ma_intermediate} weeks'",
+        "too_young_volume": f"'{c.avg_volume_weeks} weeks'",
+        "no_week_matched": "'of ' || n_judged || ' weeks judged, ' || n_spikes || ' spiked, ' || n_rising || ' rose, ' || n_above"
+                           " || ' held their averages'",
+    }
     chain = " ".join(f"WHEN {steps[k]} THEN '{k}'" for k in order)
+    texts = " ".join(f"WHEN '{k}' THEN {text}" for k, text in details.items())
     met = " AND ".join(
         f"({x})" for x in (S.gate(c, dialect), S.recent(dialect, B.AS_OF), S.spike(c), S.rising(c), S.above(c))
     )
@@ -185,9 +197,11 @@ def _reasons_sql(c, dialect: str) -> str:
     counted AS (SELECT symbol, count(*) FILTER (WHERE {S.USABLE}) AS n_usable,
                        count(*) FILTER (WHERE {S.USABLE} AND week_end <= DATE '{B.AS_OF}') AS n_finished
                 FROM weekly GROUP BY symbol),
-    seen AS (SELECT symbol, max(b) AS b, max(week_end) AS last_week, bool_or({met}) AS hit
+    seen AS (SELECT symbol, max(b) AS b, max(week_end) AS last_week, bool_or({met}) AS hit, count(*) AS n_judged,
+                    count(*) FILTER (WHERE {S.spike(c)}) AS n_spikes, count(*) FILTER (WHERE {S.rising(c)}) AS n_rising,
+                    count(*) FILTER (WHERE {S.above(c)}) AS n_above
              FROM features WHERE age <= {weeks} GROUP BY symbol),
-    explained AS (SELECT u.symbol, CASE {chain} END AS reason
+    explained AS (SELECT u.symbol, CASE {chain} END AS reason, CASE reason {texts} END AS detail
       FROM universe u LEFT JOIN counted w USING (symbol) LEFT JOIN seen s USING (symbol) LEFT JOIN info i USING (symbol))"""
 
 
@@ -197,19 +211,19 @@ def _explained(spark, sf_dir, config, dialect):
     return bs.explain_screen(weekly, info, config, dialect, B.AS_OF, universe)
 
 
-@query(f"{_reasons_sql(B.NEWEST, 'live')} SELECT symbol, reason FROM explained")
+@query(f"{_reasons_sql(B.NEWEST, 'live')} SELECT symbol, reason, detail FROM explained")
 def skip_reasons_live(spark, sf_dir):
-    return _explained(spark, sf_dir, B.NEWEST, "live").select("symbol", "reason")
+    return _explained(spark, sf_dir, B.NEWEST, "live").select("symbol", "reason", "detail")
 
 
-@query(f"{_reasons_sql(B.CAPPED, 'snapshot')} SELECT symbol, reason FROM explained")
+@query(f"{_reasons_sql(B.CAPPED, 'snapshot')} SELECT symbol, reason, detail FROM explained")
 def skip_reasons_snapshot(spark, sf_dir):
-    return _explained(spark, sf_dir, B.CAPPED, "snapshot").select("symbol", "reason")
+    return _explained(spark, sf_dir, B.CAPPED, "snapshot").select("symbol", "reason", "detail")
 
 
-@query(f"{_reasons_sql(B.CAPPED, 'lookback')} SELECT symbol, reason FROM explained")
+@query(f"{_reasons_sql(B.CAPPED, 'lookback')} SELECT symbol, reason, detail FROM explained")
 def skip_reasons(spark, sf_dir):
-    return _explained(spark, sf_dir, B.CAPPED, "lookback").select("symbol", "reason")
+    return _explained(spark, sf_dir, B.CAPPED, "lookback").select("symbol", "reason", "detail")
 
 
 @query(

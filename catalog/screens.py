@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import barscreen as bs
 from barscreen.config import settings_frame
+from barscreen.session import scratch_path
 
 from . import bindings as B
 from . import sqltext as S
@@ -47,6 +48,22 @@ def screen_snapshot(spark, sf_dir):
     return rounded(bs.screen(weekly, info, B.NEWEST, "snapshot", B.AS_OF))
 
 
+_OBSERVED = S.with_(S.SUPPLIER_BARS, S.WEEKLY, S.finished(), S.features(B.CAPPED), S.LISTED_INFO, S.matches(B.CAPPED, "lookback"))
+
+
+@query(
+    f"""{_OBSERVED} SELECT {S.SLIM}, (SELECT count(*) FROM matches) AS matched,
+    (SELECT count(DISTINCT symbol) FROM bars) AS total FROM matches"""
+)
+def screen_observed(spark, sf_dir):
+    """Records with the numbers of matched and of all symbols, which the run itself has counted."""
+    path = scratch_path(spark, "observed")
+    records, seen = bs.observed_screen(B.supplier_weekly(spark, sf_dir), B.listed_info(spark, sf_dir), B.CAPPED, "lookback", B.AS_OF)
+    records.write.parquet(path)
+    counts = [F.lit(seen.get[c]).cast("long").alias(c) for c in ("matched", "total")]
+    return rounded(spark.read.parquet(path)).select("*", *counts)
+
+
 _FLAT = (1e-10, 1.0, 1e15)
 
 

@@ -144,6 +144,34 @@ def _with_info(snapshot):
     return snapshot.bars.drop("bar_year").join(snapshot.info.drop("details"), "symbol", "left")
 
 
+_ODD_CELLS = """CASE WHEN l_linenumber = 7 THEN 'close is no number' WHEN l_linenumber = 6 THEN 'no date'
+      WHEN l_suppkey % 50 = 3 THEN 'no symbol' WHEN l_linenumber = 5 AND l_quantity > 25 THEN 'no figures' END"""
+
+
+@query(
+    f"""SELECT CASE WHEN l_suppkey % 50 <> 3 THEN CAST(l_suppkey AS VARCHAR) END AS symbol, outcome, count(*) AS n,
+      sum(CASE WHEN outcome = 'bar' THEN l_quantity END) AS volume
+    FROM (SELECT *, coalesce(CASE WHEN l_suppkey % 50 = 3 THEN 'no symbol' WHEN l_linenumber = 6 THEN 'no date' END, {_ODD_CELLS}, 'bar') AS outcome
+          FROM lineitem) GROUP BY ALL"""
+)
+def rejected_rows(spark, sf_dir):
+    """A table of text with odd cells: rows that are no bars are stored beside the bars, with a reason, in the same pass."""
+    path = scratch_path(spark, "rejected_rows")
+    number, many = F.col("l_linenumber"), (F.col("l_linenumber") == 5) & (F.col("l_quantity") > 25)
+    cell = lambda c: F.when(~many, F.col(c).cast("string"))
+    table = B.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_suppkey") % 50 != 3, F.col("l_suppkey").cast("string")).otherwise(" ").alias("code"),
+        F.when(number == 6, "soon").otherwise(F.col("l_shipdate").cast("string")).alias("day"),
+        F.when(number == 7, "n/a").otherwise(cell("l_extendedprice")).alias("price"), cell("l_quantity").alias("volume"))
+    bars = bs.checked_bars(table, "code", "day", "price", "volume")
+    write_snapshot(bars, B.listed_info(spark, sf_dir), _META, path, "parquet")
+    snapshot = read_snapshot(spark, path, "parquet")
+    reason = F.substring_index("message", ":", 1)
+    rows = snapshot.bars.select("symbol", F.lit("bar").alias("outcome"), "volume").unionByName(
+        snapshot.errors.select("symbol", reason.alias("outcome"), F.lit(None).cast("double").alias("volume")))
+    return rows.groupBy("symbol", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+
+
 @query(_SNAPSHOT)
 def snapshot_parquet(spark, sf_dir):
     return _with_info(_saved(spark, sf_dir, "parquet"))
