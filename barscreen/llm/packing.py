@@ -61,6 +61,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # for lower-case ASCII letters, which nothing but the model changes
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -95,23 +96,33 @@ class WordIds(dict):
         as many as the pattern finds. So if all units of some words are as many as expected, those of each word are.
         """
         bare = {p[:-1] if p[-1:] in (b".", b",") and p[-2:-1].isalnum() else p for p in pieces} - self.keys()
-        words, units = [], []
+        plain, words, units = [], [], []
         for piece in sorted(bare):
             word = piece.decode()
-            if word.isalpha():
+            if piece.isalpha():
+                plain.append(word)
+            elif word.isalpha():
                 words.append(word)
                 units.append(1)
             elif piece.isascii():
                 words.append(word)
                 units.append(len(UNIT.findall(word)))
+        for at in range(0, len(plain), LEARNT):
+            some = plain[at : at + LEARNT]
+            [found] = self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
+            self._learnt(some, np.arange(1, len(some) + 1), found.ids)
         for at in range(0, len(words), LEARNT):
-            some, ends = words[at : at + LEARNT], np.cumsum(units[at : at + LEARNT])
+            some = words[at : at + LEARNT]
             [found] = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == ends[-1] and last[-1] == len(ids):
-                raw, last = ids.tobytes(), last[ends - 1].tolist()
-                self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *last], last))
+            self._learnt(some, np.cumsum(units[at : at + LEARNT]), found.ids)
+
+    def _learnt(self, words: list[str], units: np.ndarray, ids: list[int]) -> None:
+        """Take the ids of words, of which so many units end up to the end of each; none if there are more."""
+        found = np.array(ids, "<u4")
+        last = np.flatnonzero(self.ends[found]) + 1
+        if len(last) == units[-1] and last[-1] == len(found):
+            raw, last = found.tobytes(), last[units - 1].tolist()
+            self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(words, [0, *last], last))
 
 
 def worker_words(path: str) -> WordIds:
