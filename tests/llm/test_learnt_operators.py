@@ -432,9 +432,8 @@ def test_recordings_align_as_brute_force_says(spark, monkeypatch):
     rows = [(k, " ".join(v)) for k, v in texts.items()] + [(7, None), (8, ""), (None, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("sign", "keys", "n_queries", "rec", "key")})
     want = brute_alignments(rows, lambda k: k % 50 == 0)
-    for queries, pairs in ((500, 20_000), (2, 30)):
-        monkeypatch.setattr(media, "TILE_QUERIES", queries)
-        monkeypatch.setattr(media, "TILE_PAIRS", pairs)
+    for size in (8192, 20):
+        monkeypatch.setattr(media, "BUCKET", size)
         found = media.align_recordings(docs, F.col("doc_id") % 50 == 0).collect()
         assert len(found) == len(rows) and {r["doc_id"]: (r["n_queries"], r["query_id"], r["offset"]) for r in found} == want
     got = {r["doc_id"]: r for r in found}
