@@ -409,7 +409,8 @@ def test_pages_take_linear_time(html):
 def brute_alignments(rows, asked):
     """For each row (queries that align, the best of them), by comparing each query with every recording."""
     prints = {k: media.fingerprint(media.word_frames((t or "").encode())) for k, t in rows}
-    made = {k: media.Recording(p[at := media.landmarks(p)].view(np.int32), at, media.kept_bits(p)) for k, p in prints.items()}
+    keys = {k: media.keys_of(p) for k, p in prints.items()}
+    made = {k: media.Recording(keys[k][at := media.landmarks(keys[k])], at, media.kept_bits(p)) for k, p in prints.items()}
     sign = {k: xxhash.xxh128_hexdigest(p.tobytes()) for k, p in prints.items()}
     queries = {sign[k]: k for k in made if k is not None and asked(k) and len(made[k].keys)}
     name = {x: min((k for k in sign if sign[k] == x and k is not None), default=None) for x in sign.values()}
