@@ -4,9 +4,10 @@ A frame of ``n`` rows that slides one row at a time is re-summed by Spark for ev
 ``method='frames'``, which needs nothing else. ``method='prefix'`` subtracts two running sums, so its cost doesn't depend
 on ``n``; the screens use it. Running sums of doubles would lose precision by the subtraction, and a series of equal
 prices must have exactly that price as its mean, or rounding would decide the strict comparison with the mean. So
-``scaled`` gives each value its decimal digits, shifted by a power of ten that brings its symbol's values to 1 at most;
-these ``decimal(38,32)`` are summed, and means are shifted back. Values of any size are taken. Beside a symbol's largest
-value, others keep all their digits down to 1e-15 of it, and lose the last of them below that.
+``scaled`` gives each value its decimal digits as ``decimal(38,20)``, and these are summed. Where all values of a symbol
+lie between 1e-3 and 1e12, as prices and volumes do, that is a cast. Others are shifted by a power of ten that brings
+the symbol's largest one below 1e12, and their means are shifted back. So values of any size are taken. Beside a symbol's
+largest value, others keep all their digits down to 1e-15 of it, and lose the last of them below that.
 """
 
 from __future__ import annotations
@@ -19,28 +20,35 @@ from ..constants import MIN_PERIOD_FRACTION
 # One symbol's weeks, oldest first. Every window of a screen uses this.
 SYMBOL_WEEKS = "PARTITION BY symbol ORDER BY week_end"
 
-# Shifted values are 1 at most: six integer digits serve a million weeks of a symbol.
-EXACT = "DECIMAL(38, 32)"
+# Values are below 10 to LARGEST: six integer digits more serve a million weeks of a symbol.
+EXACT, LARGEST, SMALLEST = "DECIMAL(38, 20)", 12, -3
 
 
 def scaled(weeks: DataFrame, columns: tuple[str, ...] = ("close", "volume"), window: str = SYMBOL_WEEKS) -> DataFrame:
-    """``weeks`` with ``<column>_power``, a symbol's power of ten, and ``<column>_exact``, its shifted values.
+    """``weeks`` with ``<column>_power``, a symbol's power of ten (mostly 0), and ``<column>_exact``, its values shifted by that.
 
     The power is a window of the same order as the means', so it neither shuffles nor sorts anew.
     """
     whole = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    finite = "CASE WHEN abs({c}) < double('infinity') THEN abs({c}) END"
-    powers = {
-        f"{c}_power": F.expr(f"CAST(coalesce(ceil(log10(nullif(max({finite.format(c=c)}) {whole}, 0D))), 0) AS INT)") for c in columns
-    }
+
+    def power(c: str) -> Column:
+        size = f"CASE WHEN abs({c}) < double('infinity') THEN nullif(abs({c}), 0D) END"
+        high, low = f"max({size}) {whole}", f"min({size}) {whole}"
+        plain = f"{high} IS NULL OR ({high} < 1e{LARGEST} AND {low} >= 1e{SMALLEST})"
+        return F.expr(f"CASE WHEN {plain} THEN 0 ELSE CAST(ceil(log10({high})) AS INT) - {LARGEST} END")
+
+    powers = {f"{c}_power": power(c) for c in columns}
     return weeks.withColumns(powers).withColumns({f"{c}_exact": F.expr(_shifted(c)) for c in columns})
 
 
 def _shifted(c: str) -> str:
-    """SQL: the digits of a number by its shortest text, which names it uniquely, with another exponent."""
+    """SQL: the digits of a number by its shortest text, which names it uniquely, with another exponent.
+
+    A cast takes the same digits, without the text."""
     text = f"CAST(CAST({c} AS DOUBLE) AS STRING)"
     exponent = f"CASE WHEN instr({text}, 'E') > 0 THEN CAST(substring_index({text}, 'E', -1) AS INT) ELSE 0 END"
-    return f"try_cast(concat(substring_index({text}, 'E', 1), 'E', {exponent} - {c}_power) AS {EXACT})"
+    shifted = f"try_cast(concat(substring_index({text}, 'E', 1), 'E', {exponent} - {c}_power) AS {EXACT})"
+    return f"CASE WHEN {c}_power = 0 THEN try_cast(CAST({c} AS DOUBLE) AS {EXACT}) ELSE {shifted} END"
 
 
 def without_scales(weeks: DataFrame, columns: tuple[str, ...] = ("close", "volume")) -> DataFrame:
@@ -73,15 +81,29 @@ def trailing_mean(
     outside = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND {n + 1} PRECEDING)"
     count = f"(count({c}) {before} - count({c}) {outside})"
     total = f"(sum({c}_exact) {before} - coalesce(sum({c}_exact) {outside}, 0))"
-    # an infinite value can't be summed exactly; a frame that holds one has an infinite mean
-    endless = f"CASE WHEN abs({c}) = double('infinity') THEN 1 ELSE 0 END"
-    infinite = f"(sum({endless}) {before} - coalesce(sum({endless}) {outside}, 0)) > 0"
-    mean = f"CASE WHEN {infinite} THEN double('infinity') ELSE {_unshifted(c, total, count)} END"
+    endless = f"(sum({endless_of(c)}) {before} - coalesce(sum({endless_of(c)}) {outside}, 0))"
+    mean = f"CASE WHEN {endless} = 0 THEN {_unshifted(c, total, count)} ELSE {endless_mean(endless)} END"
     return F.expr(f"CASE WHEN {count} >= {needed} THEN {mean} END")
 
 
+#: What a value of minus infinity adds to a count of infinite values; one of plus infinity adds 1.
+DOWNWARD = 1 << 32
+
+
+def endless_of(c: str) -> str:
+    """SQL of an infinite value's part in their count. Such values can't be summed exactly; a frame's mean follows from the count."""
+    return f"CASE {c} WHEN double('infinity') THEN 1L WHEN double('-infinity') THEN {DOWNWARD}L ELSE 0L END"
+
+
+def endless_mean(endless: str) -> str:
+    """SQL of the mean of values some of which are infinite: NaN if there are both kinds, as in a sum of doubles."""
+    kind = f"CASE WHEN {endless} < {DOWNWARD}L THEN 'infinity' WHEN {endless} % {DOWNWARD}L = 0 THEN '-infinity' ELSE 'nan' END"
+    return f"CAST({kind} AS DOUBLE)"
+
+
 def _unshifted(c: str, total: str, count: str) -> str:
-    return f"CAST(concat(CAST({total} / {count} AS STRING), 'E', {c}_power) AS DOUBLE)"
+    mean = f"{total} / {count}"
+    return f"CASE WHEN {c}_power = 0 THEN CAST({mean} AS DOUBLE) ELSE CAST(concat(CAST({mean} AS STRING), 'E', {c}_power) AS DOUBLE) END"
 
 
 def preceding_mean(c: str, n: int, **options) -> Column:

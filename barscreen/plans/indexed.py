@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_PERIOD_FRACTION
 from ..functions import predicates as P
-from ..functions.trailing import SYMBOL_WEEKS, scaled
+from ..functions.trailing import DOWNWARD, EXACT, SYMBOL_WEEKS, endless_of, scaled
 from ..operators import judging
 from ..operators.quality import attach_info, listed, repeated
 from .dialects import Dialect, dialect_of
@@ -60,8 +60,8 @@ def _running_sums(weeks: DataFrame) -> DataFrame:
     before = f"OVER ({SYMBOL_WEEKS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     sums = []
     for c in ("close", "volume"):
-        sums.append(F.expr(f"coalesce(sum({c}_exact) {before}, CAST(0 AS DECIMAL(38, 32)))").alias(f"{c}_sum"))
-        sums.append(F.expr(f"coalesce(sum(CASE WHEN abs({c}) = double('infinity') THEN 1 ELSE 0 END) {before}, 0)").alias(f"{c}_endless"))
+        sums.append(F.expr(f"coalesce(sum({c}_exact) {before}, CAST(0 AS {EXACT}))").alias(f"{c}_sum"))
+        sums.append(F.expr(f"coalesce(sum({endless_of(c)}) {before}, 0)").alias(f"{c}_endless"))
     placed = scaled(judging.placed_weeks(weeks)).select("*", *sums)
     row = F.struct("bars_before", "week_end", "age", "close", "volume", "close_sum", "close_endless", "volume_sum", "volume_endless")
     return placed.groupBy("symbol").agg(
@@ -72,10 +72,12 @@ def _mean(c: str, n: Column) -> Column:
     """Mean of the ``n`` weeks before the week ``w``, of fewer if there are no more; exact until it is a double."""
     week, count = F.col("w"), F.least(n, F.col("w.bars_before"))
     then = F.get(F.col("rows"), week["bars_before"] - count)
-    exact = ((week[f"{c}_sum"] - then[f"{c}_sum"]) / count.cast("long")).cast("string")
+    exact = (week[f"{c}_sum"] - then[f"{c}_sum"]) / count.cast("long")
     endless = week[f"{c}_endless"] - then[f"{c}_endless"]
-    value = F.concat(exact, F.lit("E"), F.col(f"{c}_power").cast("string")).cast("double")
-    return F.when(count <= 0, F.lit(None)).when(endless > 0, F.lit(float("inf"))).otherwise(value)
+    shifted = F.concat(exact.cast("string"), F.lit("E"), F.col(f"{c}_power").cast("string")).cast("double")
+    value = F.when(F.col(f"{c}_power") == 0, exact.cast("double")).otherwise(shifted)
+    kind = F.when(endless < DOWNWARD, "infinity").when(endless % DOWNWARD == 0, "-infinity").otherwise("nan")
+    return F.when(count <= 0, F.lit(None)).when(endless > 0, kind.cast("double")).otherwise(value)
 
 
 def _means(c: str) -> Column:

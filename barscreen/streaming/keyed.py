@@ -21,6 +21,7 @@ from ..operators.quality import join_info, one_info_per_symbol
 from ..operators.records import rank_results, to_rich, to_slim
 from ..plans.dialects import dialect_of
 from ..functions.predicates import market_cap_between
+from ..functions.trailing import DOWNWARD
 
 #: Sums keep all digits of doubles of any size.
 EXACT = Context(prec=800)
@@ -29,9 +30,9 @@ MEAN = Context(prec=40)
 
 
 def _added(total: tuple, value: float) -> tuple:
-    """A running (sum of finite values, number of infinite ones)."""
+    """A running (sum of finite values, count of infinite ones)."""
     if value in (float("inf"), float("-inf")):
-        return total[0], total[1] + 1
+        return total[0], total[1] + (1 if value > 0 else DOWNWARD)
     return EXACT.add(total[0], Decimal(repr(value))), total[1]
 
 
@@ -43,7 +44,7 @@ class _Sums(StatefulProcessor):
         self.reach = max((n for _, _, n, _ in periods), default=0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        sums = "close string, close_endless int, volume string, volume_endless int"
+        sums = "close string, close_endless long, volume string, volume_endless long"
         self.sums = handle.getMapState("sums", "place int", sums)
         self.last = handle.getValueState("last", "place int, week_end date")
 
@@ -71,7 +72,8 @@ class _Sums(StatefulProcessor):
                     continue
                 then = self._before(place - count)
                 total, endless = EXACT.subtract(now[column][0], then[column][0]), now[column][1] - then[column][1]
-                found[name] = float("inf") if endless else float(MEAN.divide(total, Decimal(count)))
+                kind = "inf" if endless < DOWNWARD else "nan" if endless % DOWNWARD else "-inf"
+                found[name] = float(kind) if endless else float(MEAN.divide(total, Decimal(count)))
             after = {c: _added(now[c], row[c]) for c in now}
             self.sums.updateValue((place + 1,), (str(after["close"][0]), after["close"][1], str(after["volume"][0]), after["volume"][1]))
             if place - self.reach >= 0:

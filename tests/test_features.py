@@ -26,8 +26,23 @@ def test_trailing_mean_equals_rolling(spark, method):
         np.testing.assert_allclose(got[f"m{n}"].to_numpy(float), want.to_numpy(float), rtol=1e-9)
 
 
+def test_means_of_infinite_values_and_of_all_sizes(weekly_of):
+    inf = float("inf")
+    closes = {
+        "UP": [1.0, inf, 2.0, 3.0, 4.0, 5.0], "DOWN": [1.0, -inf, 2.0, 3.0, 4.0, 5.0], "BOTH": [inf, 2.0, -inf, 3.0, 4.0, 5.0],
+        "LARGE": [999_999_999_999.0, 0.001, 5.5, 1e11, 7.25, 0.5], "LARGER": [1e12, 3e12, 0.25, 1e-3, 2e12, 5e11], "SMALL": [9e-4, 1e-3, 2e-9, 0.5, 1.0, 3.0],
+        "ZERO": [0.0, 0.0, 0.0, 1.0, 2.0, 3.0], "MINUS": [-1.5, 2.5, -1e-5, 3e5, -7.0, 1.0],
+    }
+    weekly = T.scaled(weekly_of({k: (v, [1] * len(v)) for k, v in closes.items()}))
+    both = [T.trailing_mean("close", n, 0.0, method=m).alias(f"{m}{n}") for n in (2, 3, 5) for m in ("prefix", "frames")]
+    for r in weekly.select("symbol", *both).collect():
+        for n in (2, 3, 5):
+            one, two = r[f"prefix{n}"], r[f"frames{n}"]
+            assert (one is None and two is None) or one == pytest.approx(two, rel=1e-12, abs=1e-15, nan_ok=True), (r["symbol"], n)
+
+
 @pytest.mark.parametrize("method", ["prefix", "frames"])
-@pytest.mark.parametrize("price", [0.1, 0.001, 1234.56, 33.33])
+@pytest.mark.parametrize("price", [0.1, 0.001, 1234.56, 33.33, 0.0009, 7e12, 999_999_999_999.9, 1e-300])
 def test_mean_of_equal_prices_is_that_price(weekly_of, method, price):
     weekly = T.scaled(weekly_of({"A": ([price] * 60, [1] * 60)}))
     means = weekly.select(*[T.trailing_mean("close", n, method=method).alias(f"m{n}") for n in (3, 7, 49)])

@@ -20,7 +20,7 @@ def test_a_run_counts_what_the_summary_counts(spark, info_of, dialect, as_of):
     listed = spark.createDataFrame([(s,) for s in ("A", "UP", "UP", "RISE", "NOWHERE")], "symbol string")
     names = ["ticker", "date", "close_price", "market_cap", "avg_volume", "volume_ratio"]
     for symbols in (None, listed):
-        for config in (CONFIG, bs.ScreenConfig(**{**CONFIG.__dict__, "max_market_cap": 6.0})):
+        for config in (CONFIG,) if symbols is None else (bs.ScreenConfig(**{**CONFIG.__dict__, "max_market_cap": 6.0}),):
             path = scratch_path(spark, "records")
             records, seen = bs.observed_screen(weekly, info, config, dialect, as_of, symbols)
             records.write.parquet(path)

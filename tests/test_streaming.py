@@ -111,7 +111,7 @@ def test_incremental_screen_batch_by_batch(spark, delivered, info_of):
     batches = sorted(r[0] for r in results.select("batch_id").distinct().collect())
     assert len(batches) >= 3
     whole = bs.weekly_bars(as_bars(spark.read.parquet(delivered)))
-    history = spark.read.parquet(f"{base}/history")
+    history = bs.KeyedTable.at(spark, f"{base}/history").read()
     for batch in batches:
         last = history.filter(F.col("batch_id") <= batch).agg(F.max("week_end")).first()[0]
         want = bs.screen(whole, info, CFG, "lookback", last)
@@ -128,6 +128,7 @@ def test_a_batch_that_runs_again_replaces_itself(spark, delivered, info_of):
     def run(checkpoint):
         weekly = bs.stream_weekly_bars(open_stream(spark, delivered))
         bs.stream_screen(weekly, f"{base}/history", f"{base}/results", info, CFG, f"{base}/{checkpoint}").awaitTermination()
-        return [sorted(map(tuple, spark.read.parquet(f"{base}/{t}").collect())) for t in ("history", "results")]
+        history = bs.KeyedTable.at(spark, f"{base}/history").read().drop("folder")
+        return [sorted(map(tuple, df.collect())) for df in (history, spark.read.parquet(f"{base}/results"))]
 
     assert run("first") == run("second")
