@@ -63,7 +63,9 @@ ATTRIBUTE = re.compile(r"""([A-Za-z:_-]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Marks that blocks inherit from the elements around them.
-BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER, NAMED, AROUND, COMMENT = 1, 2, 4, 8, 16, 32, 64, 128, 256
+BOILER, CONTENT, LINK, HEAD, HIDDEN, HEADER, NAMED, AROUND, COMMENT, WITHIN = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512
+#: Marks that a page may have around all it says: by names, by elements, and by names inside of elements so named.
+DOUBTED = NAMED | AROUND | WITHIN
 
 
 class Block:
@@ -116,8 +118,10 @@ def _marks(tag: str, attributes: str, marks: int) -> int:
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 marks |= HIDDEN
     if inner:  # a mark of content ends what names further out say, and elements that may stand around a page
-        marks = (marks | CONTENT) & ~(NAMED | AROUND)
-    return marks | NAMED if named else marks
+        marks = (marks | CONTENT) & ~DOUBTED
+    if named:
+        marks |= NAMED | (WITHIN if marks & NAMED else 0)
+    return marks
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -212,7 +216,7 @@ def evidence(block: Block, form: int, table: dict[int, float]) -> float:
     if marks & (BOILER | COMMENT):
         return AGAINST
     odds = table.get(form, 0.0)
-    if marks & (NAMED | AROUND):
+    if marks & DOUBTED:
         return odds + NAMED_AGAINST
     if marks & CONTENT:
         return odds + INSIDE
@@ -299,14 +303,16 @@ def text_of(block: Block) -> str:
 def main_text(html: str | None, table: dict[int, float]) -> str:
     """The content of a page: its blocks in order, joined by a space.
 
-    Where names of elements, or elements that may stand around a page, leave nothing, blocks are judged without them.
+    Where names of elements, or elements that may stand around a page, leave nothing, blocks are judged without them, at
+    first by the names that are left inside of others.
     """
     pairs = [(b, x) for b in blocks_of(html or "") if not b.marks & HIDDEN and (x := text_of(b))]
     text = _content(pairs, table)
-    if not text and any(b.marks & (NAMED | AROUND) for b, _ in pairs):
-        for b, _ in pairs:
-            b.marks &= ~(NAMED | AROUND)
-        text = _content(pairs, table)
+    for doubted in (NAMED | AROUND, WITHIN):
+        if not text and any(b.marks & doubted for b, _ in pairs):
+            for b, _ in pairs:
+                b.marks &= ~doubted
+            text = _content(pairs, table)
     return text
 
 
@@ -338,7 +344,7 @@ def train_forms(pages: DataFrame) -> dict[int, float]:
         for batch in batches:
             for x in batch.column(0):
                 for b in blocks_of(x.as_py() or ""):
-                    if (boiler := b.marks & (BOILER | NAMED | AROUND | COMMENT)) or b.marks & CONTENT:
+                    if (boiler := b.marks & (BOILER | DOUBTED | COMMENT)) or b.marks & CONTENT:
                         if text := text_of(b):
                             counts[form_of(text, b), 0 if boiler else 1] += 1
         rows = [(*k, n) for k, n in counts.items()]
