@@ -1,16 +1,20 @@
-"""Screens kept up to date by state: a finished week costs a few look-ups, whatever the length of its symbol's history.
+"""Screens kept up to date by state: a batch costs one look-up for a group of symbols, whatever the length of their histories.
 
-For each symbol Spark's state store holds running sums of closes and volumes by the week's number. The mean of the n
-weeks before week t is the difference of the sums at t and t - n over n: two look-ups. Sums are exact decimals of the
-values' shortest texts, so a price that never moves is its own mean. Sums that no period can reach any more are removed.
+For each symbol, in its group's value, Spark's state store holds the closes and volumes of the last weeks, as many as the longest period
+reaches. Running sums over these and a batch's new weeks are exact: whole numbers of the smallest unit in which all of them
+are written, or, where these pass a double's digits, decimals of the values' shortest texts. The mean of the n weeks before
+week t is the difference of the sums at t and t - n over n. So a price that never moves is its own mean.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from decimal import Context, Decimal
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,71 +25,138 @@ from ..operators.quality import join_info, one_info_per_symbol
 from ..operators.records import rank_results, to_rich, to_slim
 from ..plans.dialects import dialect_of
 from ..functions.predicates import market_cap_between
-from ..functions.trailing import DOWNWARD
 
 #: Sums keep all digits of doubles of any size.
 EXACT = Context(prec=800)
 #: Digits of a mean before it is rounded to a double.
 MEAN = Context(prec=40)
+#: Whole numbers below this are exact doubles, and so is their quotient's rounding; decimals of 15 digits name one double.
+WHOLE, DIGITS = float(1 << 53), 1e15
 
 
-def _added(total: tuple, value: float) -> tuple:
-    """A running (sum of finite values, count of infinite ones)."""
-    if value in (float("inf"), float("-inf")):
-        return total[0], total[1] + (1 if value > 0 else DOWNWARD)
-    return EXACT.add(total[0], Decimal(repr(value))), total[1]
+#: Groups that symbols are dealt to by hash. A group's state is one value: the price of a look-up is by group, not by symbol.
+GROUPS = 1024
 
 
-class _Sums(StatefulProcessor):
-    """Features of each week of a symbol from running sums; ``periods`` are (column, name, weeks, least values)."""
+class _Means(StatefulProcessor):
+    """Features of each week of the symbols of a group; ``periods`` are (column, name, weeks, least values).
+
+    The state is one value a group: for each symbol its last week and the closes and volumes of the last weeks that a
+    period can reach. A batch reads and writes it once, however many weeks it brings.
+    """
 
     def __init__(self, periods: list[tuple[str, str, int, int]]):
         self.periods = periods
         self.reach = max((n for _, _, n, _ in periods), default=0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        sums = "close string, close_endless long, volume string, volume_endless long"
-        self.sums = handle.getMapState("sums", "place int", sums)
-        self.last = handle.getValueState("last", "place int, week_end date")
-
-    def _before(self, place: int) -> dict:
-        close, close_endless, volume, volume_endless = self.sums.getValue((place,))
-        return {"close": (Decimal(close), close_endless), "volume": (Decimal(volume), volume_endless)}
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.last.get()
-        place, newest = (held[0], held[1]) if held is not None else (-1, None)
-        weeks = {}
-        for row in rows:  # a symbol has one row a week; of a repeated week the first counts
-            if newest is None or row["week_end"] > newest:
-                weeks.setdefault(row["week_end"], row)
-        if place < 0 and weeks:
-            self.sums.updateValue((0,), ("0", 0, "0", 0))
-        for number, week in enumerate(sorted(weeks), 1):
-            row, place = weeks[week], place + 1
-            now = self._before(place)
-            found = {}
-            for column, name, n, least in self.periods:
-                count = min(n, place)
-                if n <= 0 or count < least:
-                    found[name] = None
-                    continue
-                then = self._before(place - count)
-                total, endless = EXACT.subtract(now[column][0], then[column][0]), now[column][1] - then[column][1]
-                kind = "inf" if endless < DOWNWARD else "nan" if endless % DOWNWARD else "-inf"
-                found[name] = float(kind) if endless else float(MEAN.divide(total, Decimal(count)))
-            after = {c: _added(now[c], row[c]) for c in now}
-            self.sums.updateValue((place + 1,), (str(after["close"][0]), after["close"][1], str(after["volume"][0]), after["volume"][1]))
-            if place - self.reach >= 0:
-                self.sums.removeKey((place - self.reach,))
-            yield Row(symbol=key[0], week_end=week, close=row["close"], volume=row["volume"], bars_before=place, newest=number == len(weeks), **found)
-        if weeks:
-            self.last.update((place, max(weeks)))
+        # symbols: [symbol, weeks so far, last week] of each as JSON; their closes and volumes one after another
+        self.held = handle.getValueState("held", "symbols string, close binary, volume binary")
+
+    def _tails(self) -> dict:
+        held = self.held.get()
+        if held is None:
+            return {}
+        found, closes, volumes, end = {}, np.frombuffer(held[1]), np.frombuffer(held[2]), 0
+        for symbol, count, last in json.loads(held[0]):
+            start, end = end, end + min(count, self.reach)
+            found[symbol] = (count, last, {"close": closes[start:end], "volume": volumes[start:end]})
+        return found
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        code, symbols = pd.factorize(new["symbol"], use_na_sentinel=False)
+        week = new["week"].to_numpy()
+        order = np.lexsort((week, code))  # a symbol has one row a week; of a repeated week the first counts
+        order = order[np.r_[True, (np.diff(code[order]) != 0) | (np.diff(week[order]) != 0)]]
+        code, week = code[order], week[order]
+        values = {c: new[c].to_numpy(float)[order] for c in ("close", "volume")}
+        tails, made = self._tails(), []
+        edges = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)].tolist()
+        for a, b in zip(edges, edges[1:]):
+            symbol = symbols[code[a]]
+            symbol = symbol if isinstance(symbol, str) else None
+            count, last, tail = tails.get(symbol, (0, None, {"close": np.zeros(0), "volume": np.zeros(0)}))
+            if last is not None:
+                a += int(np.searchsorted(week[a:b], last, "right"))
+            if a < b:
+                found, tail = self._features(count, tail, {c: x[a:b] for c, x in values.items()})
+                made.append((symbol, week[a:b], found))
+                tails[symbol] = (count + b - a, int(week[b - 1]), tail)
+        if not made:
+            return
+        said = json.dumps([[symbol, count, last] for symbol, (count, last, _) in tails.items()])
+        self.held.update((said, *(b"".join(t[c].tobytes() for _, _, t in tails.values()) for c in ("close", "volume"))))
+        many = np.array([len(w) for _, w, _ in made])
+        joined = {c: np.concatenate([f[c] for _, _, f in made]) for c in made[0][2]}
+        out = {"symbol": np.repeat(np.array([s for s, _, _ in made], object), many), "week": np.concatenate([w for _, w, _ in made])}
+        out.update({c: joined[c] for c in ("close", "volume", "bars_before", "newest")})
+        out.update({name: _column(joined[name], joined[f"{name} known"]) for _, name, _, _ in self.periods})
+        yield pd.DataFrame(out)
+
+    def _features(self, before: int, tail: dict, new: dict) -> tuple[dict, dict]:
+        """Columns for a symbol's new weeks, in order, and the tail that they leave; ``before`` weeks came earlier."""
+        place = before + np.arange(len(new["close"]), dtype=np.int32)
+        made, after = {**new, "bars_before": place, "newest": place == place[-1]}, {}
+        for column in ("close", "volume"):
+            values = np.r_[tail[column], new[column]]
+            at = np.arange(len(values) - len(place), len(values))
+            periods = [(name, n, least) for c, name, n, least in self.periods if c == column]
+            mean = _means_of(values, min(max((n for _, n, _ in periods), default=0), len(values)))
+            for name, n, least in periods:
+                count = np.minimum(n, place)
+                known = (count >= max(least, 1)) & (n > 0)
+                made[name], made[f"{name} known"] = mean(at, np.where(known, count, 1)), known
+            after[column] = values[max(0, len(values) - self.reach) :]
+        return made, after
 
     def close(self) -> None:
         pass
 
 
+def _column(means: np.ndarray, known: np.ndarray):
+    """Means, null where they are not known; those that are no number stay."""
+    if np.isnan(means[known]).any():
+        return pd.arrays.FloatingArray(means, ~known)
+    return np.where(known, means, np.nan)
+
+
+def _means_of(values: np.ndarray, longest: int):
+    """A function that gives, for places and counts, the means of so many ``values`` before each place, of up to ``longest``."""
+    finite = np.isfinite(values)
+    plain = np.where(finite, values, 0.0)
+    before = lambda x: np.r_[np.zeros(1, x.dtype), np.cumsum(x)]
+    up, down, none = (before((values == np.inf).astype(np.int64)), before((values == -np.inf).astype(np.int64)), before(np.isnan(values).astype(np.int64)))
+    scale = next((s for s in (1.0, 1e2, 1e4, 1e6) if _whole(plain, s)), None)
+    if scale is not None and np.abs(np.rint(plain * scale)).max(initial=0) * longest < WHOLE and longest * scale < WHOLE:
+        sums = before(np.rint(plain * scale).astype(np.int64))
+        exact = lambda at, start: (sums[at] - sums[start]) / ((at - start) * scale)
+    else:
+        totals = [Decimal(0)]
+        for v in plain.tolist():
+            totals.append(EXACT.add(totals[-1], Decimal(repr(v))))
+
+        def exact(at, start):
+            pairs = zip(at.tolist(), start.tolist())
+            return np.array([float(MEAN.divide(EXACT.subtract(totals[a], totals[b]), Decimal(max(a - b, 1)))) for a, b in pairs], float)
+
+    def mean(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        start = np.maximum(at - count, 0)
+        with np.errstate(invalid="ignore"):
+            found = exact(at, start)
+        rising, falling, nothing = (x[at] > x[start] for x in (up, down, none))
+        found = np.where(rising, np.inf, np.where(falling, -np.inf, found))
+        return np.where(nothing | (rising & falling), np.nan, found)
+
+    return mean
+
+
+def _whole(values: np.ndarray, scale: float) -> bool:
+    """Whether the shortest texts of ``values`` are whole numbers of 1 / ``scale``, of 15 digits at most."""
+    scaled = np.rint(values * scale)
+    return bool((np.abs(scaled) < DIGITS).all() and (scaled / scale == values).all())
+
+
 def _periods(config: ScreenConfig) -> list[tuple[str, str, int, int]]:
     least = lambda n: max(int(n * MIN_PERIOD_FRACTION), 1)
     v, p = config.avg_volume_weeks, config.price_avg_weeks
@@ -102,13 +173,17 @@ def stream_features(weekly_stream: DataFrame, config: ScreenConfig) -> DataFrame
     """
     periods = _periods(config)
     kinds = ", ".join(f"{name} double" for _, name, _, _ in periods)
-    weeks = weekly_stream.where(judging.usable()).select("symbol", "week_end", "close", "volume")
-    return weeks.groupBy("symbol").transformWithState(
-        _Sums(periods),
-        f"symbol string, week_end date, close double, volume double, bars_before int, newest boolean, {kinds}",
+    weeks = weekly_stream.where(judging.usable()).select(
+        "symbol", F.unix_date("week_end").alias("week"), F.col("close").cast("double"), F.col("volume").cast("double"))
+    group = F.pmod(F.xxhash64("symbol"), F.lit(GROUPS)).cast("int")
+    means = weeks.withColumn("group", group).groupBy("group").transformWithStateInPandas(
+        _Means(periods),
+        f"symbol string, week int, close double, volume double, bars_before int, newest boolean, {kinds}",
         "Append",
         "None",
     )
+    names = [F.date_from_unix_date("week").alias("week_end") if c == "week" else F.col(c) for c in means.columns]
+    return means.select(*names)
 
 
 def stream_judged(weekly_stream: DataFrame, config: ScreenConfig, dialect: str = "lookback") -> DataFrame:

@@ -122,14 +122,14 @@ def _in_batches(spark, sf_dir, config, dialect, path, parts=4):
     first, last = weekly.agg(F.min("week_end"), F.max("week_end")).first()
     days = ((last - first).days // 7 // parts + 1) * 7
     number = F.floor(F.datediff("week_end", F.lit(first)) / days)
-    for k in range(parts):
-        again = (F.datediff("week_end", F.lit(first)) == k * days - 7) & F.lit(k > 0)
-        weekly.where((number == k) | again).coalesce(1).write.mode("append").parquet(f"{path}/arrived")
-    arriving = spark.readStream.schema(weekly.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, ROCKSDB)
     try:
-        stream_to_table(bs.stream_judged(arriving, config, dialect), f"{path}/judged", f"{path}/checkpoint").awaitTermination()
+        for k in range(parts):  # what has come so far is a batch: it may be any number of files
+            again = (F.datediff("week_end", F.lit(first)) == k * days - 7) & F.lit(k > 0)
+            weekly.where((number == k) | again).write.mode("append").parquet(f"{path}/arrived")
+            arriving = spark.readStream.schema(weekly.schema).parquet(f"{path}/arrived")
+            stream_to_table(bs.stream_judged(arriving, config, dialect), f"{path}/judged", f"{path}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
     return spark.read.parquet(f"{path}/judged")

@@ -200,6 +200,15 @@ def test_a_week_costs_the_same_look_ups_whatever_the_history(spark, rocksdb):
     assert kept <= 45  # sums beyond the longest period are removed
 
 
+def test_many_weeks_at_once_cost_the_look_ups_of_one(spark, rocksdb):
+    def look_ups(weeks):
+        _, query = streamed(spark, [weeks_of(weeks)], CONFIG)
+        [operator] = [p for p in query.recentProgress if p["numInputRows"]][-1]["stateOperators"]
+        return operator["customMetrics"]["rocksdbGetCount"] + operator["customMetrics"]["rocksdbPutCount"]
+
+    assert look_ups(1) == look_ups(120)
+
+
 def test_an_index_of_screens_finds_what_each_screen_finds(spark, info_of):
     import random
 
