@@ -45,8 +45,8 @@ APART = 4
 VOTES, SHARE, BIT_ERROR = 0.25, 0.5, 0.2
 #: Frames of a block whose bits are compared together.
 BLOCK_FRAMES = 16
-#: The bits of each frame's integer that are kept for comparison: which of its areas is larger, of every second filter.
-KEPT_BITS = tuple(range(1, 32, 4))
+#: Bits of each frame's integer; all of them are compared.
+FRAME_BITS = 32
 #: Recordings of a bucket, about: a task holds them while queries pass by.
 BUCKET = 8192
 #: Cells in which landmarks are counted, to tell frequent ones from others: a bounded table, sent to all tasks.
@@ -148,11 +148,8 @@ def landmarks(keys: np.ndarray) -> np.ndarray:
 
 
 def kept_bits(prints: np.ndarray) -> np.ndarray:
-    """The kept bits, a byte a frame."""
-    out = np.zeros(len(prints), np.uint8)
-    for k, bit in enumerate(KEPT_BITS):
-        out |= ((prints >> np.uint32(bit)) & np.uint32(1)).astype(np.uint8) << np.uint8(k)
-    return out
+    """The bits of each frame that are kept for comparison: all of its integer's."""
+    return prints.astype(np.uint32)
 
 
 def fingerprint_recordings(recordings: DataFrame, frames, column: str) -> DataFrame:
@@ -218,11 +215,11 @@ def aligned(one: Recording, two: Recording) -> tuple[int, int, float] | None:
     wrong = np.bitwise_count(one.bits[low:high] ^ two.bits[low + offset : high + offset])
     edges = np.r_[0, np.arange(BLOCK_FRAMES - low % BLOCK_FRAMES, high - low, BLOCK_FRAMES)]
     wrong, size = np.add.reduceat(wrong, edges, dtype=np.int64), np.diff(np.r_[edges, high - low])
-    alike = wrong <= BIT_ERROR * len(KEPT_BITS) * size
+    alike = wrong <= BIT_ERROR * FRAME_BITS * size
     frames = int(size[alike].sum())
     if frames < SHARE * len(one.bits):
         return None
-    return offset, shared, float(wrong[alike].sum()) / (len(KEPT_BITS) * frames)
+    return offset, shared, float(wrong[alike].sum()) / (FRAME_BITS * frames)
 
 
 def _recordings(table: pa.Table) -> list[Recording]:
@@ -231,7 +228,7 @@ def _recordings(table: pa.Table) -> list[Recording]:
         ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    bits = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+    bits = [np.frombuffer(b, np.uint32) for b in table.column("bits").to_pylist()]
     return [Recording(*x) for x in zip(lists("keys"), lists("ats"), bits)]
 
 

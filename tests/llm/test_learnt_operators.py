@@ -494,3 +494,13 @@ def test_pipeline_stages_keep_the_columns_and_take_empty_tables(spark):
 
             docs = stored(made, "stage")
     assert hashlib.sha256(b"").hexdigest() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_all_bits_of_a_frame_are_compared():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 32, 200, np.uint32)
+    key = media.keys_of(prints)
+    at = media.landmarks(key)
+    for bit in range(32):
+        one, two = (media.Recording(key[at], at, media.kept_bits(p)) for p in (prints, prints ^ np.uint32(1 << bit)))
+        assert media.aligned(one, two)[2] == 1 / 32
