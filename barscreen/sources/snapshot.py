@@ -10,8 +10,10 @@ fetches renew symbol by symbol (``renew_snapshot``).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,8 +137,8 @@ def _read_documents(spark: SparkSession, path: str, exchange_tz: str) -> Snapsho
 
 def _one_record(stocks: DataFrame) -> DataFrame:
     """One record for each symbol: that of the newest fetch, of equal times the last file."""
-    record = F.struct("info", "history")
-    return stocks.groupBy("symbol").agg(F.max_by(record, "newest").alias("r")).select("symbol", "r.info", "r.history")
+    # two columns, not one struct: who reads one of them shuffles that one only
+    return stocks.groupBy("symbol").agg(*[F.max_by(F.struct(c), "newest").alias(c) for c in ("info", "history")]).select("symbol", "info.info", "history.history")
 
 
 def _damaged(raw: DataFrame, field: str) -> DataFrame:
@@ -221,20 +223,37 @@ def write_snapshot(
     if layout == "bundle":
         [n_symbols] = bars.agg(F.approx_count_distinct("symbol")).first()
         documents = max(1, -(-n_symbols // symbols_per_document))
-        shard = F.pmod(F.xxhash64("symbol"), F.lit(documents))
-        entry = F.struct("symbol", F.struct("info", "history"))
-        fields = [F.lit(meta.get(k)).alias(k) for k in _META_KEYS]
-        (
-            stocks.groupBy(shard.alias("document"))
-            .agg(F.map_from_entries(F.collect_list(entry)).alias("stocks"))
-            .select("document", F.struct(*fields).alias("metadata"), "stocks")
-            .write.partitionBy("document")
-            .json(path)
-        )
+        shard = F.pmod(F.xxhash64("symbol"), F.lit(documents)).cast("int")
+        entry = F.to_json(F.create_map("symbol", F.struct("info", "history")))
+        entries = stocks.select("symbol", shard.alias("document"), F.substr(entry, F.lit(2), F.length(entry) - 2).alias("entry"))
+        dealt = entries.repartitionById(documents, "document").sortWithinPartitions("symbol").select("symbol", "entry")
+        start = json.dumps({"metadata": {k: meta[k] for k in _META_KEYS if meta.get(k) is not None}})[:-1]
+        dealt.mapInArrow(_document(f'{start},"stocks":{{'), "value string").write.text(f"{path}/documents")
         return
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def _document(start: str):
+    """The text of a document, in lines, from the rows (symbol, entry) of a task, in order: no row holds more than one entry."""
+
+    def work(batches):
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbols, entries = batch.column("symbol").to_pylist(), batch.column("entry").to_pylist()
+            for before, symbol in zip([last, *symbols], symbols):
+                if symbol is None or symbol == before:
+                    raise ValueError(f"a document names each symbol once, not {symbol!r}")
+            lines = [f"{start if last is None and not k else ','}{entry}" for k, entry in enumerate(entries)]
+            last = symbols[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(["}}"])], ["value"])
+
+    return work
+
+
 #: Buckets of a snapshot that is renewed by symbol.
 SNAPSHOT_BUCKETS = 64
 

@@ -225,3 +225,21 @@ def test_one_bar_a_day_in_a_table(spark):
     rows = [("A", date(2024, 1, 2), 1.0, 1), ("A", date(2024, 1, 2), 2.0, 3), ("A", date(2024, 1, 2), 5.0, 2), ("B", date(2024, 1, 2), 4.0, 1)]
     bars = spark.createDataFrame(rows, "symbol string, session_date date, close double, ts int")
     assert sorted((r.symbol, r.close) for r in bs.dedupe_bars(bars).collect()) == [("A", 2.0), ("B", 4.0)]
+
+
+def test_a_document_is_written_an_entry_a_line(spark, tmp_path, bars_of, info_of):
+    bars = bars_of([(f"S{i}", "2024-01-02", 1.0 + i, 5) for i in range(30)])
+    bs.write_snapshot(bars, info_of({"S1": 7}), {"data_years_fetched": 1}, str(tmp_path / "s"), "bundle", symbols_per_document=1 << 40)
+    [path] = (tmp_path / "s").glob("*/part-*")
+    lines = path.read_text().splitlines()
+    assert len(lines) == 31 and len(json.loads("".join(lines))["stocks"]) == 30
+    for layout in ("bundle", "document"):
+        snap = bs.read_snapshot(spark, str(tmp_path / "s"), layout)
+        assert snap.bars.count() == 30 and snap.info.count() == 1 and snap.metadata.first()["stock_count"] == 30
+
+
+def test_info_alone_is_read_without_histories(spark, tmp_path, bars_of, info_of):
+    bs.write_snapshot(bars_of([("A", "2024-01-02", 1.0, 5)]), info_of({"A": 7}), {}, str(tmp_path / "s"), "jsonl")
+    info = bs.read_snapshot(spark, str(tmp_path / "s"), "jsonl").info
+    plan = info._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert info.count() == 1 and not [step for step in plan if "Aggregate" in step and "history" in step]
