@@ -16,6 +16,7 @@ recording's number of queries and the best of them.
 
 from __future__ import annotations
 
+import zlib
 from math import ceil
 
 import numpy as np
@@ -51,6 +52,10 @@ FRAME_BITS = 32
 BUCKET = 8192
 #: Cells in which landmarks are counted, to tell frequent ones from others: a bounded table, sent to all tasks.
 CELLS = 1 << 16
+#: Bits of the filter of recordings that a query may align with: 4 MB, whatever the table.
+FILTER_BITS = 1 << 25
+#: Where the places of a recording in it begin in its 64 bits.
+FILTER_SHIFTS = (0, 19, 38)
 
 
 def chroma(samples: np.ndarray, rate: int, size: int = 4096, hop: int = 1365) -> np.ndarray:
@@ -152,8 +157,23 @@ def kept_bits(prints: np.ndarray) -> np.ndarray:
     return prints.astype(np.uint32)
 
 
+def packed(prints: np.ndarray) -> bytes:
+    """A fingerprint in about half its bytes: bit by bit what changes from frame to frame, as the areas of neighbours overlap."""
+    change = prints.astype("<u4")
+    change[1:] ^= prints[:-1]
+    planes = np.unpackbits(change.view(np.uint8).reshape(-1, 4), axis=1).T
+    return zlib.compress(np.packbits(planes).tobytes(), 1)
+
+
+def unpacked(text: bytes) -> np.ndarray:
+    """The fingerprint that ``packed`` has made ``text`` of."""
+    planes = np.unpackbits(np.frombuffer(zlib.decompress(text), np.uint8)).reshape(FRAME_BITS, -1)
+    change = np.packbits(planes.T, axis=1).reshape(-1).view("<u4")
+    return np.bitwise_xor.accumulate(change).astype(np.uint32)
+
+
 def fingerprint_recordings(recordings: DataFrame, frames, column: str) -> DataFrame:
-    """``recordings`` with ``sign`` (of the whole fingerprint), ``keys`` and ``ats`` of landmarks, and ``bits``, for ``column``.
+    """``recordings`` with ``sign`` (of the whole fingerprint), ``keys`` of landmarks, and ``bits`` (``packed``), for ``column``.
 
     ``frames`` turns a value of the column, as bytes, into frames; null is an empty recording, without landmarks.
     """
@@ -163,7 +183,7 @@ def fingerprint_recordings(recordings: DataFrame, frames, column: str) -> DataFr
     def work(batches):
         many = pa.list_(pa.int32())
         for batch in batches:
-            signs, keys, ats, bits, found, held = [], [], [], [], [], []
+            signs, keys, bits, found, held = [], [], [], [], []
             for x in batch.column(column).cast(pa.binary()):
                 held.append(frames(x.as_py() or b""))
                 if sum(map(len, held)) >= BLOCK:
@@ -171,19 +191,17 @@ def fingerprint_recordings(recordings: DataFrame, frames, column: str) -> DataFr
                     held = []
             for prints in found + fingerprints(held):
                 key = keys_of(prints)
-                at = landmarks(key)
                 signs.append(f"{xxh128_intdigest(prints.tobytes()):032x}")
-                keys.append(key[at])
-                ats.append(at.astype(np.int32))
-                bits.append(kept_bits(prints).tobytes())
-            made = [pa.array(signs, pa.string()), pa.array(keys, many), pa.array(ats, many), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], [*rest, "sign", "keys", "ats", "bits"])
+                keys.append(key[landmarks(key)])
+                bits.append(packed(kept_bits(prints)))
+            made = [pa.array(signs, pa.string()), pa.array(keys, many), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], [*rest, "sign", "keys", "bits"])
 
     kinds = ", ".join(f"`{c}` {recordings.schema[c].dataType.simpleString()}" for c in rest)
     return recordings.select(*rest, column).mapInArrow(work, f"{kinds}, sign string, {MARKS}")
 
 
-MARKS = "keys array<int>, ats array<int>, bits binary"
+MARKS = "keys array<int>, bits binary"
 
 
 def needed(n: Column) -> Column:
@@ -198,6 +216,13 @@ class Recording:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ats, self.bits = keys[order], ats[order].astype(np.int64), bits
 
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Recording:
+        """Landmarks follow from the bits, so these alone are moved."""
+        keys = keys_of(bits)
+        at = landmarks(keys)
+        return cls(keys[at], at, bits)
+
 
 def aligned(one: Recording, two: Recording) -> tuple[int, int, float] | None:
     """(offset, landmarks shared there, share of differing bits) if ``one`` aligns with ``two``, from the histogram of offsets."""
@@ -222,16 +247,6 @@ def aligned(one: Recording, two: Recording) -> tuple[int, int, float] | None:
     return offset, shared, float(wrong[alike].sum()) / (FRAME_BITS * frames)
 
 
-def _recordings(table: pa.Table) -> list[Recording]:
-    def lists(name):
-        column = table.column(name).combine_chunks()
-        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        return [flat[a:b] for a, b in zip(ends, ends[1:])]
-
-    bits = [np.frombuffer(b, np.uint32) for b in table.column("bits").to_pylist()]
-    return [Recording(*x) for x in zip(lists("keys"), lists("ats"), bits)]
-
-
 def _cell(key):
     """The cell of a landmark: its integer's halves folded."""
     return key.bitwiseXOR(F.shiftrightunsigned(key, 16)).bitwiseAND(F.lit(CELLS - 1))
@@ -281,14 +296,39 @@ def dealt(marked: DataFrame, cells: np.ndarray, buckets: int) -> DataFrame:
     return marked.mapInArrow(work, StructType([*marked.schema.fields, StructField("bucket", LongType())]))
 
 
-def _once(recordings: DataFrame) -> DataFrame:
-    """A recording of each fingerprint for each task: copies, however many, are few rows after that."""
+def met_filter(recs: DataFrame) -> np.ndarray:
+    """A filter (bytes of bits) of ``recs`` (rec). What reaches the driver has the filter's size at most."""
+    places = F.array(*[F.shiftrightunsigned("rec", k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in FILTER_SHIFTS])
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    made = recs.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, "<i8")
+    out[made.column("place").to_numpy()] = made.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _passes(bits: np.ndarray, recs: np.ndarray) -> np.ndarray:
+    found = np.ones(len(recs), bool)
+    for k in FILTER_SHIFTS:
+        at = (recs.view(np.uint64) >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)
+        found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def _once(recordings: DataFrame, met: np.ndarray) -> DataFrame:
+    """A recording of each fingerprint for each task: copies, however many, are few rows after that.
+
+    Recordings that ``met`` doesn't hold share none of the landmarks that queries are looked up by, and stay where they
+    are. Those that a full filter lets pass are moved, and found by no query.
+    """
+    shared = recordings.sparkSession.sparkContext.broadcast(met)
 
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
             keep = []
-            for k, name in enumerate(batch.column("rec").to_pylist()):
+            recs = batch.column("rec").to_numpy()
+            for k in np.flatnonzero(_passes(shared.value, recs)).tolist():
+                name = int(recs[k])
                 if name not in seen:
                     seen.add(name)
                     keep.append(k)
@@ -345,9 +385,9 @@ def _aligned_in_buckets(rows: DataFrame) -> DataFrame:
     def work(batches):
         held, number = _Bucket(), None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            columns = (table.column(c).to_pylist() for c in ("bucket", "sign", "kind", "rare"))
-            for bucket, name, kind, rare, it in zip(*columns, _recordings(table)):
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "sign", "kind", "rare"))
+            bits = map(unpacked, batch.column("bits").to_pylist())
+            for bucket, name, kind, rare, it in zip(*columns, map(Recording.of, bits)):
                 if bucket != number:
                     if held.counts:
                         yield held.batch()
@@ -359,7 +399,7 @@ def _aligned_in_buckets(rows: DataFrame) -> DataFrame:
         if held.counts:
             yield held.batch()
 
-    columns = ["bucket", "kind", "sign", "rare", "keys", "ats", "bits"]
+    columns = ["bucket", "kind", "sign", "rare", "bits"]
     ordered = rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "kind", "sign")
     return ordered.mapInArrow(work, "sign string, n long, a long, b double, c string, d long")
 
@@ -379,8 +419,8 @@ def align_recordings(recordings: DataFrame, is_query: Column, frames=word_frames
     rec = F.xxhash64("sign")  # short for the sign where rows are many; what it brings together is compared in full
     classes = stored(marked.groupBy("sign").agg(F.min("doc_id").alias("recording_id")), "classes")
     buckets = max(1, -(-classes.count() // BUCKET))
-    found_in = dealt(marked.select(rec.alias("rec"), "sign", "keys", "ats", "bits"), frequencies(marked), buckets)
-    one = [F.first(c).alias(c) for c in ("keys", "ats", "bits")]
+    found_in = dealt(marked.select(rec.alias("rec"), "sign", "keys", "bits"), frequencies(marked), buckets)
+    one = [F.first(c).alias(c) for c in ("keys", "bits")]
     own = stored(marked.where(F.col("asked") & (F.size("keys") > 0)).groupBy("sign").agg(*one), "own")
     wanted = own.select(F.explode("keys").alias("key")).distinct()
     # all landmarks move once, as two numbers each; only those that a query has go on
@@ -395,7 +435,9 @@ def align_recordings(recordings: DataFrame, is_query: Column, frames=word_frames
     places = rare.join(held.select("key", "bucket").distinct(), "key").select("sign", "bucket").distinct()
     listed = rare.groupBy("sign").agg(F.array_sort(F.collect_list("key")).alias("rare"))
     asked = places.join(listed, "sign").join(own, "sign").withColumn("kind", F.lit(1))
-    kept = _once(found_in).select("bucket", F.lit(0).alias("kind"), "sign", F.array().cast("array<int>").alias("rare"), "keys", "ats", "bits")
+    asked = asked.select("bucket", "kind", "sign", "rare", "bits")
+    met = met_filter(held.join(rare.select("key").distinct(), "key", "left_semi").select("rec"))
+    kept = _once(found_in, met).select("bucket", F.lit(0).alias("kind"), "sign", F.array().cast("array<int>").alias("rare"), "bits")
     found = stored(_aligned_in_buckets(kept.unionByName(asked)), "aligned")
     best = found.groupBy("sign").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "c", "d")).alias("best"))
     names = classes.select(F.col("sign").alias("query"), F.col("recording_id").alias("query_id"))

@@ -504,3 +504,16 @@ def test_all_bits_of_a_frame_are_compared():
     for bit in range(32):
         one, two = (media.Recording(key[at], at, media.kept_bits(p)) for p in (prints, prints ^ np.uint32(1 << bit)))
         assert media.aligned(one, two)[2] == 1 / 32
+
+
+def test_fingerprints_are_packed_and_only_those_a_query_may_meet_are_moved(spark):
+    rng = np.random.default_rng(7)
+    texts = [b" ".join(b"w%d" % k for k in rng.integers(0, 5000, n)) for n in (1, 5, 40, 800)]
+    some = [media.fingerprint(media.word_frames(t)) for t in texts] + [np.zeros(0, np.uint32), rng.integers(0, 1 << 32, 99, np.uint32)]
+    for prints in some:
+        assert np.array_equal(media.unpacked(media.packed(prints)), prints)
+    assert len(media.packed(some[3])) < 0.65 * some[3].nbytes
+    recs = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 63) * (-1) ** k, k) for k in range(2000)], "rec long, n int")
+    met = media.met_filter(recs.where("n < 100").select("rec"))
+    passed = {r["n"] for r in media._once(recs.unionByName(recs).coalesce(1), met).collect()}
+    assert passed >= set(range(100)) and len(passed) < 110
