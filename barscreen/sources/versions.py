@@ -110,7 +110,11 @@ class KeyedTable:
         """Write rows to a folder of their own, not yet part of any version; its name and the buckets that got any."""
         folder = folder or uuid.uuid4().hex
         out = f"{self.path}/data/folder={folder}"
-        dealt = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")  # a large bucket may be several files
+        dealt = rows.withColumn("bucket", self.bucket())
+        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            dealt = dealt.hint("rebalance", "bucket")  # a large bucket may be several files
+        else:  # so in the session of a stream with state, where the hint is passed over and each task would write to each bucket
+            dealt = dealt.repartitionById(self.buckets, "bucket")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(out)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._file(out))]
         return folder, sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))

@@ -74,12 +74,12 @@ def stream_screen(
     so that running it again neither loses nor repeats rows, and rewrites buckets of more than ``most_folders`` folders.
     Others may read the history, or compact it, at any time. ``as_of`` defaults, for a dialect that needs one, to the
     newest week of the batch. Results are stored unordered; ``current_results`` reads what holds now.
+    The history is read in the session of ``info``, where plans may adapt: a stream's own session doesn't let them.
     ``stream_judged`` screens without a history.
     """
 
     def screen_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        table = KeyedTable(spark, history_path, "symbol", buckets)
+        table = KeyedTable(info.sparkSession, history_path, "symbol", buckets)
         touched = table.append(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), batch_id)
         if not touched:
             return

@@ -1,5 +1,7 @@
 """Streaming jobs, run over the given tables until they are read."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 import barscreen as bs
@@ -42,6 +44,28 @@ def _event_trades(stream):
     return _trades(stream, "user_id", "ts", "value", F.lit(1.0), _event_order())
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+_SETTINGS = {
+    f"{_STATE}.providerClass": ROCKSDB,
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",  # else each row that is put is looked up first
+}
+
+
+@contextmanager
+def _rocksdb(spark):
+    """Streams started here keep their state beside the heap: a row for each symbol and week, however many."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _closed(table: str, ts: str) -> str:
     """Weeks that a watermark of one day behind the newest row has passed."""
     return f"CAST(week_end + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT max({ts}) - INTERVAL 1 DAY FROM {table})"
@@ -54,7 +78,8 @@ def _closed(table: str, ts: str) -> str:
 def stream_weekly(spark, sf_dir):
     weekly = bs.stream_weekly_bars(_event_trades(_stream(spark, sf_dir, "events")), "1 day", "bar_order")
     path = scratch_path(spark, "stream_weekly")
-    stream_to_table(weekly, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    with _rocksdb(spark):
+        stream_to_table(weekly, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/table")
 
 
@@ -98,22 +123,19 @@ def stream_screen(spark, sf_dir):
         B._trade_order(),
     )
     path = scratch_path(spark, "stream_screen")
-    bs.stream_screen(
-        bs.stream_weekly_bars(trades, "1 day", "bar_order"),
-        f"{path}/history",
-        f"{path}/results",
-        B.supplier_info(spark, sf_dir),
-        B.SHORT,
-        f"{path}/checkpoint",
-    ).awaitTermination()
+    with _rocksdb(spark):
+        bs.stream_screen(
+            bs.stream_weekly_bars(trades, "1 day", "bar_order"),
+            f"{path}/history",
+            f"{path}/results",
+            B.supplier_info(spark, sf_dir),
+            B.SHORT,
+            f"{path}/checkpoint",
+        ).awaitTermination()
     found = bs.current_results(spark, f"{path}/history", f"{path}/results")
     return found.withColumns({c: F.round(c, 6) for c in ("avg_volume", "volume_ratio")})
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def _in_batches(spark, sf_dir, config, dialect, path, parts=4):
     """The rows of ``stream_judged`` over the weekly bars, which arrive in several batches by time, the last week of each again."""
     weekly = B.supplier_weekly(spark, sf_dir).where(F.col("week_end") <= B.AS_OF)
@@ -122,16 +144,12 @@ def _in_batches(spark, sf_dir, config, dialect, path, parts=4):
     first, last = weekly.agg(F.min("week_end"), F.max("week_end")).first()
     days = ((last - first).days // 7 // parts + 1) * 7
     number = F.floor(F.datediff("week_end", F.lit(first)) / days)
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
+    with _rocksdb(spark):
         for k in range(parts):  # what has come so far is a batch: it may be any number of files
             again = (F.datediff("week_end", F.lit(first)) == k * days - 7) & F.lit(k > 0)
             weekly.where((number == k) | again).write.mode("append").parquet(f"{path}/arrived")
             arriving = spark.readStream.schema(weekly.schema).parquet(f"{path}/arrived")
             stream_to_table(bs.stream_judged(arriving, config, dialect), f"{path}/judged", f"{path}/checkpoint").awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, before)
     return spark.read.parquet(f"{path}/judged")
 
 

@@ -132,3 +132,11 @@ def test_a_batch_that_runs_again_replaces_itself(spark, delivered, info_of):
         return [sorted(map(tuple, df.collect())) for df in (history, spark.read.parquet(f"{base}/results"))]
 
     assert run("first") == run("second")
+
+
+def test_a_batch_writes_a_file_for_each_bucket(spark, delivered, info_of):
+    base = scratch_path(spark, "files")
+    weekly = bs.stream_weekly_bars(open_stream(spark, delivered))
+    bs.stream_screen(weekly, f"{base}/history", f"{base}/results", info_of({}), CFG, f"{base}/checkpoint", buckets=2).awaitTermination()
+    files = bs.KeyedTable.at(spark, f"{base}/history").read().inputFiles()
+    assert len(files) == len({f.rsplit("/", 1)[0] for f in files})
