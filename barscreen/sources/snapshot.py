@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.cleaning import clean_number, iso_session_date
-from ..operators.weekly import daily_bars
+from ..operators.weekly import daily_bars, ohlcv
+from ..session import scratch_path
 from .documents import document_pieces
 from .versions import KeyedTable
 
@@ -69,8 +70,9 @@ def read_snapshot(spark: SparkSession, path: str, layout: str = "bundle", exchan
             .otherwise(F.lit("partly unreadable document"))
             .alias("message"),
         )
-        newest = F.struct("metadata.fetch_date_utc", "_metadata.file_path").alias("newest")
-        stocks, damaged = _parsed(raw.select(newest, F.explode("stocks").alias("symbol", "stock")))
+        fetched = raw.select("metadata.fetch_date_utc", "_metadata.file_path", F.posexplode("stocks").alias("place", "symbol", "stock"))
+        newest = F.struct("fetch_date_utc", "file_path", "place").alias("newest")
+        stocks, damaged = _parsed(fetched.select(newest, "symbol", "stock"))
         held = F.coalesce(F.cardinality("stocks"), F.lit(0)).cast("long")
         metadata = _counted(raw.select("metadata.*", held.alias("stock_count")))
         return Snapshot(_bars(stocks, exchange_tz), _info(stocks), metadata, errors.unionByName(damaged))
@@ -97,12 +99,22 @@ def _counted(documents: DataFrame) -> DataFrame:
 
 
 def _parsed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stocks (symbol, newest, stock: text) as one record a symbol, and those that don't parse, by name."""
+    """Stocks (symbol, newest, stock: text) as one record a symbol, and those that don't parse, by name.
+
+    A symbol's records differ in ``newest``. Which one counts is found at once, by a pass that shuffles no histories, and
+    stored: by its size Spark chooses how to join.
+    """
     read = F.from_json("stock", f"{STOCK_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = held.select("symbol", "newest", "stock", read.alias("s"))
     damaged = F.col("stock").isNotNull() & F.coalesce(F.col("s._corrupt_record").isNotNull(), F.lit(True))
     message = F.concat(F.lit("unreadable record: "), F.substring("stock", 1, 200)).alias("message")
-    return _one_record(parsed.filter(~damaged).select("symbol", "s.info", "s.history", "newest")), parsed.filter(damaged).select("symbol", message)
+    whole = parsed.filter(~damaged).select("symbol", "s.info", "s.history", "newest")
+    best = whole.groupBy("symbol").agg(F.max("newest").alias("best"))
+    path = scratch_path(held.sparkSession, "newest")
+    best.write.parquet(path)
+    best = held.sparkSession.read.schema(best.schema).parquet(path)
+    stocks = whole.join(best, "symbol").where(F.col("newest").eqNullSafe(F.col("best"))).select("symbol", "info", "history")
+    return stocks, parsed.filter(damaged).select("symbol", message)
 
 
 #: Parts into which the entries of one document are dealt where its metadata is joined.
@@ -127,9 +139,9 @@ def _read_documents(spark: SparkSession, path: str, exchange_tz: str) -> Snapsho
     lost_entries = found.filter(lost).select(named.alias("symbol"), F.concat(F.lit("unreadable record: "), F.substring("text", 1, 200)).alias("message"))
     # when each document was fetched decides between records of one symbol
     fetched = documents.select("file", F.col("d.metadata.fetch_date_utc").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("part"))
-    held = found.filter(~lost).select("file", "at", "place", F.explode("e.s").alias("symbol", "stock"))
+    held = found.filter(~lost).select("file", "at", "place", F.posexplode("e.s").alias("inside", "symbol", "stock"))
     held = held.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(DEALT)).cast("int")).join(fetched, ["file", "part"], "left")
-    stocks, damaged = _parsed(held.select(F.struct("day", "file", "at", "place").alias("newest"), "symbol", "stock"))
+    stocks, damaged = _parsed(held.select(F.struct("day", "file", "at", "place", "inside").alias("newest"), "symbol", "stock"))
     counts = found.groupBy("file").agg(F.sum(F.when(lost, 1).otherwise(F.cardinality("e.s"))).alias("n"))
     metadata = documents.join(counts, "file", "left").select("d.metadata.*", F.coalesce("n", F.lit(0)).cast("long").alias("stock_count"))
     return Snapshot(_bars(stocks, exchange_tz), _info(stocks), _counted(metadata), errors.unionByName(lost_entries).unionByName(damaged))
@@ -201,7 +213,8 @@ def write_snapshot(
     The JSON layouts hold one bar per symbol and day, so the history gathered
     for a symbol is bounded by its trading days whatever the input holds. A
     bundle is written as several documents of about ``symbols_per_document``
-    symbols each, so none grows with the universe.
+    symbols each, so none grows with the universe. Bars, unless they are trades
+    with a ``bar_order``, are shuffled once for it, to their document's task.
     """
     spark = bars.sparkSession
     if layout == "parquet":
@@ -214,8 +227,8 @@ def write_snapshot(
         held = _stored_bars(spark, path)[0].select("symbol").distinct()
         _metadata_row(held, meta).write.json(f"{path}/metadata")
         return
-    stocks = _stock_records(daily_bars(bars), info)
     if layout == "jsonl":
+        stocks = _stock_records(daily_bars(bars), info)
         stocks.write.json(f"{path}/stocks")
         held = spark.read.schema("symbol string").json(f"{path}/stocks")
         _metadata_row(held, meta).write.json(f"{path}/metadata")
@@ -223,10 +236,15 @@ def write_snapshot(
     if layout == "bundle":
         [n_symbols] = bars.agg(F.approx_count_distinct("symbol")).first()
         documents = max(1, -(-n_symbols // symbols_per_document))
-        shard = F.pmod(F.xxhash64("symbol"), F.lit(documents)).cast("int")
         entry = F.to_json(F.create_map("symbol", F.struct("info", "history")))
-        entries = stocks.select("symbol", shard.alias("document"), F.substr(entry, F.lit(2), F.length(entry) - 2).alias("entry"))
-        dealt = entries.repartitionById(documents, "document").sortWithinPartitions("symbol").select("symbol", "entry")
+        entry = F.substr(entry, F.lit(2), F.length(entry) - 2).alias("entry")
+        if symbols_per_document <= SYMBOLS_PER_DOCUMENT:
+            dealt = _dealt_records(bars, info, documents).select("symbol", entry)
+        else:  # too much for a task: records are put together by all, and their text goes to the document's
+            shard = F.pmod(F.xxhash64("symbol"), F.lit(documents)).cast("int")
+            entries = _stock_records(daily_bars(bars), info).select("symbol", shard.alias("document"), entry)
+            dealt = entries.repartitionById(documents, "document").select("symbol", "entry")
+        dealt = dealt.sortWithinPartitions("symbol")
         start = json.dumps({"metadata": {k: meta[k] for k in _META_KEYS if meta.get(k) is not None}})[:-1]
         dealt.mapInArrow(_document(f'{start},"stocks":{{'), "value string").write.text(f"{path}/documents")
         return
@@ -316,23 +334,53 @@ def _metadata_row(symbols: DataFrame, meta: dict) -> DataFrame:
 
 
 def _open_info(info: DataFrame) -> Column:
-    """The company info as one JSON object: the two figures as numbers, and whatever else was known."""
+    """The text of the company info as one JSON object: the two figures as numbers, and whatever else was known."""
     figures = F.to_json(F.struct(F.col("market_cap").alias(K.INFO_MARKET_CAP), F.col("regular_market_price").alias(K.INFO_MARKET_PRICE)))
     texts = [figures, F.to_json(F.coalesce("details", F.create_map().cast("map<string,string>")))] if "details" in info.columns else [figures]
     inside = F.filter(F.array(*[F.substr(t, F.lit(2), F.length(t) - 2) for t in texts]), lambda x: x != "")
-    return F.parse_json(F.concat(F.lit("{"), F.array_join(inside, ","), F.lit("}")))
+    return F.concat(F.lit("{"), F.array_join(inside, ","), F.lit("}"))
 
 
 def _stock_records(bars: DataFrame, info: DataFrame) -> DataFrame:
-    day = F.concat(F.col("session_date").cast("string"), F.lit("T00:00:00.000"))
-    bar = F.struct(day.alias("day"), F.array(*[F.col(c) for c in K.OHLCV]).alias("cells"))
-    histories = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    return histories.join(info.select("symbol", _open_info(info).alias("info")), "symbol", "left").select(
-        "symbol",
-        F.coalesce("info", F.parse_json(F.lit("{}"))).alias("info"),
+    histories = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(_bar())).alias("bars"))
+    return histories.join(info.select("symbol", _open_info(info).alias("info")), "symbol", "left").select(*_record())
+
+
+def _dealt_records(bars: DataFrame, info: DataFrame, documents: int) -> DataFrame:
+    """Records as ``_stock_records`` gives them, from one shuffle of bars and info that deals symbols to documents, a partition each.
+
+    Days are combined there, but trades (bars with a ``bar_order``) before it: a symbol may have any number of them.
+    """
+    order = F.col("session_date")
+    if "bar_order" in bars.columns:
+        bars, order = daily_bars(bars), F.lit(0)
+    known = info.select("symbol", *[F.lit(None).cast(t).alias(c) for c, t in _BAR_KINDS.items()], _open_info(info).alias("info"))
+    rows = bars.select("symbol", *[F.col(c).cast(t) for c, t in _BAR_KINDS.items()], F.lit(None).cast("string").alias("info"))
+    rows = rows.withColumn("is_bar", F.lit(True)).unionByName(known.withColumn("is_bar", F.lit(False))).repartition(documents, "symbol")
+    days = rows.groupBy("symbol", "session_date", "is_bar", "info").agg(*ohlcv(order), F.count_if(~F.col("is_bar")).alias("infos"))
+    stocks = days.groupBy("symbol").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_bar"), _bar()))).alias("bars"), F.max("info").alias("info"), F.sum("infos").alias("infos"))
+    several = F.raise_error(F.concat(F.lit("info names each symbol once, not "), "symbol")).cast("string")
+    one = F.when(F.col("infos") > 1, several).otherwise(F.col("info"))
+    return stocks.where(F.size("bars") > 0).withColumn("info", one).select(*_record())
+
+
+_BAR_KINDS = {"session_date": "date", **dict.fromkeys(K.OHLCV, "double")}
+
+
+def _bar() -> Column:
+    """A bar in few bytes: its text is made where the history is complete."""
+    return F.struct("session_date", F.array(*[F.col(c) for c in K.OHLCV]).alias("cells"))
+
+
+def _record() -> list[Column]:
+    day = lambda b: F.concat(b["session_date"].cast("string"), F.lit("T00:00:00.000"))
+    return [
+        F.col("symbol"),
+        F.parse_json(F.coalesce("info", F.lit("{}"))).alias("info"),
         F.struct(
             F.array(*[F.lit(f) for f in K.HISTORY_FIELDS]).alias("columns"),
-            F.col("bars.day").alias("index"),
+            F.transform("bars", day).alias("index"),
             F.col("bars.cells").alias("data"),
         ).alias("history"),
-    )
+    ]

@@ -128,6 +128,13 @@ _META = {
 }
 
 
+def _daily_table(spark, sf_dir):
+    """Daily bars of the suppliers, worked out once for queries that save them several times."""
+    path = scratch_path(spark, "daily")
+    bs.daily_bars(B.supplier_bars(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _saved(spark, sf_dir, layout):
     path = scratch_path(spark, f"snapshot_{layout}")
     bars = bs.daily_bars(B.supplier_bars(spark, sf_dir))
@@ -231,7 +238,7 @@ def snapshot_renewed(spark, sf_dir):
 def snapshot_overlap(spark, sf_dir):
     """Two snapshots that hold the same symbols: the newer one counts, and no bar is there twice."""
     path = scratch_path(spark, "snapshot_overlap")
-    bars = bs.daily_bars(B.supplier_bars(spark, sf_dir))
+    bars = _daily_table(spark, sf_dir)
     old = bars.withColumn("volume", F.col("volume") * 3)
     for name, held, day in (("a", bars, "2001-11-05"), ("b", old, "2001-11-04")):
         write_snapshot(held, B.listed_info(spark, sf_dir), {**_META, "fetch_date_utc": f"{day}T03:04:05+00:00"}, f"{path}/{name}", "bundle")

@@ -243,3 +243,32 @@ def test_info_alone_is_read_without_histories(spark, tmp_path, bars_of, info_of)
     info = bs.read_snapshot(spark, str(tmp_path / "s"), "jsonl").info
     plan = info._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert info.count() == 1 and not [step for step in plan if "Aggregate" in step and "history" in step]
+
+
+def _steps(df, name):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if name in line]
+
+
+def test_bars_are_shuffled_once_to_their_documents(spark, bars_of, info_of):
+    from barscreen.sources.snapshot import _dealt_records
+
+    bars = bars_of([("A", "2024-01-03", 1.0, 5), ("A", "2024-01-02", 2.0, 7), ("A", "2024-01-02", 2.0, 1), ("B", "2024-01-02", 3.0, None)])
+    records = _dealt_records(bars, info_of({"A": 7, "OTHER": 1}), 3)
+    assert records.rdd.getNumPartitions() == 3
+    plan = records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r["symbol"]: (r["info"].toJson() if hasattr(r["info"], "toJson") else str(r["info"]), r["history"]["index"], r["history"]["data"]) for r in records.collect()}
+    assert set(got) == {"A", "B"} and '"marketCap":7000000' in got["A"][0].replace(".0", "") and got["B"][0] == "{}"
+    assert got["A"][1] == ["2024-01-02T00:00:00.000", "2024-01-03T00:00:00.000"] and got["A"][2][0] == [2.0, 2.0, 2.0, 2.0, 8.0]
+    with pytest.raises(Exception, match="names each symbol once"):
+        _dealt_records(bars, info_of({"A": 7}).unionByName(info_of({"A": 7})), 3).collect()
+
+
+def test_the_newest_record_is_found_without_shuffling_histories(spark, tmp_path):
+    stock = lambda c: {"info": {}, "history": {"columns": ["Close"], "index": ["2024-01-02"], "data": [[c]]}}
+    for name, day, stocks in (("a", "2024-01-05", {"A": stock(1.0), "B": stock(1.0), "C": {"info": 7, "history": "none"}}), ("b", "2024-01-04", {"A": stock(2.0), "C": stock(2.0)}), ("c", None, {"D": stock(3.0)})):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"metadata": {"fetch_date_utc": day}, "stocks": stocks}))
+    for layout in ("bundle", "document"):
+        snap = bs.read_snapshot(spark, str(tmp_path), layout)
+        assert {(r.symbol, r.close) for r in snap.bars.collect()} == {("A", 1.0), ("B", 1.0), ("C", 2.0), ("D", 3.0)}
+        assert snap.bars.count() == 4 and not [step for step in _steps(snap.bars, "Aggregate") if "history" in step]
