@@ -294,14 +294,15 @@ def renew_snapshot(
     held = info.select("symbol", fetched, F.lit(None).cast(_BAR).alias("bar"), known.alias("info"))
     rows = bars.select("symbol", fetched, bar.cast(_BAR).alias("bar"), F.lit(None).cast(held.schema["info"].dataType).alias("info"))
 
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
-        order = F.struct(F.coalesce("fetched", F.lit("")).alias("fetched"), "turn")
-        newest = both.groupBy("symbol").agg(F.max(order).alias("newest"))
-        return both.join(newest, "symbol").where(order == F.col("newest")).select("symbol", "fetched", "bar", "info")
+    def wins(old: DataFrame, new: DataFrame) -> DataFrame:
+        """Symbols whose new rows count, from a row for each symbol and fetch."""
+        day = F.coalesce("fetched", F.lit("")).alias("fetched")
+        fetches = [rows.where("symbol is not null").select("symbol", day, F.lit(turn).alias("turn")).distinct() for rows, turn in ((old, 0), (new, 1))]
+        newest = fetches[0].unionByName(fetches[1]).groupBy("symbol").agg(F.max(F.struct("fetched", "turn")).alias("newest"))
+        return newest.where("newest.turn = 1").select("symbol")
 
     notes = {k: meta.get(k) for k in _META_KEYS}
-    return KeyedTable(spark, path, "symbol", buckets).replace(rows.unionByName(held), merge, {"metadata": notes})
+    return KeyedTable(spark, path, "symbol", buckets).renew(rows.unionByName(held), wins, {"metadata": notes})
 
 
 _BAR = "struct<session_date: date, open: double, high: double, low: double, close: double, volume: double>"

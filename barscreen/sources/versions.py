@@ -14,11 +14,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 Entries = dict[int, list[str]]  # the folders of each bucket, oldest first
 #: Tries to change a version while others do.
 TRIES = 20
+#: Files of a bucket, on average, from which they are written as fewer when they are rewritten, if they are smaller than this.
+MOST_FILES, SMALL_FILE = 8, 16 << 20
 
 
 class KeyedTable:
@@ -106,16 +108,21 @@ class KeyedTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def write(self, rows: DataFrame, folder: str | None = None) -> tuple[str, list[int]]:
-        """Write rows to a folder of their own, not yet part of any version; its name and the buckets that got any."""
+    def write(self, rows: DataFrame, folder: str | None = None, dealt: bool = False) -> tuple[str, list[int]]:
+        """Write rows to a folder of their own, not yet part of any version; its name and the buckets that got any.
+
+        Rows that are ``dealt`` come from files of buckets: they aren't shuffled again.
+        """
         folder = folder or uuid.uuid4().hex
         out = f"{self.path}/data/folder={folder}"
-        dealt = rows.withColumn("bucket", self.bucket())
-        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-            dealt = dealt.hint("rebalance", "bucket")  # a large bucket may be several files
+        rows = rows.withColumn("bucket", self.bucket())
+        if dealt:
+            pass
+        elif rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            rows = rows.hint("rebalance", "bucket")  # a large bucket may be several files
         else:  # so in the session of a stream with state, where the hint is passed over and each task would write to each bucket
-            dealt = dealt.repartitionById(self.buckets, "bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(out)
+            rows = rows.repartitionById(self.buckets, "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(out)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._file(out))]
         return folder, sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
 
@@ -146,31 +153,75 @@ class KeyedTable:
     def replace(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], notes: dict | None = None) -> int:
         """Rewrite the buckets that ``rows`` has keys of, as ``merge`` (old rows, new rows) says; other buckets aren't read or written.
 
-        The rows are written first, by bucket, and read from there: what was computed once is computed once. A
-        bucket that another writer changes meanwhile is merged anew.
+        The rows are written first, and read from there: what was computed once is computed once. A bucket that another
+        writer changes meanwhile is merged anew.
         """
-        staged, touched = self.write(rows)
+
+        def merged(stale: list[int], said: dict, new: DataFrame) -> Entries:
+            folder, filled = self.write(merge(self._held(stale, said, new), new))
+            return {b: [folder] if b in filled else [] for b in stale}
+
+        return self._rewrite(rows, merged, notes)
+
+    def renew(self, rows: DataFrame, wins: Callable[[DataFrame, DataFrame], DataFrame], notes: dict | None = None) -> int:
+        """Put ``rows`` in the place of what their keys had, for the keys that ``wins`` (old rows, new rows) gives; for others nothing changes.
+
+        As ``replace``, but only new rows are shuffled, those that count: old ones that stay are copied from their
+        bucket's files, and buckets without a winner are left as they are.
+        """
+
+        def renewed(stale: list[int], said: dict, new: DataFrame) -> Entries:
+            after = {b: said["entries"].get(b, []) for b in stale}
+            # a row a key, stored: by its size Spark chooses how to join
+            place = f"{self.path}/data/folder={uuid.uuid4().hex}"
+            found = wins(self._held(stale, said, new), new).select(self.key).distinct()
+            found.write.parquet(place)
+            winners = self.spark.read.schema(found.schema).parquet(place)
+            won = [r[0] for r in winners.select(self.bucket()).distinct().collect()]
+            if won:
+                stay = self._held(won, said, new).join(winners, self.key, "left_anti")
+                parts = [self.write(stay, dealt=not self._scattered(won, said))] if any(after[b] for b in won) else []
+                parts.append(self.write(new.join(winners, self.key, "left_semi")))
+                after.update({b: [folder for folder, filled in parts if b in filled] for b in won})
+            self._fs.delete(self._file(place), True)
+            return after
+
+        return self._rewrite(rows, renewed, notes)
+
+    def _rewrite(self, rows: DataFrame, work: Callable[[list[int], dict, DataFrame], Entries], notes: dict | None) -> int:
+        """A version in which ``work`` (buckets, what the newest version says, the new rows of these) says the folders of the buckets of ``rows``."""
+        place = f"{self.path}/data/folder={uuid.uuid4().hex}"
+        rows.write.parquet(place)
         schema = rows.schema.json()
-        new = self.spark.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).option("basePath", f"{self.path}/data/folder={staged}")
-        new = new.parquet(f"{self.path}/data/folder={staged}").drop("bucket")
-        made: dict[int, tuple[list[str], str | None]] = {}  # bucket: the folders it was merged from, and into
+        new = self.spark.read.schema(rows.schema).parquet(place)
+        touched = sorted(r[0] for r in new.select(self.bucket()).distinct().collect())
+        made: dict[int, tuple[list[str], list[str]]] = {}  # bucket: the folders it was made from, and into
 
         def make(said: dict) -> dict:
             stale = [b for b in touched if b not in made or made[b][0] != said["entries"].get(b, [])]
             if stale:
-                old = self.read(stale, said)
-                empty = self.spark.createDataFrame([], StructType.fromJson(json.loads(said["schema"] or schema)))
-                here = new.where(self.bucket().isin(stale))
-                merged = merge(empty if old is None else old.drop("folder", "bucket"), here)
-                folder, filled = self.write(merged)
-                made.update({b: (said["entries"].get(b, []), folder if b in filled else None) for b in stale})
-            entries = {**said["entries"], **{b: [made[b][1]] if made[b][1] else [] for b in touched}}
+                after = work(stale, said, new.where(self.bucket().isin(stale)))
+                made.update({b: (said["entries"].get(b, []), after[b]) for b in stale})
+            entries = {**said["entries"], **{b: made[b][1] for b in touched}}
             return {**said, "schema": said["schema"] or schema, "entries": entries, "notes": {**said["notes"], **(notes or {})}}
 
         number = self.change(make)
-        self._fs.delete(self._file(f"{self.path}/data/folder={staged}"), True)
+        self._fs.delete(self._file(place), True)
         return number
 
+    def _held(self, buckets: list[int], said: dict, new: DataFrame) -> DataFrame:
+        """The rows of some buckets, or none with the columns of ``new``."""
+        old = self.read(buckets, said)
+        if old is not None:
+            return old.drop("folder", "bucket")
+        return self.spark.createDataFrame([], StructType.fromJson(json.loads(said["schema"])) if said["schema"] else new.schema)
+
+    def _scattered(self, buckets: list[int], said: dict) -> bool:
+        """Whether buckets are in many small files, so that their rows are better dealt anew."""
+        sizes = [self._fs.getContentSummary(self._file(self._place(b, f))) for b in buckets for f in said["entries"].get(b, [])]
+        files, size = sum(s.getFileCount() for s in sizes), sum(s.getLength() for s in sizes)
+        return files > MOST_FILES * len(buckets) and size < files * SMALL_FILE
+
     def compact(self, most: int = 8) -> int:
         """Write each bucket of more than ``most`` folders into one. Writers go on meanwhile: what they add stays beside it."""
         number, said = self.manifest()

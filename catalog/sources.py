@@ -222,7 +222,7 @@ def snapshot_document(spark, sf_dir):
 def snapshot_renewed(spark, sf_dir):
     """Of three fetches into one snapshot the newest of each symbol counts: the second has every third symbol, the last is old."""
     path = scratch_path(spark, "snapshot_renewed")
-    bars, info = bs.daily_bars(B.supplier_bars(spark, sf_dir)), B.listed_info(spark, sf_dir)
+    bars, info = _daily_table(spark, sf_dir), B.listed_info(spark, sf_dir)
     third, even = F.col("symbol").cast("long") % 3 == 0, F.col("symbol").cast("long") % 2 == 0
     newer = bars.where(third & (F.col("session_date") >= "1997-01-01")).withColumn("close", F.col("close") + 1)
     held = bars.select("symbol").distinct()

@@ -258,3 +258,23 @@ def test_manifests_are_plain_json(spark):
     table.append(rows_of(spark, [("A", 1)]))
     text = spark.read.text(f"{table.path}/versions/1", wholetext=True).first()["value"]
     assert json.loads(text)["buckets"] == 2
+
+
+def test_a_renewal_shuffles_what_counts_and_leaves_the_rest(spark):
+    table = bs.KeyedTable(spark, scratch_path(spark, "keyed"), buckets=4)
+    both = lambda old, new: new.where("n >= 0").select("symbol").distinct()
+    table.renew(rows_of(spark, [(f"S{i}", i) for i in range(40)] + [(None, 1)]), both)
+    first = table.manifest()[1]["entries"]
+    assert held(table) == sorted((f"S{i}", i) for i in range(40))
+    assert table.renew(rows_of(spark, [(f"S{i}", -1) for i in range(40)]), both) == 2  # none of them counts
+    assert table.manifest()[1]["entries"] == first
+    table.renew(rows_of(spark, [("S3", 300), ("S3", 301), ("S4", -5), ("NEW", 7)]), both)
+    assert held(table) == sorted([(f"S{i}", i) for i in range(40) if i != 3] + [("S3", 300), ("S3", 301), ("NEW", 7)])
+    assert held(table, version=2) == sorted((f"S{i}", i) for i in range(40))
+    # a bucket in many small files is dealt anew
+    for k in range(9):
+        table.append(rows_of(spark, [(f"S{i}", 1000 + k) for i in range(40)]).repartition(4), k)
+    table.renew(rows_of(spark, [("S5", 5)]), both)
+    [bucket] = {r["bucket"] for r in table.read().where("symbol = 'S5'").collect()}
+    assert len(table.manifest()[1]["entries"][bucket]) == 2 and len(table.read([bucket]).inputFiles()) <= 4
+    assert len(held(table)) == 42 + 9 * 40 - 10 + 1
