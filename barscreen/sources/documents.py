@@ -238,7 +238,8 @@ def _joined(parts: DataFrame) -> DataFrame:
     numbered = keys.withColumn("number", F.sum("first").over(order))
     whole = Window.partitionBy("file", "number").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
     placed = numbered.withColumns({"start": F.first(F.struct("at", "place")).over(whole), "before": F.sum("chars").over(whole)})
-    within = placed.where(F.col("before") <= RECORD_CHARS).select("file", "at", "place", "start")
+    begun = (F.col("start.at") == F.col("at")) & (F.col("start.place") == F.col("place"))  # however long, its name is there
+    within = placed.where((F.col("before") <= RECORD_CHARS) | begun).select("file", "at", "place", "start")
     texts = parts.select("file", "at", "place", "text").join(within, ["file", "at", "place"])
     joined = texts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", "place", "text"))).alias("p"))
     return joined.select("file", "start.at", "start.place", F.array_join("p.text", "").alias("text"))
