@@ -8,10 +8,12 @@ compared, block by block.
 
 A query aligns with a recording if at the offset with most votes they share ``VOTES`` of the query's landmarks or more,
 and ``SHARE`` of the query's frames or more lie in blocks that differ in ``BIT_ERROR`` of their bits at most. To reach
-the first, one of the query's rarest landmarks must be shared: only those are looked up. Recordings are dealt to buckets, each to
-one, by their most frequent landmark, so that copies mostly lie together; a query goes to the buckets that hold one of its
-rarest landmarks, and meets the recordings there that have one. So no pair ever becomes a row: a bucket gives each
-recording's number of queries and the best of them.
+the first, one of the query's rarest landmarks must be shared: only those are looked up. Recordings that have one are dealt to
+buckets, each to one, by the most frequent of these, so that copies mostly lie together; a query goes to the buckets that hold one of its
+rarest landmarks. So no pair ever becomes a row: a bucket gives each recording's number of queries and the best of them.
+It works on a query and all of its recordings at once: the landmarks of each kind that both have bound the votes, and only
+recordings within that bound get a histogram of offsets. There, landmarks that follow one another with one key, as a word
+that is said again and again leaves them, are a run: two runs add a trapezoid, given by its four corners.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest, xxh128_intdigest
 
 from .common import small_batches, stored
@@ -49,9 +50,9 @@ BLOCK_FRAMES = 16
 #: Bits of each frame's integer; all of them are compared.
 FRAME_BITS = 32
 #: Recordings of a bucket, about: a task holds them while queries pass by.
-BUCKET = 8192
-#: Cells in which landmarks are counted, to tell frequent ones from others: a bounded table, sent to all tasks.
-CELLS = 1 << 16
+BUCKET = 2048
+#: Offsets, pairs of runs, or frames that a query is worked on at once with.
+PIECE = 1 << 18
 #: Bits of the filter of recordings that a query may align with: 4 MB, whatever the table.
 FILTER_BITS = 1 << 25
 #: Where the places of a recording in it begin in its 64 bits.
@@ -225,7 +226,10 @@ class Recording:
 
 
 def aligned(one: Recording, two: Recording) -> tuple[int, int, float] | None:
-    """(offset, landmarks shared there, share of differing bits) if ``one`` aligns with ``two``, from the histogram of offsets."""
+    """(offset, landmarks shared there, share of differing bits) if ``one`` aligns with ``two``, from the histogram of offsets.
+
+    This says what is meant, for one pair; ``_Bucket`` finds the same for a query and many recordings.
+    """
     first = np.searchsorted(two.keys, one.keys, "left")
     count = np.searchsorted(two.keys, one.keys, "right") - first
     if count.sum() < max(1, ceil(VOTES * len(one.keys))):
@@ -247,53 +251,16 @@ def aligned(one: Recording, two: Recording) -> tuple[int, int, float] | None:
     return offset, shared, float(wrong[alike].sum()) / (FRAME_BITS * frames)
 
 
-def _cell(key):
-    """The cell of a landmark: its integer's halves folded."""
-    return key.bitwiseXOR(F.shiftrightunsigned(key, 16)).bitwiseAND(F.lit(CELLS - 1))
-
-
-def _cells(keys: np.ndarray) -> np.ndarray:
-    k = keys.view(np.uint32)
-    return ((k ^ (k >> np.uint32(16))) & np.uint32(CELLS - 1)).astype(np.int64)
-
-
-def frequencies(marked: DataFrame) -> np.ndarray:
-    """How many landmarks each cell has."""
-    keys = marked.select(F.explode("keys").alias("key"))
-    counted = keys.groupBy(_cell(F.col("key")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    return out
+def dealt(shared: DataFrame) -> tuple[DataFrame, int]:
+    """(rec, bucket) for each rec of ``shared`` (rec, key, n: recordings that have the key), and the number of buckets.
 
-
-def dealt(marked: DataFrame, cells: np.ndarray, buckets: int) -> DataFrame:
-    """``marked`` (rec, keys, any others) with ``bucket``, without recordings that have no landmark.
-
-    The bucket follows the landmark whose cell has most. A cell that has more than a bucket's share of landmarks is
+    The bucket follows the most frequent key. Of a key that more than a bucket's share of recordings have, these are
     split by ``rec`` into as many parts as it needs.
     """
-    shared = marked.sparkSession.sparkContext.broadcast(cells)
-    parts = np.maximum(1, -(-cells // BUCKET)).astype(np.uint64)
-    names = marked.columns
-
-    def work(batches):
-        counts = shared.value
-        for batch in batches:
-            column = batch.column("keys")
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy()
-            rec = batch.column("rec").to_numpy().view(np.uint64)
-            keep, where = [], []
-            for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                if b > a:
-                    cell = _cells(flat[a:b])
-                    home = int(cell[np.lexsort((cell, -counts[cell]))[0]])
-                    keep.append(k)
-                    where.append((home * 0x9E3779B1 + int(rec[k] % parts[home]) * 0x85EBCA6B) % (1 << 32) % buckets)
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(where, pa.int64())], [*names, "bucket"])
-
-    return marked.mapInArrow(work, StructType([*marked.schema.fields, StructField("bucket", LongType())]))
+    homes = stored(shared.groupBy("rec").agg(F.max(F.struct("n", "key")).alias("home")), "homes")
+    buckets = max(1, -(-homes.count() // BUCKET))
+    part = F.pmod("rec", F.ceil(F.col("home.n") / F.lit(BUCKET)))
+    return homes.select("rec", F.pmod(F.xxhash64("home.key", part), F.lit(buckets)).cast("int").alias("bucket")), buckets
 
 
 def met_filter(recs: DataFrame) -> np.ndarray:
@@ -318,7 +285,7 @@ def _once(recordings: DataFrame, met: np.ndarray) -> DataFrame:
     """A recording of each fingerprint for each task: copies, however many, are few rows after that.
 
     Recordings that ``met`` doesn't hold share none of the landmarks that queries are looked up by, and stay where they
-    are. Those that a full filter lets pass are moved, and found by no query.
+    are, but for those that a full filter lets pass.
     """
     shared = recordings.sparkSession.sparkContext.broadcast(met)
 
@@ -337,37 +304,131 @@ def _once(recordings: DataFrame, met: np.ndarray) -> DataFrame:
     return recordings.mapInArrow(work, recordings.schema)
 
 
+def _runs(it: Recording) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first place, number) of landmarks of one key at places that follow one another, in the order of keys."""
+    if not len(it.keys):
+        return it.keys, it.ats, it.ats
+    first = np.r_[0, np.flatnonzero((it.keys[1:] != it.keys[:-1]) | (it.ats[1:] != it.ats[:-1] + 1)) + 1]
+    return it.keys[first], it.ats[first], np.diff(np.r_[first, len(it.keys)])
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each of ``first`` on, one range after another."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def _pieces(weights: np.ndarray):
+    """Slices of ``weights`` that sum up to about ``PIECE`` at most, or have one element."""
+    part = (np.cumsum(weights) - 1) // PIECE
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(weights)]
+    return [slice(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Places at which one of the columns differs from the place before, and the first one."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
 class _Bucket:
     """The recordings of a bucket by their landmarks, and what queries have found of each."""
 
     def __init__(self):
         self.names: list[str] = []
-        self.held: list[Recording] = []
-        self.known: set[str] = set()
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.bits: list[np.ndarray] = []
+        self.known: dict[str, int] = {}
         self.counts: dict[int, int] = {}
         self.best: dict[int, tuple] = {}
-        self.index: tuple[np.ndarray, np.ndarray] | None = None
+        self.ready = False
 
     def hold(self, name: str, it: Recording) -> None:
         if name not in self.known:
-            self.known.add(name)
+            self.known[name] = len(self.names)
             self.names.append(name)
-            self.held.append(it)
-
-    def ask(self, name: str, own: Recording, rare: np.ndarray) -> None:
-        if self.index is None:
-            keys = np.concatenate([it.keys for it in self.held] or [np.zeros(0, np.int32)])
-            owner = np.repeat(np.arange(len(self.held)), [len(it.keys) for it in self.held])
-            order = np.argsort(keys, kind="stable")
-            self.index = keys[order], owner[order]
-        keys, owner = self.index
-        first, last = np.searchsorted(keys, rare, "left"), np.searchsorted(keys, rare, "right")
-        found = np.unique(np.concatenate([owner[a:b] for a, b in zip(first, last)])) if len(rare) else []
-        for k in found:
-            if self.names[k] != name and (hit := aligned(own, self.held[k])) is not None:
-                self.counts[k] = self.counts.get(k, 0) + 1
-                value = (-hit[1], hit[2], name, hit[0])
-                self.best[k] = min(self.best.get(k, value), value)
+            self.runs.append(_runs(it))
+            self.bits.append(it.bits)
+
+    def _prepare(self) -> None:
+        """Runs by key and recording; for each key of a recording how many landmarks and runs it has."""
+        keys, at, length = (np.concatenate(c) for c in zip((np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 2), *self.runs))
+        owner = np.repeat(np.arange(len(self.runs)), np.array([len(r[0]) for r in self.runs], np.int64))
+        order = np.argsort(keys, kind="stable")
+        keys, owner, self.at, self.length = keys[order], owner[order], at[order], length[order]
+        self.run = _changes(keys, owner)
+        self.keys, self.owner = keys[self.run], owner[self.run]
+        self.n_runs = np.diff(np.r_[self.run, len(keys)])
+        self.n_marks = np.add.reduceat(self.length, self.run) if len(keys) else self.length
+        self.frames = np.array([len(b) for b in self.bits], np.int64)
+        self.runs, self.ready = [], True
+
+    def ask(self, name: str, own: Recording) -> None:
+        if not self.ready:
+            self._prepare()
+        need = max(1, ceil(VOTES * len(own.keys)))
+        keys, at, length = _runs(own)
+        of = _changes(keys)
+        n_runs, n_marks = np.diff(np.r_[of, len(keys)]), np.add.reduceat(length, of) if len(keys) else length
+        first, last = np.searchsorted(self.keys, keys[of], "left"), np.searchsorted(self.keys, keys[of], "right")
+        entry, key = _ranges(first, last - first), np.repeat(np.arange(len(of)), last - first)
+        # of a kind of landmark no more than the fewer of both can vote for one offset
+        most = np.bincount(self.owner[entry], np.minimum(self.n_marks[entry], n_marks[key]), len(self.names))
+        maybe = (most >= need) & (self.frames >= SHARE * len(own.bits))
+        if name in self.known:
+            maybe[self.known[name]] = False
+        if not maybe.any():
+            return
+        kept = maybe[self.owner[entry]]
+        entry, key = entry[kept], key[kept]
+        order = np.argsort(self.owner[entry], kind="stable")
+        entry, key = entry[order], key[order]
+        who = np.flatnonzero(maybe)
+        begin = np.searchsorted(self.owner[entry], np.r_[who, len(self.names)])
+        sizes = len(own.bits) + self.frames[who] + 1
+        for some in _pieces(sizes):
+            part = slice(begin[some.start], begin[some.stop])
+            start = np.cumsum(sizes[some]) - sizes[some]
+            e, times = entry[part], self.n_runs[entry[part]]
+            two, k = _ranges(self.run[e], times), np.repeat(key[part], times)
+            to = np.repeat(start[np.searchsorted(who[some], self.owner[e])], times)
+            corners = np.zeros(int(sizes[some].sum()), np.int64)
+            for few in _pieces(n_runs[k]):
+                times = n_runs[k[few]]
+                one = _ranges(of[k[few]], times)
+                m, n = length[one], np.repeat(self.length[two[few]], times)
+                low = np.repeat(to[few] + len(own.bits) + self.at[two[few]], times) - at[one] - m
+                corners += np.bincount(np.r_[low, low + m + n], minlength=len(corners))
+                corners -= np.bincount(np.r_[low + np.minimum(m, n), low + np.maximum(m, n)], minlength=len(corners))
+            votes = corners.cumsum().cumsum()  # a place late; each recording's corners sum up to 0, and so do their slopes
+            best = np.maximum.reduceat(votes, start)
+            hit = np.flatnonzero(votes >= np.repeat(np.maximum(best, need), sizes[some]))
+            to = np.searchsorted(start, hit, "right") - 1
+            offset = hit + 1 - start[to] - len(own.bits)
+            order = np.lexsort((offset, np.abs(offset), to))
+            order = order[_changes(to[order])]
+            self._compare(name, own, who[some][to[order]], offset[order], best[to[order]])
+
+    def _compare(self, name: str, own: Recording, who: np.ndarray, offset: np.ndarray, shared: np.ndarray) -> None:
+        """Keep of these recordings those whose bits are alike at their offset."""
+        low, high = np.maximum(0, -offset), np.minimum(len(own.bits), self.frames[who] - offset)
+        long = high - low >= SHARE * len(own.bits)
+        who, offset, shared, low, high = (c[long] for c in (who, offset, shared, low, high))
+        for some in _pieces(high - low):
+            size, place = (high - low)[some], _ranges(low[some], (high - low)[some])
+            others = [self.bits[k][a:b] for k, a, b in zip(who[some].tolist(), (low + offset)[some].tolist(), (high + offset)[some].tolist())]
+            wrong = np.bitwise_count(own.bits[place] ^ np.concatenate(others))
+            to = np.repeat(np.arange(len(size)), size)
+            edges = _changes(to, place // BLOCK_FRAMES)
+            wrong, to, size = np.add.reduceat(wrong, edges, dtype=np.int64), to[edges], np.diff(np.r_[edges, len(place)])
+            alike = wrong <= BIT_ERROR * FRAME_BITS * size
+            frames = np.bincount(to[alike], size[alike], len(others)).astype(np.int64)
+            errors = np.bincount(to[alike], wrong[alike], len(others))
+            for k in np.flatnonzero(frames >= SHARE * len(own.bits)).tolist():
+                it = int(who[some][k])
+                self.counts[it] = self.counts.get(it, 0) + 1
+                value = (-int(shared[some][k]), float(errors[k]) / (FRAME_BITS * int(frames[k])), name, int(offset[some][k]))
+                self.best[it] = min(self.best.get(it, value), value)
 
     def batch(self) -> pa.RecordBatch:
         rows = [(self.names[k], n, *self.best[k]) for k, n in self.counts.items()]
@@ -375,32 +436,28 @@ class _Bucket:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], ["sign", "n", "a", "b", "c", "d"])
 
 
-def _aligned_in_buckets(rows: DataFrame) -> DataFrame:
+def _aligned_in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
     """(sign, n, a, b, c, d) for each recording that queries of its bucket align with: their number, and the best of them.
 
-    Rows of kind 0 are recordings, those of kind 1 queries, with the landmarks that they are looked up by in ``rare``.
-    A task holds one bucket's recordings, and queries one at a time.
+    Rows of kind 0 are recordings, those of kind 1 queries. A task holds one bucket's recordings, and queries one at a time.
     """
 
     def work(batches):
         held, number = _Bucket(), None
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "sign", "kind", "rare"))
-            bits = map(unpacked, batch.column("bits").to_pylist())
-            for bucket, name, kind, rare, it in zip(*columns, map(Recording.of, bits)):
+            for bucket, name, kind, bits in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sign", "kind", "bits"))):
                 if bucket != number:
                     if held.counts:
                         yield held.batch()
                     held, number = _Bucket(), bucket
-                if kind == 0:
-                    held.hold(name, it)
-                else:
-                    held.ask(name, it, np.array(rare, np.int32))
+                if kind == 1:
+                    held.ask(name, Recording.of(unpacked(bits)))
+                elif name not in held.known:
+                    held.hold(name, Recording.of(unpacked(bits)))
         if held.counts:
             yield held.batch()
 
-    columns = ["bucket", "kind", "sign", "rare", "bits"]
-    ordered = rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "kind", "sign")
+    ordered = rows.select("bucket", "kind", "sign", "bits").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "sign")
     return ordered.mapInArrow(work, "sign string, n long, a long, b double, c string, d long")
 
 
@@ -418,27 +475,25 @@ def align_recordings(recordings: DataFrame, is_query: Column, frames=word_frames
     marked = stored(fingerprint_recordings(given, frames, column), "recordings")
     rec = F.xxhash64("sign")  # short for the sign where rows are many; what it brings together is compared in full
     classes = stored(marked.groupBy("sign").agg(F.min("doc_id").alias("recording_id")), "classes")
-    buckets = max(1, -(-classes.count() // BUCKET))
-    found_in = dealt(marked.select(rec.alias("rec"), "sign", "keys", "bits"), frequencies(marked), buckets)
     one = [F.first(c).alias(c) for c in ("keys", "bits")]
     own = stored(marked.where(F.col("asked") & (F.size("keys") > 0)).groupBy("sign").agg(*one), "own")
     wanted = own.select(F.explode("keys").alias("key")).distinct()
     # all landmarks move once, as two numbers each; only those that a query has go on
-    landmarks_ = found_in.select("rec", "bucket", F.explode("keys").alias("key"))
+    landmarks_ = marked.select(rec.alias("rec"), F.explode(F.array_distinct("keys")).alias("key"))
     held = stored(landmarks_.join(wanted, "key", "left_semi").distinct(), "held")
     common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     places = own.select("sign", F.size("keys").alias("size"), F.posexplode("keys").alias("place", "key")).join(common, "key")
     rank = F.row_number().over(Window.partitionBy("sign").orderBy("n", "key", "place"))
     rare = places.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - needed(F.col("size")) + 1) & (F.col("n") > 1))
-    rare = stored(rare.select("sign", "key").distinct(), "rare")
+    rare = stored(rare.select("sign", "key", "n").distinct(), "rare")
+    shared = stored(held.join(rare.select("key", "n").distinct(), "key"), "shared")
+    home, buckets = dealt(shared)
     # a query goes to each bucket that holds one of its landmarks
-    places = rare.join(held.select("key", "bucket").distinct(), "key").select("sign", "bucket").distinct()
-    listed = rare.groupBy("sign").agg(F.array_sort(F.collect_list("key")).alias("rare"))
-    asked = places.join(listed, "sign").join(own, "sign").withColumn("kind", F.lit(1))
-    asked = asked.select("bucket", "kind", "sign", "rare", "bits")
-    met = met_filter(held.join(rare.select("key").distinct(), "key", "left_semi").select("rec"))
-    kept = _once(found_in, met).select("bucket", F.lit(0).alias("kind"), "sign", F.array().cast("array<int>").alias("rare"), "bits")
-    found = stored(_aligned_in_buckets(kept.unionByName(asked)), "aligned")
+    places = rare.join(shared.join(home, "rec").select("key", "bucket").distinct(), "key").select("sign", "bucket").distinct()
+    asked = places.join(own, "sign").select("bucket", F.lit(1).alias("kind"), "sign", "bits")
+    kept = _once(marked.select(rec.alias("rec"), "sign", "bits"), met_filter(home)).join(home, "rec")
+    kept = kept.select("bucket", F.lit(0).alias("kind"), "sign", "bits")
+    found = stored(_aligned_in_buckets(kept.unionByName(asked), buckets), "aligned")
     best = found.groupBy("sign").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "c", "d")).alias("best"))
     names = classes.select(F.col("sign").alias("query"), F.col("recording_id").alias("query_id"))
     best = best.withColumn("query", F.col("best.c")).join(names, "query").select(

@@ -517,3 +517,48 @@ def test_fingerprints_are_packed_and_only_those_a_query_may_meet_are_moved(spark
     met = media.met_filter(recs.where("n < 100").select("rec"))
     passed = {r["n"] for r in media._once(recs.unionByName(recs).coalesce(1), met).collect()}
     assert passed >= set(range(100)) and len(passed) < 110
+
+
+def recordings_said_again(rng, n):
+    """Words that are said again and again, lines that are, and copies of passages."""
+    words = [b"w%d" % k for k in range(400)]
+    texts = [b"", b"one two", b"w0 " * 3000]
+    while len(texts) < n:
+        if len(texts) % 3:
+            texts.append(b" ".join(w for _ in range(rng.randrange(3, 12)) for w in [words[int(rng.expovariate(0.2))]] * rng.randrange(20, 60)))
+        elif len(texts) % 2:
+            texts.append(b" ".join(words[at : at + rng.choice((12, 40))] * rng.randrange(2, 20) if (at := rng.randrange(20)) else words[:9]))
+        else:
+            texts.append(b" ".join(w for w in words[rng.randrange(200) :] if rng.random() > 0.03))
+    return {f"{k:05d}": media.Recording.of(p) for k, p in enumerate(media.fingerprints([media.word_frames(t) for t in texts]))}
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 60])
+def test_a_bucket_finds_what_each_pair_says(monkeypatch, piece):
+    monkeypatch.setattr(media, "PIECE", piece)
+    made = recordings_said_again(random.Random(3), 160)
+    held = media._Bucket()
+    for name, it in [*made.items(), *made.items()]:
+        held.hold(name, it)
+    want = {}
+    for name in sorted(made)[1::4]:
+        held.ask(name, made[name])
+        for other, it in made.items():
+            if other != name and (hit := media.aligned(made[name], it)):
+                want.setdefault(other, []).append((-hit[1], hit[2], name, hit[0]))
+    assert len(want) > 20 and sum(map(len, want.values())) > 100
+    assert {held.names[k]: (n, held.best[k]) for k, n in held.counts.items()} == {k: (len(v), min(v)) for k, v in want.items()}
+    none = media._Bucket()
+    none.ask("x", made["00003"])
+    assert none.batch().num_rows == 0
+
+
+def test_many_recordings_of_words_said_again_take_no_time_a_pair():
+    made = recordings_said_again(random.Random(5), 1500)
+    held = media._Bucket()
+    for name, it in made.items():
+        held.hold(name, it)
+    start = time.time()
+    for name in sorted(made)[3:403]:
+        held.ask(name, made[name])
+    assert held.counts and time.time() - start < 10  # 600,000 pairs
